@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, neighbours, packing, pieces, quality, simhash, url_filter
+from . import context_tree, media, neighbours, packing, pieces, quality, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": lambda s, d: pieces.encode_documents(table(s, d, "documents")),
+        "op3_context_tree": lambda s, d: context_tree.score(table(s, d, "documents"), quality.remainder(10) == 0),
         "op4_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op5_nearest": lambda s, d: neighbours.nearest(table(s, d, "embeddings"), F.col("vec_id") % 100 == 0),
         "op6_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
