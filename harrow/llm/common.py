@@ -78,6 +78,27 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), offsets
 
 
+#: A fixed odd number for prefix hashes, and its inverse modulo 2^64.
+_P = 0x9E3779B97F4A7C15
+_P_INV = pow(_P, -1, 1 << 64)
+
+
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every span of bytes, by differences of one polynomial prefix sum."""
+    n = len(buffer)
+    with np.errstate(over="ignore"):
+        power, inverse = np.full(n + 1, _P, np.uint64), np.full(n + 1, _P_INV, np.uint64)
+        power[0] = inverse[0] = 1
+        np.cumprod(power, out=power), np.cumprod(inverse, out=inverse)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        h = (total[ends] - total[starts]) * inverse[starts]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class LongMap:
     """Open-addressing map from distinct uint64 keys to values, looked up for whole arrays."""
 

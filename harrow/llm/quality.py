@@ -14,15 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import slices, span_hashes, text_buffer
 
 BITS = 18
 #: At most so many labelled rows are learnt from, chosen by a hash of the id; passes over them.
 MAX_TRAIN, EPOCHS = 6000, 4
 ALPHA, BETA, L1, L2, SCALE = 0.15, 1.0, 0.3, 1.0, 10.0
-#: A fixed odd number for prefix hashes, and its inverse modulo 2^64.
-P = 0x9E3779B97F4A7C15
-P_INV = pow(P, -1, 1 << 64)
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -38,21 +35,10 @@ def hashed_words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     edge[0], edge[1:] = True, kind[1:] != kind[:-1]
     edge[offsets[:-1][offsets[:-1] < n]] = True
     cut = np.flatnonzero(edge)
-    with np.errstate(over="ignore"):
-        power = np.full(n + 1, P, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        ends = np.r_[cut[1:], n]
-        word = kind[cut] > 0
-        cut, ends = cut[word], ends[word]
-        inverse = np.full(n + 1, P_INV, np.uint64)
-        inverse[0] = 1
-        inverse = np.cumprod(inverse)
-        h = (total[ends] - total[cut]) * inverse[cut]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+    ends = np.r_[cut[1:], n]
+    word = kind[cut] > 0
+    cut, ends = cut[word], ends[word]
+    h = span_hashes(buffer, cut, ends)
     return h, np.searchsorted(cut, offsets)
 
 
@@ -75,7 +61,7 @@ def features(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
             for k in (4, 3, 2, 1):
                 same = np.flatnonzero((h[k:] == h[:-k]) & (np.arange(k, len(h)) - k >= begin[k:])) + k
                 near[same] = k
-            place[:, 2] = ((near + np.uint64(1)) * np.uint64(P)) >> np.uint64(64 - BITS)
+            place[:, 2] = ((near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
     return place.reshape(-1), 3 * bounds
 
 
