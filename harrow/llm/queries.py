@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, media, neighbours, packing, pieces, quality, simhash, url_filter
+from . import context_tree, html_extract, media, neighbours, packing, pieces, quality, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op5_nearest": lambda s, d: neighbours.nearest(table(s, d, "embeddings"), F.col("vec_id") % 100 == 0),
         "op6_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
         "op7_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
+        "op8_html": lambda s, d: html_extract.main_text(table(s, d, "pages")),
         "op9_media": lambda s, d: media.media_digests(table(s, d, "documents")),
         "op10_url_filter": lambda s, d: url_filter.filter_pages(table(s, d, "pages")),
     }
