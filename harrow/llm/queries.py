@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, html_extract, media, neighbours, packing, pieces, quality, simhash, url_filter
+from . import context_tree, html_extract, line_dedup, media, neighbours, packing, pieces, quality, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": lambda s, d: line_dedup.line_digests(table(s, d, "documents")),
         "op2_sentencepiece": lambda s, d: pieces.encode_documents(table(s, d, "documents")),
         "op3_context_tree": lambda s, d: context_tree.score(table(s, d, "documents"), quality.remainder(10) == 0),
         "op4_packing": lambda s, d: packing.pack(table(s, d, "documents")),

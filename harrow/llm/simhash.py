@@ -205,11 +205,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     member = low.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = member.groupBy("component").agg(F.min("low").alias("component_id"))
     named = settle(member.join(least, "component").select("fp", "component_id"), "named")
-    # one fingerprint may be a third of all documents: a third key spreads it
-    salt = 32
-    left = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salt)))
-    right = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    return left.join(right, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # one fingerprint may be a third of all documents: the join's large partitions are split at run time, the side of
+    # distinct fingerprints being repeated for the parts
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(documents: DataFrame) -> DataFrame:
