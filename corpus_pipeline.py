@@ -1 +1,53 @@
-"""The corpus pipeline: quality classifier, line de-duplication, SimHash near-duplicates, packing."""
+"""The corpus pipeline: quality classifier, line de-duplication, SimHash near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's
+docs. All but the last return the columns of documents. Empty input gives empty output at every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harrow.llm import line_dedup, packing, quality, simhash
+from harrow.llm.common import settle, table
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones among them, scores 0.5 or more."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that an earlier line repeats or resembles; n_chars follows the text."""
+    return line_dedup.deduplicate_lines(docs).select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates."""
+    return simhash.one_per_group(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' token pieces in sequences of 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", reject_low_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_near_copies),
+    ("packing", pack_sequences),
+]
+
+#: Training, union-find and packing have no SQL form; the tests compare the pipeline with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = settle(docs, f"pipeline-{name}")
+    return docs

@@ -26,8 +26,10 @@ def queries() -> dict[str, Query]:
         "op8_html": lambda s, d: html_extract.main_text(table(s, d, "pages")),
         "op9_media": lambda s, d: media.media_digests(table(s, d, "documents")),
         "op10_url_filter": lambda s, d: url_filter.filter_pages(table(s, d, "pages")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.ORACLE_SQL}
+    found = {"op10_url_filter": url_filter.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
