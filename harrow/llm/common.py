@@ -146,8 +146,9 @@ class LongMap:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Distributed union-find over ``edges(a, b)``: (node, component), the smallest node reachable; nodes with links only.
 
-    Each round hooks every node to its smallest neighbour, halves the pointer paths three times, and contracts
-    the graph to the distinct links between what is left. All steps are joins and pre-aggregated groupings.
+    Each round hooks every node to its smallest neighbour, halves the pointer paths until all end at a root, and contracts
+    the graph to the distinct links between roots: rounds, and halvings in a round, grow with the logarithm of the nodes.
+    All steps are joins and pre-aggregated groupings.
     """
     spark = edges.sparkSession
     live = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
@@ -156,11 +157,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
         hooks = settle(hooks, name)
-        for _ in range(3):
+        moved = True
+        while moved:
             over = hooks.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            jumped = settle(hooks.join(over, "up").select("node", F.col("upper").alias("up")), name)
+            jumped = settle(hooks.select("node", "up").join(over, "up").select("node", F.col("upper").alias("up"), (F.col("upper") < F.col("up")).alias("moved")), name)
             discard(hooks)
-            hooks = jumped
+            hooks, moved = jumped, bool(jumped.where("moved").limit(1).count())
         if label is None:
             next_label = hooks.select("node", F.col("up").alias("component"))
         else:
