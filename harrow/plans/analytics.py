@@ -41,7 +41,7 @@ def verdicts(s, d):
     return applications(s, d).join(jobs(s, d).select("job_id", "title"), "job_id").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("AG12_score_buckets", sql("SELECT org_id, count(*) FILTER (score >= 60) AS high, count(*) FILTER (score >= 30 AND score < 60) AS medium, count(*) FILTER (score < 30) AS low, (20 * sum(score) + count(*)) // (2 * count(*)) AS avg_tenths, (200 * count(*) FILTER (shortlisted) + count(*)) // (2 * count(*)) AS shortlist_rate FROM applications JOIN jobs USING (job_id) GROUP BY org_id"))
+@query("AG12_score_buckets", sql("SELECT org_id, count(*) FILTER (score >= 60) AS high, count(*) FILTER (score >= 30 AND score < 60) AS medium, count(*) FILTER (score < 30) AS low, ((20 * sum(score) + count(*)) // (2 * count(*)))::BIGINT AS avg_tenths, (200 * count(*) FILTER (shortlisted) + count(*)) // (2 * count(*)) AS shortlist_rate FROM applications JOIN jobs USING (job_id) GROUP BY org_id"))
 def score_buckets(s, d):
     """Averages in whole tenths, rounded half up in integers: the same on every engine."""
     n, score = F.count("*"), F.col("score")
@@ -51,7 +51,7 @@ def score_buckets(s, d):
     )
 
 
-@query("AG13_job_conversion", sql("SELECT job_id, count(*) AS n, (200 * count(*) FILTER (shortlisted) + count(*)) // (2 * count(*)) AS conversion, (20 * sum(score) + count(*)) // (2 * count(*)) AS avg_tenths FROM applications GROUP BY job_id ORDER BY n DESC, job_id LIMIT 6"))
+@query("AG13_job_conversion", sql("SELECT job_id, count(*) AS n, (200 * count(*) FILTER (shortlisted) + count(*)) // (2 * count(*)) AS conversion, ((20 * sum(score) + count(*)) // (2 * count(*)))::BIGINT AS avg_tenths FROM applications GROUP BY job_id ORDER BY n DESC, job_id LIMIT 6"))
 def job_conversion(s, d):
     return applications(s, d).groupBy("job_id").agg(F.count("*").alias("n"), half_up_percent(F.count_if("shortlisted"), F.count("*")).alias("conversion"), F.expr("(20 * sum(score) + count(*)) div (2 * count(*))").alias("avg_tenths")).orderBy(F.desc("n"), "job_id").limit(6)
 
@@ -75,7 +75,7 @@ def timed(s, d):
     return read(s, d, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("name"), F.round(F.col("value") * 100).cast("long").alias("ms"))
 
 
-@query("AG15_function_timing", f"SELECT event_type AS name, count(*) AS n, sum({_CENTS}) AS total, max({_CENTS}) AS slowest, min({_CENTS}) AS fastest, (2 * sum({_CENTS}) + count(*)) // (2 * count(*)) AS average FROM events GROUP BY ALL")
+@query("AG15_function_timing", f"SELECT event_type AS name, count(*) AS n, sum({_CENTS})::BIGINT AS total, max({_CENTS}) AS slowest, min({_CENTS}) AS fastest, ((2 * sum({_CENTS}) + count(*)) // (2 * count(*)))::BIGINT AS average FROM events GROUP BY ALL")
 def function_timing(s, d):
     return timed(s, d).groupBy("name").agg(F.count("*").alias("n"), F.sum("ms").alias("total"), F.max("ms").alias("slowest"), F.min("ms").alias("fastest"), F.expr("(2 * sum(ms) + count(*)) div (2 * count(*))").alias("average"))
 
@@ -95,12 +95,12 @@ def p95_nearest(s, d):
     return ranked.join(sizes, "name").where("i = cast(bround(0.95 * (n - 1), 0) as bigint) + 1").select("name", F.col("ms").alias("p95"))
 
 
-@query("AG17_hourly_series", f"SELECT event_type AS name, date_trunc('hour', ts) AS hour, count(*) AS n, (2 * sum({_CENTS}) + count(*)) // (2 * count(*)) AS average FROM events GROUP BY ALL")
+@query("AG17_hourly_series", f"SELECT event_type AS name, date_trunc('hour', ts) AS hour, count(*) AS n, ((2 * sum({_CENTS}) + count(*)) // (2 * count(*)))::BIGINT AS average FROM events GROUP BY ALL")
 def hourly_series(s, d):
     return timed(s, d).groupBy("name", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.expr("(2 * sum(ms) + count(*)) div (2 * count(*))").alias("average"))
 
 
-@query("AG18_kind_average", f"WITH t AS (SELECT event_type AS name, {_CENTS} AS ms, event_id FROM events), a AS (SELECT name, sum(ms) // count(*) AS average FROM t WHERE ms > 30000 AND name <> 'error' GROUP BY name), k AS (SELECT DISTINCT name FROM t), f AS (SELECT ms FROM t WHERE name = 'click' ORDER BY event_id LIMIT 1) SELECT k.name, coalesce(average, f.ms) AS average FROM k LEFT JOIN a USING (name), f")
+@query("AG18_kind_average", f"WITH t AS (SELECT event_type AS name, {_CENTS} AS ms, event_id FROM events), a AS (SELECT name, (sum(ms) // count(*))::BIGINT AS average FROM t WHERE ms > 30000 AND name <> 'error' GROUP BY name), k AS (SELECT DISTINCT name FROM t), f AS (SELECT ms FROM t WHERE name = 'click' ORDER BY event_id LIMIT 1) SELECT k.name, coalesce(average, f.ms) AS average FROM k LEFT JOIN a USING (name), f")
 def kind_average(s, d):
     """Where a kind has no qualifying session, the first marker event of any session stands in."""
     t = timed(s, d)
@@ -109,7 +109,7 @@ def kind_average(s, d):
     return t.select("name").distinct().join(average, "name", "left").crossJoin(F.broadcast(marker)).select("name", F.coalesce("average", "first_ms").alias("average"))
 
 
-@query("AG19_bulk_groups", sql("SELECT job_id, sum(score) AS total, count(*) FILTER (outcome <> 'R') AS ok, count(*) FILTER (outcome = 'R') AS failed, min(applied_at) AS first_at, max(applied_at) AS last_at, string_agg(CAST(candidate_id AS VARCHAR), ',' ORDER BY candidate_id) AS files FROM applications GROUP BY job_id"))
+@query("AG19_bulk_groups", sql("SELECT job_id, sum(score)::BIGINT AS total, count(*) FILTER (outcome <> 'R') AS ok, count(*) FILTER (outcome = 'R') AS failed, min(applied_at) AS first_at, max(applied_at) AS last_at, string_agg(CAST(candidate_id AS VARCHAR), ',' ORDER BY candidate_id) AS files FROM applications GROUP BY job_id"))
 def bulk_groups(s, d):
     return applications(s, d).groupBy("job_id").agg(
         F.sum("score").alias("total"), F.count_if(F.col("outcome") != "R").alias("ok"), F.count_if(F.col("outcome") == "R").alias("failed"), F.min("applied_at").alias("first_at"), F.max("applied_at").alias("last_at"),
@@ -133,7 +133,7 @@ def progress(s, d):
     return applications(s, d).groupBy("job_id").agg(done.alias("processed"), (F.count("*") - done).alias("remainder"), F.expr("100 * count_if(stage = 'F') div count(*)").alias("progress"))
 
 
-@query("AG40_task_metrics", f"SELECT event_type AS provider, count(*) AS n, count(*) FILTER (value >= 10) AS succeeded, count(*) FILTER (value < 1) AS fallbacks, coalesce(sum({_CENTS}), 0) AS cost FROM events GROUP BY ROLLUP (event_type)")
+@query("AG40_task_metrics", f"SELECT event_type AS provider, count(*) AS n, count(*) FILTER (value >= 10) AS succeeded, count(*) FILTER (value < 1) AS fallbacks, coalesce(sum({_CENTS}), 0)::BIGINT AS cost FROM events GROUP BY ROLLUP (event_type)")
 def task_metrics(s, d):
     rows = timed(s, d)
     metrics = [F.count("*").alias("n"), F.count_if(F.col("ms") >= 1000).alias("succeeded"), F.count_if(F.col("ms") < 100).alias("fallbacks"), F.coalesce(F.sum("ms"), F.lit(0)).alias("cost")]

@@ -1 +1,98 @@
-"""Queries."""
+"""Inventory of a document collection: tree, formats, hashes, statistics, duplicates, samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from harrow.plans.registry import query
+from harrow.plans.tables import read
+
+
+def files(s, d) -> DataFrame:
+    """The documents as files: path, format (here the language), size, hash."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")))
+    return read(s, d, "documents").select("doc_id", path.alias("path"), F.col("lang").alias("format"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"), "text")
+
+
+_FILES = "WITH files AS (SELECT doc_id, source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS path, lang AS format, strlen(text) AS size, sha256(text) AS hash, text FROM documents)"
+
+
+@query("SRC5_tree", f"{_FILES}, parts AS (SELECT string_split(path, '/') AS p FROM files), dirs AS (SELECT array_to_string(p[1:k], '/') AS dir, k AS depth FROM parts, (VALUES (1), (2)) v(k)) SELECT dir, depth::BIGINT AS depth, count(*) AS files FROM dirs GROUP BY ALL")
+def tree(s, d):
+    parts = files(s, d).select(F.split("path", "/").alias("p"))
+    dirs = parts.select(F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"), "p").select(F.array_join(F.slice("p", 1, F.col("k")), "/").alias("dir"), F.col("k").cast("long").alias("depth"))
+    return dirs.groupBy("dir", "depth").agg(F.count("*").alias("files"))
+
+
+_FORMAT = "CASE WHEN head LIKE '%PDF-%' AND substr(head, 1, 5) = '%PDF-' THEN 'pdf' WHEN substr(head, 1, 5) = '{\\rtf' THEN 'rtf' WHEN lower(ltrim(head)) LIKE '<!doctype html%' OR lower(ltrim(head)) LIKE '<html%' THEN 'html' WHEN url LIKE '%.html' THEN 'html' ELSE 'unknown' END"
+
+
+@query("SRC6_format", f"SELECT fmt, count(*) AS n FROM (SELECT {_FORMAT} AS fmt FROM (SELECT url, substr(html, 1, 64) AS head FROM pages)) GROUP BY fmt")
+def formats(s, d):
+    """Magic first, then the extension."""
+    head = F.substring("html", 1, 64)
+    start = F.lower(F.ltrim(head))
+    fmt = F.when(F.substring(head, 1, 5) == "%PDF-", "pdf").when(F.substring(head, 1, 5) == "{\\rtf", "rtf").when(start.startswith("<!doctype html") | start.startswith("<html"), "html").when(F.col("url").endswith(".html"), "html").otherwise("unknown")
+    return read(s, d, "pages").groupBy(fmt.alias("fmt")).agg(F.count("*").alias("n"))
+
+
+@query("MA1_hash", "SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")
+def content_hash(s, d):
+    return read(s, d, "documents").select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("hash"))
+
+
+@query("WN1_duplicates", "SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY sha256(text)), doc_id) AS duplicate_of FROM documents")
+def duplicates(s, d):
+    """The first file of the same content; an aggregate by hash joined back, so that no window holds a hot group's texts."""
+    rows = files(s, d).select("doc_id", "hash")
+    first = rows.groupBy("hash").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "hash").select("doc_id", F.when(F.col("first") != F.col("doc_id"), F.col("first")).alias("duplicate_of"))
+
+
+@query("WN5_sample", f"{_FILES}, ranked AS (SELECT doc_id, path, row_number() OVER (PARTITION BY format ORDER BY sha256(path)) AS k, (SELECT count(DISTINCT format) FROM files) AS n FROM files) SELECT doc_id, path FROM ranked WHERE k <= greatest(1, 40 // n)")
+def sample(s, d):
+    """The same number of files of each format, by the hash of their paths, 40 in all."""
+    rows = files(s, d).select("doc_id", "path", "format")
+    many = rows.agg(F.count_distinct("format").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("format").orderBy(F.sha2("path", 256)))
+    return rows.withColumn("k", rank).where("k <= 40").join(F.broadcast(many), F.expr("k <= greatest(1, 40 div n)")).select("doc_id", "path")  # one row is broadcast
+
+
+@query("AG21_statistics", f"{_FILES} SELECT format, count(*) AS n, sum(size)::BIGINT AS total, (2 * sum(size) + count(*))::BIGINT // (2 * count(*)) AS mean, min(size) AS low, max(size) AS high, quantile_cont(size, 0.5) AS p50, quantile_cont(size, 0.9) AS p90, quantile_cont(size, 0.99) AS p99, count(*) FILTER (size = 0) AS empty, arg_max(path, (size, -doc_id)) AS largest, arg_min(path, (size, doc_id)) AS smallest FROM files GROUP BY format")
+def statistics(s, d):
+    size = F.col("size")
+    points = F.percentile("size", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    grouped = files(s, d).groupBy("format").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.expr("(2 * sum(size) + count(*)) div (2 * count(*))").alias("mean"), F.min("size").alias("low"), F.max("size").alias("high"), points.alias("p"), F.count_if(size == 0).alias("empty"), F.max_by("path", F.struct("size", -F.col("doc_id"))).alias("largest"), F.min_by("path", F.struct("size", "doc_id")).alias("smallest"))
+    return grouped.select("*", *[F.get("p", k).alias(name) for k, name in enumerate(("p50", "p90", "p99"))]).drop("p")
+
+
+@query("AG22_quality", f"{_FILES}, m AS (SELECT count(*) AS n, count(DISTINCT hash) AS u, count(*) FILTER (size = 0) AS z, count(*) FILTER (size < 50) AS small FROM files) SELECT category, score, weight, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (SELECT 'uniqueness' AS category, 100 * u // n AS score, 40 AS weight FROM m UNION ALL SELECT 'readable', 100 * (n - z) // n, 35 FROM m UNION ALL SELECT 'substance', 100 * (n - small) // n, 25 FROM m)")
+def quality(s, d):
+    """Category scores of the collection in whole per cent, from one pass."""
+    m = files(s, d).agg(F.count("*").alias("n"), F.count_distinct("hash").alias("u"), F.count_if(F.col("size") == 0).alias("z"), F.count_if(F.col("size") < 50).alias("small"))
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.expr(x).alias("score"), F.lit(w).alias("weight")) for c, x, w in (("uniqueness", "100 * u div n", 40), ("readable", "100 * (n - z) div n", 35), ("substance", "100 * (n - small) div n", 25))])
+    score = F.col("score")
+    return m.select(F.explode(rows).alias("r")).select("r.*").withColumn("grade", F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").otherwise("D"))
+
+
+@query("AG23_run_summary", f"{_FILES} SELECT format, count(*) AS n, count(*) FILTER (size >= 50) AS succeeded, count(*) FILTER (size > 0 AND size < 50) AS failed, count(*) FILTER (size = 0) AS skipped FROM files GROUP BY format")
+def run_summary(s, d):
+    size = F.col("size")
+    return files(s, d).groupBy("format").agg(F.count("*").alias("n"), F.count_if(size >= 50).alias("succeeded"), F.count_if((size > 0) & (size < 50)).alias("failed"), F.count_if(size == 0).alias("skipped"))
+
+
+@query("AG38_fingerprint", f"{_FILES} SELECT dir, sha256(string_agg(leaf, '' ORDER BY leaf)) AS fingerprint FROM (SELECT substr(hash, 1, 2) AS dir, hash || chr(10) AS leaf FROM files) GROUP BY dir")
+def fingerprint(s, d):
+    """A hash of sorted hashes for each of 256 parts: no part needs all rows at once, and a tree of them fixes the whole."""
+    leaf = F.concat("hash", F.lit("\n"))
+    return files(s, d).groupBy(F.substring("hash", 1, 2).alias("dir")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(leaf)), ""), 256).alias("fingerprint"))
+
+
+@query("JN16_dictionary", "WITH alias(a, canonical) AS (VALUES ('de', 'german'), ('fr', 'french'), ('es', 'spanish')), x AS (SELECT doc_id, lang, lang || '.' AS raw FROM documents) SELECT doc_id, coalesce(e.canonical, p.canonical, raw) AS canonical FROM x LEFT JOIN alias e ON e.a = raw LEFT JOIN alias p ON p.a = regexp_replace(raw, '[^a-z]', '', 'g')")
+def dictionary(s, d):
+    """Exact alias first, then without punctuation. The dictionary is a fixed list."""
+    alias = s.createDataFrame([("de", "german"), ("fr", "french"), ("es", "spanish")], "a string, canonical string")
+    rows = read(s, d, "documents").select("doc_id", F.concat("lang", F.lit(".")).alias("raw")).withColumn("bare", F.regexp_replace("raw", "[^a-z]", ""))
+    exact, bare = alias.select(F.col("a").alias("raw"), F.col("canonical").alias("x")), alias.select(F.col("a").alias("bare"), F.col("canonical").alias("y"))
+    return rows.join(F.broadcast(exact), "raw", "left").join(F.broadcast(bare), "bare", "left").select("doc_id", F.coalesce("x", "y", "raw").alias("canonical"))

@@ -1 +1,114 @@
-"""Queries."""
+"""Evaluation against gold values: field scores, case accuracy, failure modes, thresholds.
+
+Case: order line group (l_orderkey); field: l_returnflag; gold and predicted: l_quantity and l_discount, as whole numbers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from harrow.plans.registry import query
+from harrow.plans.tables import read
+
+_SCORES = """WITH scores AS (SELECT case_id, line, source, field, score, weight, CASE WHEN score >= 85 THEN 'match' WHEN score >= 60 THEN 'partial' WHEN score = 0 THEN 'missing' ELSE 'wrong' END AS verdict
+FROM (SELECT l_orderkey AS case_id, l_linenumber AS line, l_suppkey AS source, l_partkey AS part, l_returnflag || l_linestatus AS field, CASE WHEN l_quantity < 3 THEN 0 ELSE least(100, CAST(l_quantity * 2 AS BIGINT) + 10) END AS score, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END AS weight FROM lineitem))"""
+
+
+def scores(s, d) -> DataFrame:
+    """One row of each case and field: score in per cent, weight, verdict band."""
+    q, flag = F.col("l_quantity"), F.col("l_returnflag")
+    rows = read(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source"), F.concat("l_returnflag", "l_linestatus").alias("field"),
+        F.when(q < 3, 0).otherwise(F.least(F.lit(100), (q * 2).cast("long") + 10)).alias("score"), F.when(flag == "A", 3).when(flag == "N", 2).otherwise(1).alias("weight"),
+    )
+    x = F.col("score")
+    return rows.withColumn("verdict", F.when(x >= 85, "match").when(x >= 60, "partial").when(x == 0, "missing").otherwise("wrong"))
+
+
+@query("AG25_field_rollup", f"{_SCORES} SELECT field, count(*) AS n, (2 * sum(score) FILTER (verdict <> 'missing') + count(*) FILTER (verdict <> 'missing'))::BIGINT // (2 * count(*) FILTER (verdict <> 'missing')) AS mean, count(*) FILTER (verdict = 'match') AS matched, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'missing') AS missing FROM scores GROUP BY field")
+def field_rollup(s, d):
+    v = F.col("verdict")
+    return scores(s, d).groupBy("field").agg(
+        F.count("*").alias("n"), F.expr("(2 * sum(score) FILTER (WHERE verdict <> 'missing') + count_if(verdict <> 'missing')) div (2 * count_if(verdict <> 'missing'))").alias("mean"),
+        F.count_if(v == "match").alias("matched"), F.count_if(v == "partial").alias("partial"), F.count_if(v == "wrong").alias("wrong"), F.count_if(v == "missing").alias("missing"),
+    )
+
+
+_CASES = "cases AS (SELECT case_id, (2 * sum(score * weight) + sum(weight))::BIGINT // (2 * sum(weight))::BIGINT AS accuracy, count(*) AS n, count(*) FILTER (verdict = 'match') AS exact FROM scores GROUP BY case_id)"
+
+
+def cases(s, d) -> DataFrame:
+    """Weighted accuracy of each case, in whole per cent."""
+    return scores(s, d).groupBy("case_id").agg(F.expr("(2 * sum(score * weight) + sum(weight)) div (2 * sum(weight))").alias("accuracy"), F.count("*").alias("n"), F.count_if(F.col("verdict") == "match").alias("exact"))
+
+
+@query("AG27_case_accuracy", f"{_SCORES}, {_CASES} SELECT case_id, accuracy FROM cases")
+def case_accuracy(s, d):
+    return cases(s, d).select("case_id", "accuracy")
+
+
+@query("AG26_summary", f"{_SCORES}, {_CASES} SELECT count(*) AS cases, (2 * sum(accuracy) + count(*))::BIGINT // (2 * count(*)) AS mean_accuracy, sum(n)::BIGINT AS fields, (10000 * sum(exact))::BIGINT // sum(n)::BIGINT AS exact_rate FROM cases")
+def summary(s, d):
+    return cases(s, d).agg(F.count("*").alias("cases"), F.expr("(2 * sum(accuracy) + count(*)) div (2 * count(*))").alias("mean_accuracy"), F.sum("n").alias("fields"), F.expr("(10000 * sum(exact)) div sum(n)").alias("exact_rate"))
+
+
+@query("AG28_failure_modes", f"{_SCORES} SELECT verdict || ':' || field AS mode, count(*) AS n, sum((100 - score) * weight)::BIGINT AS lost, count(DISTINCT case_id) AS cases, min(case_id) AS example FROM scores WHERE verdict <> 'match' GROUP BY ALL")
+def failure_modes(s, d):
+    rows = scores(s, d).where("verdict <> 'match'")
+    return rows.groupBy(F.concat_ws(":", "verdict", "field").alias("mode")).agg(F.count("*").alias("n"), F.sum((100 - F.col("score")) * F.col("weight")).alias("lost"), F.count_distinct("case_id").alias("cases"), F.min("case_id").alias("example"))
+
+
+@query("AG29_worst_cases", f"{_SCORES}, {_CASES}, worst AS (SELECT case_id, accuracy FROM cases ORDER BY accuracy, case_id LIMIT 20) SELECT case_id, accuracy, string_agg(DISTINCT field, ',' ORDER BY field) FILTER (verdict <> 'match') AS weak FROM worst JOIN scores USING (case_id) GROUP BY ALL")
+def worst_cases(s, d):
+    worst = cases(s, d).orderBy("accuracy", "case_id").limit(20).select("case_id", "accuracy")
+    weak = F.array_join(F.array_sort(F.collect_set(F.when(F.col("verdict") != "match", F.col("field")))), ",")
+    return scores(s, d).join(F.broadcast(worst), "case_id").groupBy("case_id", "accuracy").agg(F.nullif(weak, F.lit("")).alias("weak"))  # 20 rows are broadcast
+
+
+@query("AG30_issue_clusters", f"{_SCORES} SELECT field, verdict, count(DISTINCT case_id) AS cases, min(case_id) AS first_case FROM scores WHERE verdict IN ('wrong', 'missing') GROUP BY ALL")
+def issue_clusters(s, d):
+    return scores(s, d).where("verdict in ('wrong', 'missing')").groupBy("field", "verdict").agg(F.count_distinct("case_id").alias("cases"), F.min("case_id").alias("first_case"))
+
+
+@query("AG32_verdict_pivot", f"{_SCORES} SELECT field, count(*) FILTER (verdict = 'match') AS pass, count(*) FILTER (verdict IN ('partial', 'wrong')) AS fail, count(*) FILTER (verdict = 'missing') AS absent, (10000 * count(*) FILTER (verdict = 'missing')) // count(*) AS empty_rate FROM scores GROUP BY field")
+def verdict_pivot(s, d):
+    v = F.col("verdict")
+    return scores(s, d).groupBy("field").agg(F.count_if(v == "match").alias("pass"), F.count_if(v.isin("partial", "wrong")).alias("fail"), F.count_if(v == "missing").alias("absent"), F.expr("(10000 * count_if(verdict = 'missing')) div count(*)").alias("empty_rate"))
+
+
+@query("AG33_signatures", f"{_SCORES}, sig AS (SELECT case_id, string_agg(DISTINCT verdict, '+' ORDER BY verdict) AS signature FROM scores GROUP BY case_id) SELECT signature, count(*) AS n, min(case_id) AS example FROM sig GROUP BY signature")
+def signatures(s, d):
+    sig = scores(s, d).groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("verdict")), "+").alias("signature"))
+    return sig.groupBy("signature").agg(F.count("*").alias("n"), F.min("case_id").alias("example"))
+
+
+#: Floors of the mean score by field, in per cent.
+FLOORS = {"AF": 60, "NF": 65, "NO": 55, "RF": 62}
+
+
+@query("AG34_thresholds", f"{_SCORES}, floors(field, floor) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in FLOORS.items())}), m AS (SELECT field, sum(score)::BIGINT AS total, count(*) AS n FROM scores WHERE verdict <> 'missing' GROUP BY field) SELECT field, floor::BIGINT AS floor, total // n AS mean, total < floor * n AS violated FROM m JOIN floors USING (field)")
+def thresholds(s, d):
+    floors = s.createDataFrame(list(FLOORS.items()), "field string, floor long")
+    means = scores(s, d).where("verdict <> 'missing'").groupBy("field").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
+    return means.join(F.broadcast(floors), "field").select("field", "floor", F.expr("total div n").alias("mean"), (F.col("total") < F.col("floor") * F.col("n")).alias("violated"))
+
+
+@query("JN15_gold_join", "SELECT g.l_orderkey AS case_id, g.l_linenumber AS line, g.l_partkey AS part, g.l_suppkey AS source, g.l_quantity::BIGINT AS gold, o.o_orderpriority AS predicted FROM lineitem g LEFT JOIN orders o ON o.o_orderkey = g.l_orderkey AND o.o_orderstatus = g.l_linestatus")
+def gold_join(s, d):
+    gold = read(s, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("source"), F.col("l_quantity").cast("long").alias("gold"), F.col("l_linestatus").alias("status"))
+    made = read(s, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("predicted"))
+    return gold.join(made, ["case_id", "status"], "left").drop("status")
+
+
+@query("AG31_backlog", f"{_SCORES}, k AS (SELECT field, verdict, count(*) AS n FROM scores WHERE verdict <> 'match' GROUP BY ALL) SELECT field, sum(n)::BIGINT AS impact, max_by(verdict, (n, verdict)) AS top_reason FROM k GROUP BY field")
+def backlog(s, d):
+    counted = scores(s, d).where("verdict <> 'match'").groupBy("field", "verdict").agg(F.count("*").alias("n"))
+    return counted.groupBy("field").agg(F.sum("n").alias("impact"), F.max_by("verdict", F.struct("n", "verdict")).alias("top_reason"))
+
+
+@query("DM20_diverse_sample", f"{_SCORES}, {_CASES}, r AS (SELECT case_id, accuracy, row_number() OVER (PARTITION BY accuracy // 10 ORDER BY case_id) AS k FROM cases) SELECT case_id, accuracy FROM r WHERE k <= 5")
+def diverse_sample(s, d):
+    """Five cases of each accuracy class."""
+    rank = F.row_number().over(Window.partitionBy(F.expr("accuracy div 10")).orderBy("case_id"))
+    return cases(s, d).withColumn("k", rank).where("k <= 5").select("case_id", "accuracy")

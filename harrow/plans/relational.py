@@ -125,7 +125,7 @@ def clamp(s, d):
     return read(s, d, "customer").select("c_custkey", F.least(F.greatest(F.coalesce(F.expr("nullif(c_acctbal, 0)"), F.lit(0.0)), F.lit(0.0)), F.lit(100.0)).alias("clamped"))
 
 
-@query("PRJ5_nested_children", sql("SELECT job_id, count(*) AS n_applications, string_agg(candidate_id || ':' || score, ',' ORDER BY line, candidate_id, source_id) AS applicants FROM applications GROUP BY job_id"))
+@query("PRJ5_nested_children", sql("SELECT job_id, count(*) AS n_applications, string_agg(candidate_id || ':' || score, ',' ORDER BY line, candidate_id, source_id, score) AS applicants FROM applications GROUP BY job_id"))
 def nested_children(s, d):
     """Child rows as a nested list in one pass, where row-by-row reads would ask once per parent."""
     child = F.struct("line", "candidate_id", "source_id", "score")

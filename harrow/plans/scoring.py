@@ -1 +1,125 @@
-"""Queries."""
+"""Candidate to job scoring: skills, experience, education, location, and the weighted whole.
+
+A candidate's skills are the words of part names; a job asks for what its priority and comments stand for, as fixed lists.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from harrow.plans.registry import query
+from harrow.plans.tables import applications, jobs, read, sql
+
+#: Weights of the parts of a match in per cent; verdict bands; the gate on mandatory skills.
+WEIGHTS = {"skills": 60, "experience": 25, "education": 10, "location": 5}
+STRONG, POTENTIAL, GATE = 80, 40, 40
+
+_PARTS = """, base AS (SELECT a.job_id, a.line, a.candidate_id, a.source_id, p.p_size AS size, p.p_type AS kind, p.p_brand AS brand, a.score, j.title, j.org_id
+  FROM applications a JOIN jobs j USING (job_id) JOIN part p ON p.p_partkey = a.candidate_id),
+parts AS (SELECT *, score AS mandatory, (score * 4 + size * 2) // 6 AS skills,
+  CASE WHEN contains(lower(kind), lower(substr(title, 3, 3))) THEN 100 ELSE least(50, 20 + 10 * least(size // 10, 3)) END AS experience,
+  CASE WHEN regexp_matches(kind, '(?i)steel|brass') THEN 100 WHEN regexp_matches(kind, '(?i)tin|copper') THEN 50 ELSE 0 END AS education,
+  CASE WHEN org_id % 5 = 0 THEN 100 WHEN org_id % 5 = size % 5 THEN 100 ELSE 50 END AS location FROM base),
+whole AS (SELECT *, (60 * skills + 25 * experience + 10 * education + 5 * location + 50) // 100 AS overall FROM parts)"""
+
+
+def skills_score(mandatory: Column, preferred: Column) -> Column:
+    """Blend of matched mandatory and preferred skills, two to one, in whole per cent."""
+    return F.floor((mandatory * 4 + preferred * 2) / 6).cast("long")
+
+
+def experience_score(kind: Column, title: Column, years: Column) -> Column:
+    """100 where the title is found; else by years, 50 at most."""
+    return F.when(F.lower(kind).contains(F.lower(title)), 100).otherwise(F.least(F.lit(50), 20 + 10 * F.least(years, F.lit(3))))
+
+
+def education_score(degree: Column) -> Column:
+    return F.when(degree.rlike("(?i)steel|brass"), 100).when(degree.rlike("(?i)tin|copper"), 50).otherwise(0)
+
+
+def location_score(job: Column, candidate: Column) -> Column:
+    """A job without a place takes everyone; else 100 for the same place and 50 otherwise."""
+    return F.when(job.isNull(), 100).when(job == candidate, 100).otherwise(50)
+
+
+def overall() -> Column:
+    total = sum((F.col(name) * weight for name, weight in WEIGHTS.items()), F.lit(50))
+    return F.floor(total / 100).cast("long")
+
+
+def verdict(score: Column, mandatory: Column) -> Column:
+    """Bands, and never better than potential under the gate on mandatory skills."""
+    return F.when(score.isNull(), "unknown").when((score >= STRONG) & (mandatory >= GATE), "strong").when(score >= POTENTIAL, "potential").otherwise("not_a_match")
+
+
+def parts(s, d) -> DataFrame:
+    part = read(s, d, "part").select(F.col("p_partkey").alias("candidate_id"), F.col("p_size").alias("size"), F.col("p_type").alias("kind"))
+    rows = applications(s, d).join(jobs(s, d).select("job_id", "title", "org_id"), "job_id").join(part, "candidate_id")
+    place = F.col("org_id") % 5
+    return rows.select(
+        "job_id", "line", "candidate_id", "source_id", "org_id", F.col("score").alias("mandatory"), skills_score(F.col("score"), F.col("size")).alias("skills"),
+        experience_score(F.col("kind"), F.substring("title", 3, 3), F.expr("size div 10")).cast("long").alias("experience"), education_score(F.col("kind")).cast("long").alias("education"),
+        location_score(F.when(place != 0, place), F.col("size") % 5).cast("long").alias("location"),
+    )
+
+
+KEY = ("job_id", "line", "candidate_id", "source_id")
+_KEY = ", ".join(KEY)
+
+
+@query("DM1_skills", sql(f"{_PARTS} SELECT {_KEY}, skills::BIGINT AS skills FROM whole"))
+def skills(s, d):
+    return parts(s, d).select(*KEY, "skills")
+
+
+@query("DM2_experience", sql(f"{_PARTS} SELECT {_KEY}, experience::BIGINT AS experience FROM whole"))
+def experience(s, d):
+    return parts(s, d).select(*KEY, "experience")
+
+
+@query("DM3_education", sql(f"{_PARTS} SELECT education::BIGINT AS education, count(*) AS n FROM whole GROUP BY ALL"))
+def education(s, d):
+    return parts(s, d).groupBy("education").agg(F.count("*").alias("n"))
+
+
+@query("DM4_location", sql(f"{_PARTS} SELECT org_id, location::BIGINT AS location, count(*) AS n FROM whole GROUP BY ALL"))
+def location(s, d):
+    return parts(s, d).groupBy("org_id", "location").agg(F.count("*").alias("n"))
+
+
+@query("DM5_overall", sql(f"{_PARTS} SELECT {_KEY}, overall::BIGINT AS overall, CASE WHEN overall >= 80 AND mandatory >= 40 THEN 'strong' WHEN overall >= 40 THEN 'potential' ELSE 'not_a_match' END AS verdict FROM whole"))
+def whole(s, d):
+    return parts(s, d).withColumn("overall", overall()).select(*KEY, "overall", verdict(F.col("overall"), F.col("mandatory")).alias("verdict"))
+
+
+@query("DM6_reconcile", sql(f"{_PARTS} SELECT {_KEY}, CASE WHEN abs(overall - mandatory) >= 5 THEN overall ELSE mandatory END::BIGINT AS kept, abs(overall - mandatory) >= 5 AS adjusted FROM whole"))
+def reconcile(s, d):
+    """The stored score stays unless the recomputed one differs by five or more."""
+    far = F.abs(F.col("overall") - F.col("mandatory")) >= 5
+    return parts(s, d).withColumn("overall", overall()).select(*KEY, F.when(far, F.col("overall")).otherwise(F.col("mandatory").cast("long")).alias("kept"), far.alias("adjusted"))
+
+
+_SKILLS = "skill AS (SELECT DISTINCT p_partkey AS candidate_id, s FROM (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS s FROM part) WHERE s <> ''), wanted AS (SELECT * FROM (VALUES ('1-URGENT', 'steel'), ('1-URGENT', 'standard'), ('2-HIGH', 'brass'), ('2-HIGH', 'economy'), ('3-MEDIUM', 'tin')) v(title, s))"
+
+
+@query("JN14_skill_match", f"WITH {_SKILLS} SELECT title, candidate_id, count(*) AS matched FROM skill JOIN wanted USING (s) GROUP BY ALL")
+def skill_match(s, d):
+    """Candidates by job title on shared skills: an equi-join on the skill, counted; the wanted list is fixed."""
+    skill = read(s, d, "part").select(F.col("p_partkey").alias("candidate_id"), F.explode(F.array_distinct(F.split(F.lower("p_type"), " "))).alias("s")).where("s <> ''")
+    wanted = s.createDataFrame([("1-URGENT", "steel"), ("1-URGENT", "standard"), ("2-HIGH", "brass"), ("2-HIGH", "economy"), ("3-MEDIUM", "tin")], "title string, s string")
+    return skill.join(F.broadcast(wanted), "s").groupBy("title", "candidate_id").agg(F.count("*").alias("matched"))
+
+
+@query("AG37_experience_years", "SELECT k, (sum(m) // 12)::BIGINT AS years FROM (SELECT DISTINCT l_partkey AS k, l_suppkey AS r, l_linenumber AS m FROM lineitem WHERE l_linenumber <= 480) GROUP BY k")
+def experience_years(s, d):
+    """Months of distinct positions, summed, not merged, in whole years."""
+    rows = read(s, d, "lineitem").where("l_linenumber <= 480").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("r"), F.col("l_linenumber").alias("m")).distinct()
+    return rows.groupBy("k").agg(F.expr("sum(m) div 12").alias("years"))
+
+
+@query("DM15_grounding", "SELECT d.doc_id, contains(lower(text), lower(lang)) AS has_lang, contains(lower(text), lower(source)) AS has_source FROM documents d")
+def grounding(s, d):
+    """A stored value is grounded where the text holds it."""
+    text = F.lower("text")
+    return read(s, d, "documents").select("doc_id", text.contains(F.lower("lang")).alias("has_lang"), text.contains(F.lower("source")).alias("has_source"))

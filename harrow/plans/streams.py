@@ -1 +1,48 @@
-"""Queries."""
+"""Streaming behaviour run over stored events: outbox, leases, rate limits, rings, hourly windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from harrow.plans.registry import query
+from harrow.plans.tables import NOW, SQL_NOW, read
+from harrow.streaming import flows
+
+
+@query("STR1_outbox_claim", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '1997-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def outbox_claim(s, d):
+    """The oldest due rows: what one drain takes."""
+    return read(s, d, "orders").where("o_orderstatus = 'P' and o_orderdate <= timestamp'1997-01-01'").orderBy("o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "o_orderdate")
+
+
+@query("STR2_retry", "SELECT event_id, attempt, attempt > 5 AS dead, CASE WHEN attempt <= 5 THEN ts + to_seconds(least(300, 5 * power(2, attempt))::BIGINT) END AS next_at FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_type = 'error')")
+def retry(s, d):
+    """Each failure's attempt number, when it is due again, and whether it is dead."""
+    attempt = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = read(s, d, "events").where("event_type = 'error'").select("event_id", "ts", attempt.cast("long").alias("attempt"))
+    due = F.col("ts") + F.make_dt_interval(secs=F.least(F.lit(300), F.lit(5) * F.power(F.lit(2), F.least("attempt", F.lit(10)))))
+    return rows.select("event_id", "attempt", (F.col("attempt") > 5).alias("dead"), F.when(F.col("attempt") <= 5, due).alias("next_at"))
+
+
+@query("STR3_leases", f"SELECT user_id, max(ts) AS last_beat, max(ts) < {SQL_NOW} - INTERVAL 1 DAY AS stale FROM events GROUP BY user_id")
+def leases(s, d):
+    return read(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_beat")).withColumn("stale", F.col("last_beat") < F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 1 day"))
+
+
+@query("STR4_rate_limit")
+def rate_limit(s, d):
+    """At most three events of a user in six hours; refused ones don't count."""
+    return flows.rate_limited(read(s, d, "events"), 3, 6 * 3600)
+
+
+@query("STR7_ring", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def ring(s, d):
+    """The newest 20 of each user."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return read(s, d, "events").withColumn("k", rank).where("k <= 20").select("user_id", "event_id")
+
+
+@query("STR10_hourly", "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly(s, d):
+    return flows.hourly(read(s, d, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
