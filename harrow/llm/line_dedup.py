@@ -1,7 +1,6 @@
 """Line de-duplication: one line stays of every group of equal or similar lines. DataFrame functions only.
 
-A line's shingles are the SHINGLE characters from the start of each of its words (in words over LONG characters, as in text
-written without spaces, from every character that has more than LONG after it in the word, too). MinHash: for each of BANDS x ROWS fixed points, the shingle hash nearest to it in XOR distance; ROWS of them make a
+A line's shingles are the SHINGLE characters from every character that has as many left; a shorter line is its own shingle. MinHash: for each of BANDS x ROWS fixed points, the shingle hash nearest to it in XOR distance; ROWS of them make a
 band key. Lines that share a band key meet in a bucket, where leaders are verified against the others by exact Jaccard similarity;
 distributed union-find joins the verified links, until no two lines of a bucket are in different components unverified. A
 sketch of each line's shingles, as bits, rules most pairs out beforehand, and no true one. Each component keeps its first line.
@@ -18,17 +17,36 @@ from .common import components, discard, settle
 
 #: Jaccard similarity of similar lines; bands and rows find a pair at the threshold with 99.5 %.
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 7, 10, 4
-#: Longer words are shingled from every character; leaders of a bucket grow by this factor from round to round.
-LONG, MORE = 24, 8
+#: Shingles cut from one chunk of a line; leaders of a bucket grow by this factor from round to round.
+CHUNK, MORE = 32, 8
 #: Columns of a line's 256-bit sketch.
 SKETCH = ("w0", "w1", "w2", "w3")
 #: Candidate lines' hashes are broadcast up to this count (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
 
+def chunks(line: Column) -> Column:
+    """Parts of the line that overlap by SHINGLE - 1 characters: their shingles are the line's, at a cost that grows with its length only."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE},{CHUNK + SHINGLE - 1}}}|\A.{{1,{SHINGLE - 1}}}\z)).{{1,{CHUNK}}}"), F.lit(1))
+
+
+def starts(chunk: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(chunk) - (SHINGLE - 1), F.lit(1)))
+
+
+def shingle_at(chunk: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(chunk, start, SHINGLE))
+
+
 def shingles(line: Column) -> Column:
-    """The line's shingles, repeats included; none for a blank line."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:\S{{1,{LONG}}}+(?!\S)|\S)"), F.lit(1))
+    """Hashes of the line's shingles, repeats included; none for an empty line."""
+    return F.flatten(F.transform(chunks(line), lambda c: F.transform(starts(c), lambda i: shingle_at(c, i))))
+
+
+def exploded(lines: DataFrame, *names: str) -> DataFrame:
+    """The named columns and the hash s of every shingle of every line."""
+    parts = lines.select(*names, F.explode(chunks(F.col("line"))).alias("c"))
+    return parts.select(*names, "c", F.explode(starts(F.col("c"))).alias("i")).select(*names, shingle_at(F.col("c"), F.col("i")).alias("s"))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -44,20 +62,20 @@ def _names() -> list[Column]:
 def signatures(lines: DataFrame) -> DataFrame:
     """(h, first, bands) of each distinct line; first is its first occurrence, (id, mark, pos)."""
     distinct = lines.groupBy("h").agg(F.first("line").alias("line"), F.min(F.struct("id", "mark", "pos")).alias("first"))
-    exploded = distinct.select("h", "first.*", F.explode(shingles(F.col("line"))).alias("s")).select("h", "id", "mark", "pos", F.xxhash64("s").alias("s"))
+    rows = exploded(distinct.select("h", "first.*", "line"), "h", "id", "mark", "pos")
     points = [(k * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64) - (1 << 63) for k in range(BANDS * ROWS)]
     nearest = [F.min(F.col("s").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(points)]
     # the rows of a line are together since the grouping by h: no shuffle here
-    least = exploded.groupBy("h").agg(F.min("id").alias("id"), F.min("mark").alias("mark"), F.min("pos").alias("pos"), *nearest)
+    least = rows.groupBy("h").agg(F.min("id").alias("id"), F.min("mark").alias("mark"), F.min("pos").alias("pos"), *nearest)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return least.select("h", F.struct("id", "mark", "pos").alias("first"), F.array(*bands).alias("bands"))
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """(h, n, w0..w3) of each line's shingles (h, s): their number, and the bits, of 256, that they set."""
-    bit, word = F.expr("shiftleft(1L, cast(x & 63 as int))"), F.col("x").bitwiseAND(192)
+def sketches(texts: DataFrame) -> DataFrame:
+    """(h, n, w0..w3) of each line (h, line): the number of its shingles, repeats included, and the bits, of 256, that they set."""
+    bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.col("s").bitwiseAND(192)
     bits = [F.bit_or(F.when(word == 64 * k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(SKETCH)]
-    return sets.select("h", F.explode("s").alias("x")).groupBy("h").agg(F.count("*").alias("n"), *bits)
+    return exploded(texts, "h").groupBy("h").agg(F.count("*").alias("n"), *bits)
 
 
 def similar_groups(lines: DataFrame, signed: DataFrame) -> DataFrame:
@@ -74,23 +92,23 @@ def similar_groups(lines: DataFrame, signed: DataFrame) -> DataFrame:
     few = wanted.count() <= BROADCAST_ROWS
     asked = F.broadcast(wanted) if few else wanted
     found = lines.select("h", "line").join(asked, "h", "left_semi").dropDuplicates(["h"])
-    sets = settle(found.select("h", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s")), "shingles")
-    held = settle(bucket.join(sketches(sets), "h").withColumn("c", F.col("h")), "held")
+    texts = settle(found, "texts")
+    held = settle(bucket.join(sketches(texts), "h").withColumn("c", F.col("h")), "held")
     discard(bucket), discard(wanted)
     groups, links, most, open_ = None, None, 1, held
     while True:
         slot = F.pmod(F.xxhash64("h", F.lit(most)), F.lit(most)).alias("slot")
         named = open_.groupBy("band", slot).agg(F.min(F.struct("h", "c", "n", *SKETCH)).alias("l"))
         leaders = settle(named.select("band", F.col("l.h").alias("leader"), F.col("l.c").alias("of"), F.col("l.n").alias("size"), *[F.col(f"l.{w}").alias(f"l{w}") for w in SKETCH]), "leaders")
-        # |A xor B| is at least the number of differing bits, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t
+        # |A xor B| is at least the number of differing bits, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t; repeats only widen that
         differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in SKETCH), F.lit(0))
         met = held.join(leaders, "band").where("c <> of").where(differing * (1 + SIMILARITY) <= (F.col("n") + F.col("size")) * (1 - SIMILARITY) + 1e-6)
         pairs = met.select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b")).distinct()
-        left, right = sets.select(F.col("h").alias("a"), F.col("s").alias("x")), sets.select(F.col("h").alias("b"), F.col("s").alias("y"))
-        # sizes bound the similarity, too
-        near = F.least(F.size("x"), F.size("y")) >= SIMILARITY * F.greatest(F.size("x"), F.size("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        tested = pairs.join(left, "a").join(right, "b").where(near).where(both >= SIMILARITY * (F.size("x") + F.size("y") - both))
+        left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
+        # as an array of one, a pair's shingles are made once
+        sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
+        similar = F.exists(sets, lambda p: F.size(F.array_intersect(p["x"], p["y"])) >= SIMILARITY * F.size(F.array_union(p["x"], p["y"])))
+        tested = pairs.join(left, "a").join(right, "b").where(similar)
         linked = settle(tested.select("a", "b"), "links")
         links = linked if links is None else links.unionByName(linked)
         discard(groups)
@@ -105,7 +123,7 @@ def similar_groups(lines: DataFrame, signed: DataFrame) -> DataFrame:
         open_, most = held.where("c <> top"), most * MORE
         if not open_.limit(1).count():
             break
-    discard(held), discard(sets)
+    discard(held), discard(texts)
     return groups
 
 

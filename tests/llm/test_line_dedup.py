@@ -1,7 +1,10 @@
 """Line de-duplication against exact Jaccard similarity of all pairs of lines."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from harrow.llm import line_dedup
 
 
@@ -84,6 +87,33 @@ def test_large_group_of_similar_lines(spark):
     assert got == brute(rows)
 
 
+def full_shingles(line):
+    return {line[i : i + 7] for i in range(max(1, len(line) - 6))}
+
+
+def test_shingles_from_every_character(spark):
+    rng = random.Random(3)
+    lines = ["short", "sevench", "🙂你好" * 9, *("".join(rng.choice("ab é你🙂") for _ in range(n)) for n in (*range(1, 12), *range(30, 48), 70, 71, 500))]
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, line string")
+    hashed = df.select("k", line_dedup.shingles(F.col("line")).alias("s"))
+    got = {r.k: set(r.s) for r in hashed.collect()}
+    want = spark.createDataFrame([(k, s) for k, x in enumerate(lines) for s in full_shingles(x)], "k int, s string").groupBy("k").agg(F.collect_set(F.xxhash64("s")).alias("s"))
+    assert got == {r.k: set(r.s) for r in want.collect()}
+    rows = line_dedup.exploded(df, "k").groupBy("k").agg(F.collect_set("s").alias("s"))
+    assert got == {r.k: set(r.s) for r in rows.collect()}
+
+
+def test_lines_that_differ_in_word_tails_stay(spark):
+    texts = ["Order number 1234567890123 shipped", "Order number 1234567987654 shipped", "contact@example.org", "contact@elsewhere.net", "我们今天在北京开会讨论新的项目计划", "我们今天在北京参观博物馆和历史遗迹"]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_documents_against_full_shingles(spark, small, monkeypatch):
+    monkeypatch.setitem(globals(), "shingle_set", full_shingles)
+    test_documents(spark, small)
+
+
 def test_odd_documents(odd_documents, no_documents):
     out = line_dedup.deduplicate_lines(odd_documents)
     assert out.columns == odd_documents.columns
