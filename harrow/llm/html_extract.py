@@ -21,7 +21,9 @@ from .common import slices
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|hidden|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\shidden(?=[\s>/])", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "noframes", "template", "svg", "math", "select", "option", "object", "canvas", "audio", "video")}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "noframes", "template", "svg", "select")}
+#: Of these, the ones that swallow the rest of the page when their end tag is missing.
+_ENDLESS = frozenset("script style textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -59,6 +61,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     number, links, at, end = 0, 0, 0, len(page)
     current: Block | None = None
+    unended: set[str] = set()  # tags that have no end tag any more
 
     def add(text: str) -> None:
         nonlocal current
@@ -99,9 +102,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in _END:
             if not m[3].endswith("/>"):
-                over = _END[tag].search(page, at)
+                over = None if tag in unended else _END[tag].search(page, at)
+                if over is None and tag not in _ENDLESS:
+                    unended.add(tag)
+                    continue
                 at = over.end() if over else end
-            if tag not in ("svg", "math", "object", "canvas"):
+            if tag != "svg":
                 current = current if tag in ("script", "style", "noscript", "template") else None
             continue
         if tag == "br":
@@ -117,8 +123,8 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[k][0] in _BLOCK:
                     break
-            while stack[-1][0] in _CLOSES.get(tag, ()):
-                close(len(stack) - 1)
+        while stack[-1][0] in _CLOSES.get(tag, ()):
+            close(len(stack) - 1)
         if tag in _VOID or m[3].endswith("/>") and tag not in _BLOCK:
             continue
         if tag == "a":

@@ -47,3 +47,21 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert [r.text for r in got if r.page_id in (1, 2, 6)] == [""] * 4
     assert next(r.text for r in got if r.page_id is None).startswith("plain text")
+
+
+BODY = "<article><p>First paragraph, which is long enough to be read as text by itself.</p><p>Second one, that goes on about the matter.</p></article>"
+TEXT = "First paragraph, which is long enough to be read as text by itself.\nSecond one, that goes on about the matter."
+
+
+def test_missing_end_tags():
+    assert html_extract.extract(f"<datalist><option value=a><option value=b></datalist>{BODY}") == TEXT
+    for tag in ("iframe", "object", "canvas", "video", "audio", "select", "svg", "noscript", "template", "noframes", "math"):
+        assert html_extract.extract(f"<div><{tag}></div>{BODY}") == TEXT, tag
+    for tag in ("script", "style", "textarea", "title"):
+        assert html_extract.extract(f"{BODY}<{tag}><p>No text of the page, though it is long enough to be some.</p>") == TEXT
+    assert html_extract.extract(BODY + "<iframe>" * 20_000) == TEXT
+
+
+def test_inline_elements_stay():
+    page = "<article><p>The sum <math><mi>a</mi>+<mi>b</mi></math> and <object>the text of an object</object> stay in this paragraph.</p></article>"
+    assert html_extract.extract(page) == "The sum a+b and the text of an object stay in this paragraph."
