@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"(?:class|id|role|hidden|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\shidden(?=[\s>/])", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "noframes", "template", "svg", "select")}
 #: Of these, the ones that swallow the rest of the page when their end tag is missing.
@@ -29,34 +29,39 @@ _BLOCK = frozenset("address article aside blockquote body button caption center
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag of the kind closes when they are open just above it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
-#: Class, id and role words, and tags, that speak against or for content.
+#: Class, id and role words that speak against or for content; tags that rule it out or speak for it.
 _AGAINST = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer sidebar aside complementary contentinfo widget ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin register form search comment comments commentlist reply replies respond disqus discussion "
     "related recommended recommendations share sharing social pagination pager copyright legal disclaimer skip toolbar tooltip hidden paywall teaser outbrain taboola tracking".split()
 )
 _FOR = frozenset("article content main post entry story text body".split())
-_AGAINST_TAGS = frozenset("nav footer aside form button menu dialog fieldset label legend head".split())
+_AGAINST_TAGS = frozenset("nav footer aside button menu dialog fieldset label legend head".split())
 _FOR_TAGS = frozenset("article main".split())
 #: Classifier weights and smoothness; HARD outweighs all else that can meet in a block.
 HARD, NEAR, SIBLING = 40.0, 0.8, 0.8
 WEIGHTS = {"bias": -0.5, "inside": 5.0, "named": 2.5, "paragraph": 1.2, "heading": 0.6, "item": -0.6, "long": 1.6, "longer": 1.0, "sentence": 0.6, "links": -5.0}
+#: Cost of an element's words, or of a form or header; on article and main themselves it is this share of that.
+AGAINST, OWN = 14.0, 0.25
 
 
 class Block:
-    __slots__ = ("against", "inside", "links", "named", "parent", "parts", "tag", "text")
+    __slots__ = ("cost", "inside", "links", "mark", "named", "parent", "parts", "tag", "text", "veto")
 
-    def __init__(self, tag: str, parent: int, against: int, inside: int, named: int):
-        self.tag, self.parent, self.against, self.inside, self.named = tag, parent, against, inside, named
+    def __init__(self, tag: str, parent: int, veto: bool, inside: bool, named: bool, mark: int):
+        self.tag, self.parent, self.veto, self.inside, self.named, self.mark = tag, parent, veto, inside, named, mark
+        self.cost = 0.0
         self.parts: list[str] = []
         self.links, self.text = 0, ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order, with white space collapsed."""
-    # open elements: tag; what counts for all text below: against, inside article or main, named as content; of the nearest
-    # block: its tag, its number, and the number of the block around it
-    stack: list[tuple[str, int, int, int, str, int, int]] = [("", 0, 0, 0, "", 0, 0)]
+    # open elements: tag; what counts for all text below: ruled out, inside article or main, named as content, the last mark;
+    # of the nearest block: its tag, its number, and the number of the block around it
+    stack: list[tuple[str, bool, bool, bool, int, str, int, int]] = [("", False, False, False, 0, "", 0, 0)]
+    # marks: elements that speak against their text, with the mark around each and its cost
+    marks: list[tuple[int, float]] = [(0, 0.0)]
     opened: Counter[str] = Counter()
     out: list[Block] = []
     number, links, at, end = 0, 0, 0, len(page)
@@ -66,8 +71,8 @@ def blocks_of(page: str) -> list[Block]:
     def add(text: str) -> None:
         nonlocal current
         if current is None:
-            _, against, inside, named, tag, _, around = stack[-1]
-            current = Block(tag, around, against, inside, named)
+            _, veto, inside, named, mark, tag, _, around = stack[-1]
+            current = Block(tag, around, veto, inside, named, mark)
             out.append(current)
         current.parts.append(text)
         if links:
@@ -133,31 +138,53 @@ def blocks_of(page: str) -> list[Block]:
         words: set[str] = set()
         gone = False
         for a in _ATTRIBUTE.finditer(m[3]):
-            value = a[1] or a[2] or a[3] or ""
-            name = a[0].lstrip()[:6].lower()
-            if name.startswith("style"):
+            name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if name == "style":
                 gone = gone or "display:none" in value.replace(" ", "").lower()
-            elif name.startswith("hidden") or name.startswith("aria-h") and value.lower() == "true":
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 gone = True
-            elif not name.startswith("aria"):
+            elif name in ("class", "id", "role"):
                 words.update(w.lower() for w in _WORD.findall(value))
         wide = tag in ("html", "body")  # page-wide names say nothing of a part
-        bad = gone or tag in _AGAINST_TAGS or tag == "header" and not top[2] or not wide and bool(words & _AGAINST)
-        good = not wide and not bad and bool(words & _FOR)
-        block = (tag, number, top[5]) if tag in _BLOCK else top[4:]
-        stack.append((tag, top[1] or bad, top[2] or tag in _FOR_TAGS, top[3] or good, *block))
+        good = not wide and bool(words & _FOR)
+        bad = set() if wide else words & _AGAINST
+        if good or top[2]:
+            bad.discard("header")  # an article's own
+        mark = top[4]
+        if bad or tag == "form" or tag == "header" and not top[2]:
+            marks.append((mark, AGAINST * (OWN if tag in _FOR_TAGS else 1.0)))
+            mark = len(marks) - 1
+        block = (tag, number, top[6]) if tag in _BLOCK else top[5:]
+        stack.append((tag, top[1] or gone or tag in _AGAINST_TAGS, top[2] or tag in _FOR_TAGS, top[3] or good, mark, *block))
         opened[tag] += 1
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    price(out, marks)
+    return out
+
+
+def price(blocks: list[Block], marks: list[tuple[int, float]]) -> None:
+    """Sum up the marks around each block. The more of the page's text a marked element holds, the less its mark costs."""
+    mass = [0] * len(marks)
+    for b in blocks:
+        mass[b.mark] += 0 if b.veto else max(0, len(b.text) - b.links)
+    for k in range(len(marks) - 1, 0, -1):
+        mass[marks[k][0]] += mass[k]
+    sums = [0.0] * len(marks)
+    for k in range(1, len(marks)):
+        around, cost = marks[k]
+        sums[k] = sums[around] + cost * (1 - (mass[k] / max(1, mass[0])) ** 2)
+    for b in blocks:
+        b.cost = sums[b.mark]
 
 
 def evidence(b: Block) -> float:
-    """The classifier: over 0 for content. Blocks inside boilerplate elements are decided by their elements."""
-    if b.against:
+    """The classifier: over 0 for content. Blocks in hidden elements, and in those of _AGAINST_TAGS, are decided by them."""
+    if b.veto:
         return -HARD
     w, n = WEIGHTS, len(b.text)
-    x = w["bias"] + w["inside"] * bool(b.inside) + w["named"] * bool(b.named) + w["links"] * min(1.0, b.links / n) * (1.0 if b.links > 0.5 * n else 0.2)
+    x = w["bias"] - b.cost + w["inside"] * bool(b.inside) + w["named"] * bool(b.named) + w["links"] * min(1.0, b.links / n) * (1.0 if b.links > 0.5 * n else 0.2)
     x += w["paragraph"] * (b.tag in ("", "p", "blockquote", "pre")) + w["heading"] * (b.tag in _HEADING) + w["item"] * (b.tag in ("li", "td", "th", "dt", "dd"))
     return x + w["long"] * (n >= 80) + w["longer"] * (n >= 200) + w["sentence"] * (b.text[-1] in ".!?:…\"'”»。")
 
@@ -229,8 +256,8 @@ def extract(page: str | None) -> str:
         return ""
     cost = [evidence(b) for b in blocks]
     # where the page marks its article, text outside is no content of its own accord
-    if any(b.inside and not b.against for b in blocks):
-        cost = [c if b.inside or b.against else min(c, 0.0) - 3.0 for b, c in zip(blocks, cost, strict=True)]
+    if any(b.inside and not b.veto and b.cost < AGAINST / 2 for b in blocks):
+        cost = [c if b.inside or b.veto else min(c, 0.0) - 3.0 for b, c in zip(blocks, cost, strict=True)]
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:

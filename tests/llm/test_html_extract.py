@@ -65,3 +65,36 @@ def test_missing_end_tags():
 def test_inline_elements_stay():
     page = "<article><p>The sum <math><mi>a</mi>+<mi>b</mi></math> and <object>the text of an object</object> stay in this paragraph.</p></article>"
     assert html_extract.extract(page) == "The sum a+b and the text of an object stay in this paragraph."
+
+
+LONG = "<p>" + "A sentence of the article that goes on for a while, so that it is read as such. " * 4 + "</p>"
+
+
+def test_class_words_do_not_rule_articles_out():
+    article = f"<article><div class='entry-header'><h1>Its title</h1></div>{LONG}<p>Short end.</p></article>"
+    want = html_extract.extract(article)
+    assert want.startswith("Its title\nA sentence") and want.endswith("Short end.")
+    around = "<nav><a href=/>Home</a></nav>{}<div class='sidebar'><p>Popular posts of this week, listed for you here.</p></div><footer>Copyright</footer>"
+    for page in (
+        article.replace("<article>", "<article class='post category-social'>"),
+        f"<div class='layout has-sidebar'>{article}</div>",
+        f"<form id='aspnetForm'>{article}</form>",
+        article.replace("<article>", "<article data-id='ad-17'>"),
+        article.replace("<article>", "<article title='x id=ad-17'>"),
+    ):
+        assert html_extract.extract(page) == want, page
+        assert html_extract.extract(around.format(page)) == want, page
+    whole = "<form id='aspnetForm'><div class='layout has-sidebar'>" + around.format(article) + "</div></form>"
+    assert html_extract.extract(whole) == want
+
+
+def test_form_around_a_page_without_article():
+    page = f"<body><form id='aspnetForm'><div class='menu'><a href=/>Home</a></div><h1>Title</h1>{LONG * 2}<div class='comments'><p>Nice text, thank you for writing it.</p></div></form></body>"
+    got = html_extract.extract(page)
+    assert "A sentence of" in got and "Title" in got and "Nice text" not in got and "Home" not in got
+
+
+def test_boilerplate_in_articles_goes():
+    ad = "<div class='advert'><p>" + "Buy this product now, since it is the best that there is of all. " * 4 + "</p></div>"
+    assert "Buy this" not in html_extract.extract(f"<article>{LONG * 3}{ad}{LONG}</article>")
+    assert html_extract.extract(f"<div hidden>{LONG}</div><div style='display: none'>{LONG}</div><aside>{LONG}</aside>") == ""
