@@ -8,6 +8,7 @@ packed independently, so no group grows with the corpus.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -27,17 +28,31 @@ GROUP_DOCS, MEMORY = 8192, 250_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s \s?| \s")
 _encoders: dict[str, tiktoken.Encoding] = {}
+_added: dict[str, dict[str, int]] = {}
+
+
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Ids of the strings that the vocabulary lists as added tokens: they are one id wherever they occur."""
+    if json_path not in _added:
+        with open(json_path, encoding="utf-8") as file:
+            listed = json.load(file)["added_tokens"]
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in listed):
+            raise ValueError(f"{json_path}: added tokens that depend on their surroundings")
+        _added[json_path] = {a["content"]: a["id"] for a in listed}
+    return _added[json_path]
 
 
 class Ids(dict):
     """Token ids of whole texts as little-endian uint32 bytes; ids of words met before are remembered.
 
     A single space between two other characters always starts a new pre-token, so a text can be cut there
-    and each part encoded by itself; the keys are the parts after such a space. Special tokens' strings are ordinary text.
+    and each part encoded by itself; the keys are the parts after such a space. Strings in ``added`` are the ids given there; without it, ordinary text.
     """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added: dict[str, int] | None = None):
         super().__init__()
+        self.added = {a: array("I", [i]).tobytes() for a, i in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         if ranks_path not in _encoders:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
             _encoders[ranks_path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -60,6 +75,11 @@ class Ids(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.cut.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
         if len(self) > MEMORY:
             self.older = dict(self)
@@ -68,11 +88,11 @@ class Ids(dict):
         return head + b"".join(map(self.__getitem__, parts[1:])) if len(parts) > 1 else head
 
 
-def pieces(rows: DataFrame, groups: int, capacity: int, ranks_path: str) -> DataFrame:
+def pieces(rows: DataFrame, groups: int, capacity: int, ranks_path: str, json_path: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, grp) for every piece of every row of (doc_id, text, seed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = Ids(ranks_path), np.array([SEPARATOR], "<u4").tobytes()
+        ids_of, end = Ids(ranks_path, added_tokens(json_path)), np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -123,15 +143,16 @@ def pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return group
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """Pack whole texts into sequences of at most ``capacity`` tokens, one row per piece.
 
     A null or empty text is the separator alone. Rows are packed as they come: a null id stays null, and repeated
     rows are packed each. An empty table gives no rows. Other columns are ignored. sequence_id: group * 2^32 + bin.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = json_path or public_tokenizers.path("byte_bpe_50k.json")
     groups = max(1, -(-documents.count() // GROUP_DOCS))
     rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("seed"))
-    cut = pieces(rows, groups, capacity, path)
+    cut = pieces(rows, groups, capacity, path, vocabulary)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return cut.groupBy("grp").applyInPandas(lambda g: pack_group(g, capacity), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -81,3 +81,22 @@ def test_odd_documents(odd_documents, no_documents):
     whole(rows, [(r.doc_id, r.text) for r in odd_documents.collect()])
     assert sum(r.length for r in rows) == sum(len(ids_of(r.text)) for r in odd_documents.collect())
     assert packing.pack(no_documents).count() == 0
+
+
+DEFAULT = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "a", " the", "你", "🙂", "'s", "1,"]), max_size=12).map("".join))
+def test_ids_with_added_tokens(text):
+    got = packing.Ids(RANKS, packing.added_tokens(PATH))(text)
+    assert np.frombuffer(got, "<u4").tolist() == DEFAULT.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_added_tokens(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "none", "x <|endoftext|> " * 1500]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    for k, text in enumerate(texts):
+        ids = np.array([*DEFAULT.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want = [(s, len(ids), zlib.crc32(ids[s : s + 2048].tobytes())) for s in range(0, len(ids), 2048)]
+        assert sorted((r.start, r.doc_tokens, r.ids_crc32) for r in rows if r.doc_id == k) == want
