@@ -1,9 +1,11 @@
 """Line de-duplication: one line stays of every group of equal or similar lines. DataFrame functions only.
 
-A line's shingles are the SHINGLE characters from every character that has as many left; a shorter line is its own shingle. MinHash: for each of BANDS x ROWS fixed points, the shingle hash nearest to it in XOR distance; ROWS of them make a
-band key. Lines that share a band key meet in a bucket, where leaders are verified against the others by exact Jaccard similarity;
-distributed union-find joins the verified links, until no two lines of a bucket are in different components unverified. A
-sketch of each line's shingles, as bits, rules most pairs out beforehand, and no true one. Each component keeps its first line.
+A line's shingles are the SHINGLE characters from every character that has as many left; a shorter line is its own shingle. MinHash:
+each of BANDS x ROWS permutations of the shingle hashes, by rotation and XOR, gives the line its least one; ROWS of them make a
+band key. Lines that share a band key meet in a bucket, where leaders are
+verified against the others by exact Jaccard similarity; distributed union-find joins the verified links, until no two lines of a
+bucket are in different components unverified. A sketch of each line's shingles, as bits, rules most pairs out
+beforehand, and no true one. Each component keeps its first line.
 """
 
 from __future__ import annotations
@@ -13,154 +15,204 @@ import gc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, settle
+from .common import components, discard, fresh, settle
 
 #: Jaccard similarity of similar lines; bands and rows find a pair at the threshold with 99.5 %.
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 7, 10, 4
-#: Shingles cut from one chunk of a line; leaders of a bucket grow by this factor from round to round.
-CHUNK, MORE = 32, 8
-#: Columns of a line's 256-bit sketch.
-SKETCH = ("w0", "w1", "w2", "w3")
-#: Candidate lines' hashes are broadcast up to this count (8 bytes each), and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: Leaders of a bucket grow by this factor from round to round.
+MORE = 256
+#: Columns of a line's sketch, 64 bits each.
+SKETCH = tuple(f"w{k}" for k in range(16))
+#: Shingles of a line that one row takes in when they are reduced to minima.
+WIDTH = 32
+#: A band that holds more than one in so many of all rows (and FEW rows) is hot: its rows are dealt in parts. There are ROWS-many times fewer of them.
+SHARE, FEW = 1000, 256
+#: A line's identity: 128 bits of two hashes, of which 10^12 lines share one with a chance of 10^-15.
+IDENTITY = ("h", "g")
+#: The place of a line's first occurrence.
+PLACE = ("id", "mark", "pos")
 
 
-def chunks(line: Column) -> Column:
-    """Parts of the line that overlap by SHINGLE - 1 characters: their shingles are the line's, at a cost that grows with its length only."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE},{CHUNK + SHINGLE - 1}}}|\A.{{1,{SHINGLE - 1}}}\z)).{{1,{CHUNK}}}"), F.lit(1))
+def wide(line: Column) -> Column:
+    """The line in four bytes a character, so that characters are found by their place."""
+    return F.encode(line, "UTF-32")
 
 
-def starts(chunk: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(chunk) - (SHINGLE - 1), F.lit(1)))
+def exploded(lines: DataFrame, *names: str) -> DataFrame:
+    """The named columns and the hash s of every shingle, repeats included, of every line ``w`` (wide and not empty)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("w") - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+    return lines.select(*names, "w", F.explode(starts).alias("i")).select(*names, F.xxhash64(F.substring("w", F.col("i"), 4 * SHINGLE)).alias("s"))
 
 
-def shingle_at(chunk: Column, start: Column) -> Column:
-    return F.xxhash64(F.substring(chunk, start, SHINGLE))
+def strips(lines: DataFrame, *names: str) -> DataFrame:
+    """The named columns and the hashes s0, s1, ... of WIDTH shingles on from each WIDTH-th of every line ``w``; the last one fills up a line's last row."""
+    last = F.greatest(F.length("w") - (4 * SHINGLE - 1), F.lit(1))
+    rows = lines.select(*names, "w", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * WIDTH))).alias("i"))
+    return rows.select(*names, *[F.expr(f"xxhash64(substring(w, least(i + {4 * j}, last), {4 * SHINGLE}))").alias(f"s{j}") for j in range(WIDTH)])
 
 
-def shingles(line: Column) -> Column:
-    """Hashes of the line's shingles, repeats included; none for an empty line."""
-    return F.flatten(F.transform(chunks(line), lambda c: F.transform(starts(c), lambda i: shingle_at(c, i))))
+def permuted(s: str, k: int) -> str:
+    """The k-th permutation of a 64-bit hash, in SQL."""
+    turn, key = (37 * k + 5) % 63 + 1, (k + 1) * 0x9E3779B97F4A7C15 % (1 << 63)
+    return f"((shiftleft({s}, {turn}) | shiftrightunsigned({s}, {64 - turn})) ^ {key}L)"
 
 
-def exploded(lines: DataFrame, *names: str) -> DataFrame:
-    """The named columns and the hash s of every shingle of every line."""
-    parts = lines.select(*names, F.explode(chunks(F.col("line"))).alias("c"))
-    return parts.select(*names, "c", F.explode(starts(F.col("c"))).alias("i")).select(*names, shingle_at(F.col("c"), F.col("i")).alias("s"))
+def document_key(documents: DataFrame) -> list[Column]:
+    """id and mark, the text's hash: they name a document. Null ids come before all others."""
+    whole = documents.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return [known.alias("id"), F.xxhash64("text").alias("mark")]
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(id, mark, pos, h, line) of all lines that aren't blank; id and mark, the text's hash, name the document."""
-    rows = documents.where("text is not null").select(*_names(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line"))
-
-
-def _names() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("mark")]
+    """(id, mark, pos, h, g, line) of all lines that aren't blank."""
+    rows = documents.where("text is not null").select(*document_key(documents), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.where(F.col("line").rlike(r"\S")).select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, first, bands) of each distinct line; first is its first occurrence, (id, mark, pos)."""
-    distinct = lines.groupBy("h").agg(F.first("line").alias("line"), F.min(F.struct("id", "mark", "pos")).alias("first"))
-    rows = exploded(distinct.select("h", "first.*", "line"), "h", "id", "mark", "pos")
-    points = [(k * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64) - (1 << 63) for k in range(BANDS * ROWS)]
-    nearest = [F.min(F.col("s").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(points)]
-    # the rows of a line are together since the grouping by h: no shuffle here
-    least = rows.groupBy("h").agg(F.min("id").alias("id"), F.min("mark").alias("mark"), F.min("pos").alias("pos"), *nearest)
+    """(h, g, id, mark, pos, bands) of each distinct line, at the place where it occurs first."""
+    distinct = lines.groupBy(*IDENTITY).agg(F.first("line").alias("line"), F.min(F.struct(*PLACE)).alias("first"))
+    keys = (*IDENTITY, *PLACE)
+    rows = strips(distinct.select(*IDENTITY, "first.*", wide(F.col("line")).alias("w")), *keys)
+    # the rows of a line are together since the grouping by its identity: no shuffle here
+    least = rows.groupBy(*keys).agg(*[F.expr(f"min(least({', '.join(permuted(f's{j}', k) for j in range(WIDTH))}))").alias(f"m{k}") for k in range(BANDS * ROWS)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("h", F.struct("id", "mark", "pos").alias("first"), F.array(*bands).alias("bands"))
+    return least.select(*keys, F.array(*bands).alias("bands"))
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(h, n, w0..w3) of each line (h, line): the number of its shingles, repeats included, and the bits, of 256, that they set."""
-    bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.col("s").bitwiseAND(192)
-    bits = [F.bit_or(F.when(word == 64 * k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(SKETCH)]
-    return exploded(texts, "h").groupBy("h").agg(F.count("*").alias("n"), *bits)
+    """(n, size, w0, w1, ...) of each line (n, w): the number of its shingles, repeats included, and the sketch's bits that they set."""
+    bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.pmod(F.shiftrightunsigned("s", 6), F.lit(len(SKETCH))).cast("int").alias("word")
+    words = exploded(texts, "n").groupBy("n", word).agg(F.count("*").alias("size"), F.bit_or(bit).alias("bits"))
+    return words.groupBy("n").agg(F.sum("size").alias("size"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(w) for k, w in enumerate(SKETCH)])
 
 
-def similar_groups(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, component): the distinct lines that have similar ones, and the smallest hash that each of them reaches.
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose lines' exact Jaccard similarity reaches the threshold; texts: (n, w)."""
+    names = pairs.columns
+    met = pairs.join(texts.select(F.col("n").alias("a"), F.col("w").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("w").alias("y")), "b")
+    sides = met.select(*names, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("w")), F.struct(F.lit(2).alias("side"), F.col("y").alias("w")))).alias("t")).select(*names, "t.*")
+    # a pair's shingles are together since the join on b: no shuffle here
+    held = exploded(sides, *names, "side").groupBy(*names, "s").agg(F.bit_or("side").alias("sides"))
+    counted = held.groupBy(*names).agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("all"))
+    return counted.where(F.col("both") >= SIMILARITY * F.col("all")).select(*names)
+
+
+def buckets(signed: DataFrame) -> DataFrame:
+    """(band, part, parts, n, leader) for each line of a band that several lines have; leader: the smallest n among them.
+
+    A hot band's rows are dealt in parts; at most SHARE bands are hot, whatever the corpus.
+    """
+    rows = signed.select("n", F.explode("bands").alias("band"))
+    crowded = settle(rows.groupBy("band").agg(F.count("*").alias("count"), F.min("n").alias("leader")).where("count > 1"), "crowded")
+    total = crowded.agg(F.sum("count")).first()[0] or 0
+    fair = max(FEW, -(-total // SHARE))
+    parts = crowded.withColumn("parts", F.ceil(F.col("count") / fair).cast("long"))
+    hot = parts.where("parts > 1").select("band", "parts")
+    dealt = rows.join(F.broadcast(hot), "band", "left").select("n", "band", F.pmod(F.xxhash64("n"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+    owned = parts.select("band", "parts", "leader", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    out = settle(dealt.join(owned, ["band", "part"]).select("band", "part", "parts", "n", "leader"), "buckets")
+    discard(crowded)
+    return out
+
+
+def similar_groups(lines: DataFrame, signed: DataFrame) -> list[DataFrame]:
+    """Tables (node, component) that, applied one after another, take each distinct line n to its group of similar lines.
 
     Each round, every bucket names leaders (one at first, then up to MORE times as many in each round), and its lines of other
     components are verified against them; a leader then leaves the bucket. Leaders are lines outside the largest component of what
     the bucket still holds: a bucket is done when it holds one component, as all pairs across components are verified then.
+    Union-find runs over the round's links between the components that there were, never over earlier ones again.
     """
-    rows = signed.select("h", F.explode("bands").alias("band"))
-    crowded = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    bucket = settle(rows.join(crowded, "band").select("band", "h"), "buckets")
-    wanted = settle(bucket.select("h").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    asked = F.broadcast(wanted) if few else wanted
-    found = lines.select("h", "line").join(asked, "h", "left_semi").dropDuplicates(["h"])
-    texts = settle(found, "texts")
-    held = settle(bucket.join(sketches(texts), "h").withColumn("c", F.col("h")), "held")
-    discard(bucket), discard(wanted)
-    groups, links, most, open_ = None, None, 1, held
+    bucket = buckets(signed)
+    wanted = bucket.select("n").distinct().join(signed.select("n", *IDENTITY), "n")
+    found = lines.select(*IDENTITY, "line").join(wanted, list(IDENTITY)).groupBy("n").agg(F.first("line").alias("line"))
+    texts = settle(found.select("n", wide(F.col("line")).alias("w")), "texts")
+    sketched = settle(sketches(texts), "sketches")
+    # |A xor B| is at least the number of differing bits, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t; repeats only widen that
+    differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in SKETCH), F.lit(0))
+    close = differing * (1 + SIMILARITY) <= (F.col("size") + F.col("lsize")) * (1 - SIMILARITY) + 1e-6
+    other = [F.col(x).alias(f"l{x}") for x in ("size", *SKETCH)]
+    first = bucket.where("n <> leader").select("leader", "n").distinct()
+    met = first.join(sketched.select(F.col("n").alias("leader"), *other), "leader").join(sketched, "n").where(close)
+    pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), F.col("leader").alias("ca"), F.col("n").alias("cb"))
+    held = bucket.where("n <> leader").drop("leader").join(sketched, "n").withColumn("c", F.col("n"))
+    steps, most, leaders = [], 1, None
     while True:
-        slot = F.pmod(F.xxhash64("h", F.lit(most)), F.lit(most)).alias("slot")
-        named = open_.groupBy("band", slot).agg(F.min(F.struct("h", "c", "n", *SKETCH)).alias("l"))
-        leaders = settle(named.select("band", F.col("l.h").alias("leader"), F.col("l.c").alias("of"), F.col("l.n").alias("size"), *[F.col(f"l.{w}").alias(f"l{w}") for w in SKETCH]), "leaders")
-        # |A xor B| is at least the number of differing bits, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t; repeats only widen that
-        differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in SKETCH), F.lit(0))
-        met = held.join(leaders, "band").where("c <> of").where(differing * (1 + SIMILARITY) <= (F.col("n") + F.col("size")) * (1 - SIMILARITY) + 1e-6)
-        pairs = met.select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b")).distinct()
-        left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-        # as an array of one, a pair's shingles are made once
-        sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
-        similar = F.exists(sets, lambda p: F.size(F.array_intersect(p["x"], p["y"])) >= SIMILARITY * F.size(F.array_union(p["x"], p["y"])))
-        tested = pairs.join(left, "a").join(right, "b").where(similar)
-        linked = settle(tested.select("a", "b"), "links")
-        links = linked if links is None else links.unionByName(linked)
-        discard(groups)
-        groups = components(links, "lines")
-        left_over = held.drop("c").join(leaders.select("band", F.col("leader").alias("h")), ["band", "h"], "left_anti")
-        labelled = settle(left_over.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").select("band", "h", "n", *SKETCH, F.coalesce("component", "h").alias("c")), "held")
-        discard(held), discard(leaders)
-        shares = labelled.groupBy("band", "c").count()
-        largest = shares.groupBy("band").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("top.c").alias("top"))
+        links = settle(similar(pairs, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        step = components(links, "lines")
+        steps.append(step)
+        discard(links)
+        left_over = held if leaders is None else held.join(leaders.select("band", F.col("leader").alias("n")), ["band", "n"], "left_anti")
+        renamed = step.select(F.col("node").alias("c"), "component")
+        labelled = settle(left_over.join(renamed, "c", "left").select(F.coalesce("component", "c").alias("c"), *[x for x in left_over.columns if x != "c"]), "held")
+        if leaders is not None:
+            discard(leaders), discard(held)
+        # a hot band's rows are counted part by part first
+        largest = labelled.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("many")).where("many > 1").select("band", F.col("top.c").alias("top"))
         held = settle(labelled.join(largest, "band"), "held")
         discard(labelled)
         open_, most = held.where("c <> top"), most * MORE
         if not open_.limit(1).count():
             break
-    discard(held), discard(texts)
-    return groups
+        slot = F.pmod(F.xxhash64("n", F.lit(most)), F.lit(most)).alias("slot")
+        named = open_.groupBy("band", slot).agg(F.min(F.struct("n", "c", "parts", "size", *SKETCH)).alias("l"))
+        leaders = settle(named.select("band", F.col("l.n").alias("leader"), F.col("l.c").alias("of"), F.col("l.parts").alias("parts"), *[F.col(f"l.{x}").alias(f"l{x}") for x in ("size", *SKETCH)]), "leaders")
+        every = leaders.select("*", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")).drop("parts")
+        held = held.drop("top")
+        met = held.join(every, ["band", "part"]).where("c <> of").where(close)
+        pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), F.col("of").alias("ca"), F.col("c").alias("cb")).distinct()
+    discard(held), discard(texts), discard(sketched), discard(bucket)
+    if leaders is not None:
+        discard(leaders)
+    return steps
 
 
 def kept_lines(documents: DataFrame) -> DataFrame:
     """(id, mark, pos): the one line that stays of every group of similar lines."""
     lines = lines_of(documents)
-    signed = settle(signatures(lines), "signatures")
-    gc.collect()
-    documents.sparkSession._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of the settled plan
-    groups = similar_groups(lines, signed).withColumnRenamed("node", "h")
-    first = signed.select("h", "first").join(groups, "h", "left").select(F.coalesce("component", "h").alias("component"), "first")
-    # a line without similar ones is its component: only those of larger components need to meet
-    kept = settle(first.groupBy("component").agg(F.min("first").alias("first")).select("first.*"), "kept")
-    discard(signed)
+    signed = settle(signatures(lines).withColumn("n", F.monotonically_increasing_id()), "signatures")
+    collected(documents)
+    steps = similar_groups(lines, signed)
+    group = signed.select(F.struct(*PLACE).alias("first"), F.col("n").alias("c"))
+    for step in steps:
+        renamed = step.select(F.col("node").alias("c"), "component")
+        group = group.join(renamed, "c", "left").select("first", F.coalesce("component", "c").alias("c"))
+    # a line without similar ones is its component
+    kept = settle(group.groupBy("c").agg(F.min("first").alias("first")).select("first.*"), "kept")
+    for done in (signed, *steps):
+        discard(done)
+    collected(documents)
+    return kept
+
+
+def collected(documents: DataFrame) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are settled."""
     gc.collect()
     documents.sparkSession._jvm.System.gc()
-    return kept
 
 
 def deduplicate_lines(documents: DataFrame) -> DataFrame:
     """The documents with their own columns; ``text`` loses every line that an earlier one repeats or resembles.
 
-    The first of similar lines, by (doc_id, line number), stays where it is; null ids come before all others. Blank lines stay.
-    A null text stays null. Rows that repeat both doc_id and text are one document and keep the same lines. A document may
-    become empty; it stays. An empty table gives no rows. A column n_chars, if there is one, is not recomputed.
+    The first of similar lines, by (doc_id, line number), stays where it is; null ids come before all others, and ids that aren't whole
+    numbers are ordered as text. Blank lines stay. A null text stays null. Rows that repeat both doc_id and text are one
+    document and keep the same lines. A document may become empty; it stays. An empty table gives no rows. A column n_chars,
+    if there is one, is not recomputed; columns of any other name stay as they are.
     """
-    positions = kept_lines(documents).groupBy("id", "mark").agg(F.sort_array(F.collect_list("pos")).alias("_kept"))
-    named = positions.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "_kept")
-    ids, mark = _names()
-    joined = documents.join(named, (ids == F.col("_id")) & (mark == F.col("_mark")), "left").withColumn("_lines", F.split("text", "\n"))
-    kept = F.coalesce("_kept", F.array().cast("array<int>"))
+    kept, id_, mark_, lines = (fresh(documents, x) for x in ("kept", "id", "mark", "lines"))
+    positions = kept_lines(documents).groupBy("id", "mark").agg(F.sort_array(F.collect_list("pos")).alias(kept))
+    named = positions.select(F.col("id").alias(id_), F.col("mark").alias(mark_), kept)
+    ids, mark = document_key(documents)
+    joined = documents.join(named, (ids == F.col(id_)) & (mark == F.col(mark_)), "left").withColumn(lines, F.split("text", "\n"))
+    stays = F.coalesce(kept, F.array().cast("array<int>"))
     # blank lines stay: their positions are looked for only where the text has one
-    blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda p: p.isNotNull())
-    stay = F.array_sort(F.when(F.col("text").rlike(r"(?:^|\n)[ \t\x0B\f\r]*+(?:\n|$)"), F.concat(kept, blank)).otherwise(kept))
-    chosen = F.array_join(F.transform(stay, lambda p: F.get(F.col("_lines"), p)), "\n")
-    whole = F.col("text").isNull() | (F.size("_lines") == F.size(kept))
-    return joined.select(*[F.when(whole, F.col("text")).otherwise(chosen).alias("text") if c == "text" else F.col(c) for c in documents.columns])
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda p: p.isNotNull())
+    stay = F.array_sort(F.when(F.col("text").rlike(r"(?:^|\n)[ \t\x0B\f\r]*+(?:\n|$)"), F.concat(stays, blank)).otherwise(stays))
+    chosen = F.array_join(F.transform(stay, lambda p: F.get(F.col(lines), p)), "\n")
+    whole = F.col("text").isNull() | (F.size(lines) == F.size(stays))
+    return joined.select(*[F.when(whole, F.col("text")).otherwise(chosen).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
 
 def line_digests(documents: DataFrame) -> DataFrame:

@@ -9,12 +9,7 @@ from harrow.llm import line_dedup
 
 
 def shingle_set(line):
-    out, at = set(), 0
-    for word in re.split(r"([ \t\n\x0b\f\r]+)", line):
-        if word.strip(" \t\n\x0b\f\r"):
-            out.update(line[at + i : at + i + 7] for i in range(max(1, len(word) - 23)))
-        at += len(word)
-    return out
+    return {line[i : i + 7] for i in range(max(1, len(line) - 6))}
 
 
 def brute(rows):
@@ -87,20 +82,35 @@ def test_large_group_of_similar_lines(spark):
     assert got == brute(rows)
 
 
-def full_shingles(line):
-    return {line[i : i + 7] for i in range(max(1, len(line) - 6))}
-
-
 def test_shingles_from_every_character(spark):
     rng = random.Random(3)
     lines = ["short", "sevench", "🙂你好" * 9, *("".join(rng.choice("ab é你🙂") for _ in range(n)) for n in (*range(1, 12), *range(30, 48), 70, 71, 500))]
-    df = spark.createDataFrame(list(enumerate(lines)), "k int, line string")
-    hashed = df.select("k", line_dedup.shingles(F.col("line")).alias("s"))
-    got = {r.k: set(r.s) for r in hashed.collect()}
-    want = spark.createDataFrame([(k, s) for k, x in enumerate(lines) for s in full_shingles(x)], "k int, s string").groupBy("k").agg(F.collect_set(F.xxhash64("s")).alias("s"))
-    assert got == {r.k: set(r.s) for r in want.collect()}
-    rows = line_dedup.exploded(df, "k").groupBy("k").agg(F.collect_set("s").alias("s"))
-    assert got == {r.k: set(r.s) for r in rows.collect()}
+    wide = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.wide(F.col("line")).alias("w"))
+    pairs = spark.createDataFrame([(k, s) for k, x in enumerate(lines) for s in shingle_set(x)], "k int, s string")
+    want = {r.k: set(r.s) for r in pairs.select("k", line_dedup.wide(F.col("s")).alias("w")).groupBy("k").agg(F.collect_set(F.xxhash64("w")).alias("s")).collect()}
+    assert want == {r.k: set(r.s) for r in line_dedup.exploded(wide, "k").groupBy("k").agg(F.collect_set("s").alias("s")).collect()}
+    flat = line_dedup.strips(wide, "k").select("k", F.explode(F.array(*[f"s{j}" for j in range(line_dedup.WIDTH)])).alias("s"))
+    assert want == {r.k: set(r.s) for r in flat.groupBy("k").agg(F.collect_set("s").alias("s")).collect()}
+
+
+def test_recall_of_similar_lines_by_size(spark):
+    """Pairs of lines that are similar and not equal share a band: 99 % of them, whatever their length."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz ,."
+    texts, pairs = [], []
+    for size in (11, 13, 16, 20, 30, 60, 120, 400):
+        while sum(p[2] == size for p in pairs) < 150:
+            line = "".join(rng.choice(letters) for _ in range(size))
+            at = rng.randrange(size + 1)
+            other = rng.choice([line + rng.choice(letters), rng.choice(letters) + line, line[:-1], line[:at] + rng.choice(letters) + line[at:]])
+            a, b = shingle_set(line), shingle_set(other)
+            if line.strip() and other.strip() and line != other and len(a & b) >= 0.8 * len(a | b):
+                pairs.append((len(texts), len(texts) + 1, size))
+                texts += [line, other]
+    rows = spark.createDataFrame([(i, None, 0, i, 0, t) for i, t in enumerate(texts)], "id bigint, mark bigint, pos int, h bigint, g bigint, line string").fillna(0)
+    bands = {r.h: set(r.bands) for r in line_dedup.signatures(rows).collect()}
+    met = {size: sum(bool(bands[a] & bands[b]) for a, b, s in pairs if s == size) for size in {p[2] for p in pairs}}
+    assert sum(met.values()) >= 0.99 * len(pairs) and all(n >= 0.95 * 150 for n in met.values()), met
 
 
 def test_lines_that_differ_in_word_tails_stay(spark):
@@ -109,9 +119,26 @@ def test_lines_that_differ_in_word_tails_stay(spark):
     assert got == dict(enumerate(texts))
 
 
-def test_documents_against_full_shingles(spark, small, monkeypatch):
-    monkeypatch.setitem(globals(), "shingle_set", full_shingles)
-    test_documents(spark, small)
+def test_clashing_names_and_other_ids(spark):
+    line = "a line that occurs in more than one of the documents of this test"
+    rows = [("b", f"{line}\nsecond", 1, 2, 3, 4, 5), ("a", line, 1, 2, 3, 4, 5), (None, None, 1, 2, 3, 4, 5), ("b", "", 1, 2, 3, 4, 5)]
+    names = ["_id", "_mark", "_kept", "_lines", "kept"]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, _id int, _mark int, _kept int, _lines int, kept int")
+    got = line_dedup.deduplicate_lines(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("b", "second", 1, 2, 3, 4, 5), ("a", line, 1, 2, 3, 4, 5), (None, None, 1, 2, 3, 4, 5), ("b", "", 1, 2, 3, 4, 5)]))
+    assert got.select(*names).distinct().count() == 1
+
+
+def test_hot_bands_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", 8)
+    monkeypatch.setattr(line_dedup, "MORE", 4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 50], f"x{i % 90}", *words[i % 50 + 1 :]])) for i in range(150)]
+    rows += [(200 + i, f"the same beginning of a line that many lines have, and then {i} " + f"{i * 7919 % 1000} " * 6) for i in range(100)]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute(rows)
+    assert sum(got[k] != want[k] for k in want) <= 2
 
 
 def test_odd_documents(odd_documents, no_documents):
