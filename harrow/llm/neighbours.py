@@ -1,64 +1,93 @@
 """Approximate nearest neighbours by collision counting over query-centred windows (one projection per hash function).
 
-Every vector is indexed. Vectors and queries are dealt in blocks; a task holds one block of each, builds one sorted array per
-projection, and widens every query's windows by virtual rehashing (the radius grows by a factor) until the windows are as
-wide as the distance to the k-th nearest verified vector. Vectors that collide in enough projections are verified exactly.
+Every vector is indexed. Vectors are dealt in blocks; a task holds one block at a time, builds its sorted arrays once, one for each
+projection, and queries stream past them. A query's windows are widened by virtual rehashing (the radius grows by a factor);
+vectors that collide in enough projections are verified exactly. A block's search stops when k verified vectors are so near
+that nearer ones would have collided, or when a small share of the block is verified.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, settle
+
 K = 10
-#: Projections; share of them that must collide; growth of the radius; half a window in radii at which a search may stop.
-PROJECTIONS, THRESHOLD, GROWTH, STOP, SEED = 48, 0.5, 1.3, 1.0, 7
-#: Vectors and queries of one task's blocks, on average.
-BLOCK, QUERIES = 16384, 1024
-
-
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, distance) of each query's k nearest verified vectors of one block; ties go to smaller ids."""
-    n, dim = x.shape
-    m = PROJECTIONS
-    lines = np.random.default_rng(SEED).standard_normal((dim, m))
-    px, pq = x @ lines, q @ lines
-    order = np.argsort(px, axis=0, kind="stable")
-    value = np.take_along_axis(px, order, axis=0)
-    need = int(np.ceil(THRESHOLD * m))
-    # the first radius: windows of some vectors, at the spread that the block's projections have
-    first = max(float(np.subtract(*np.percentile(px[:, 0], [75, 25]))) / 16, 1e-12 * (1 + float(np.abs(px).max())))
-    rows, found, dist = [], [], []
-    for r in range(len(q)):
-        others = n - int((ids == query_ids[r]).sum())
-        hits, verified = np.zeros(n, np.int32), np.zeros(n, bool)
-        verified[ids == query_ids[r]] = True
-        low = high = None
-        best_ids, best = np.zeros(0, ids.dtype), np.zeros(0)
-        radius = first
-        while True:
-            lo = np.array([np.searchsorted(value[:, j], pq[r, j] - radius, "left") for j in range(m)])
-            hi = np.array([np.searchsorted(value[:, j], pq[r, j] + radius, "right") for j in range(m)])
-            if low is None:
-                fresh = [order[a:b, j] for j, (a, b) in enumerate(zip(lo, hi, strict=True))]
-            else:
-                fresh = [order[a:b, j] for j in range(m) for a, b in ((lo[j], low[j]), (high[j], hi[j]))]
+#: Projections (whole orthonormal bases, whose errors cancel in part); share of them that must collide; growth of the radius.
+PROJECTIONS, THRESHOLD, GROWTH, SEED = 192, 0.8, 1.04, 7
+#: A vector at distance d collides in THRESHOLD of the projections at a half window of REACH d, as expected; a search may stop at SLACK times that.
+REACH, SLACK = 1.2816, 1.15
+#: Beyond k, the share of a block's vectors after whose verification a search stops: at the end of a round, whose vectors are all verified.
+VERIFIED = 0.04
+#: Vectors of a block, on average.
+BLOCK = 16384
+
+
+def projections(dim: int, m: int = PROJECTIONS) -> np.ndarray:
+    """dim x m directions: random orthonormal bases side by side, scaled so that a difference of length d projects to d on average (in the square)."""
+    rng, made = np.random.default_rng(SEED), []
+    while sum(b.shape[1] for b in made) < m:
+        made.append(np.linalg.qr(rng.standard_normal((dim, dim)))[0] * np.sqrt(dim))
+    return np.concatenate(made, axis=1)[:, :m]
+
+
+class Index:
+    """The sorted projections of one block of vectors of one length."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        self.rows, self.ids, self.x = rows, ids, x
+        self.lines = projections(x.shape[1])
+        shadow = x @ self.lines
+        n, m = shadow.shape
+        order = np.argsort(shadow, axis=0, kind="stable")
+        self.low = shadow.min()
+        # the arrays lie end to end, each moved beyond the one before: one search finds all windows
+        self.wide = float(shadow.max() - self.low)
+        self.shift = np.arange(m) * (2 * self.wide + 1.0)
+        self.value = (np.take_along_axis(shadow, order, axis=0) - self.low + self.shift).T.reshape(-1)
+        self.order = order.T.reshape(-1).astype(np.int32)
+        self.first = np.arange(m) * n
+        self.verified = 0
+
+    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest verified vectors of any row but ``own``; ties go to smaller ids."""
+        n, m = len(self.x), len(self.first)
+        others = n - int((self.rows == own).sum())
+        hits, open_ = np.zeros(n, np.int32), self.rows != own
+        need, limit = int(np.ceil(THRESHOLD * m)), k + VERIFIED * n
+        if not others:
+            return np.zeros(0, np.int64), np.zeros(0)
+        # a query's place is kept near its array, whose whole width then is in reach
+        at = np.clip(q @ self.lines - self.low, -self.wide, 2 * self.wide) + self.shift
+        low = high = np.clip(np.searchsorted(self.value, at), self.first, self.first + n)
+        # the first radius: half of what a vector at the mean distance of some needs
+        some = self.x[:: max(1, n // 64)]
+        radius = max(REACH / 2 * float(np.sqrt(((some - q) ** 2).sum(1)).mean()), 1e-12)
+        best_ids, best, seen = np.zeros(0, np.int64), np.zeros(0), 0
+        while len(best) < min(k, others) or not (radius >= REACH * SLACK * best[-1] or seen >= limit or seen >= others):
+            width = min(radius, 3 * self.wide + 1.0)
+            lo = np.minimum(np.maximum(np.searchsorted(self.value, at - width, "left"), self.first), low)
+            hi = np.maximum(np.minimum(np.searchsorted(self.value, at + width, "right"), self.first + n), high)
+            starts, sizes = np.concatenate([lo, high]), np.concatenate([low - lo, hi - high])
+            places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            hits += np.bincount(self.order[places], minlength=n).astype(np.int32)
             low, high = lo, hi
-            hits += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            new = np.flatnonzero((hits >= need) & ~verified)
+            new = np.flatnonzero(open_ & (hits >= need))
             if len(new):
-                verified[new] = True
-                d = np.sqrt(((x[new] - q[r]) ** 2).sum(1))
-                best_ids, best = np.r_[best_ids, ids[new]], np.r_[best, d]
+                open_[new] = False
+                seen += len(new)
+                d = np.sqrt(((self.x[new] - q) ** 2).sum(1))
+                best_ids, best = np.r_[best_ids, self.ids[new]], np.r_[best, d]
                 top = np.lexsort((best_ids, best))[:k]
                 best_ids, best = best_ids[top], best[top]
-            if len(best) == min(k, others) and (len(best) == 0 or len(best) < k or radius >= STOP * best[-1] or verified.all()):
-                break
-            radius *= GROWTH
-        rows.append(np.full(len(best), r)), found.append(best_ids), dist.append(best)
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
+            radius *= GROWTH if seen else 1.1
+        self.verified += seen
+        return best_ids, best
 
 
 def usable(embedding: Column) -> Column:
@@ -68,29 +97,50 @@ def usable(embedding: Column) -> Column:
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every vector that ``is_query`` holds for, nearest first.
+    """(query_id, rank, vec_id, score): the k nearest found of every row that ``is_query`` holds for, nearest first.
 
-    Candidates are all rows but those of the query's own id; ties go to smaller ids. Rows with a null id or an unusable
-    vector take no part, nor do those of another length than the query's; repeated rows count once. An empty table gives no rows.
+    Candidates are all rows but the query's own: other rows of its id or vector are among them, and repeated rows count and
+    are searched for each. Ties go to smaller ids. Rows with a null id or an unusable vector take no part, nor do those of another length
+    than the query's. An empty table gives no rows.
     """
-    rows = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
-    total, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, groups = max(1, -(-total // BLOCK)), max(1, -(-asked // QUERIES))
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))
-    stored = rows.select("vec_id", "embedding", F.lit(False).alias("query"), deal[0].alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
-    queries = rows.where(is_query).select("vec_id", "embedding", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), deal[1].alias("part"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        size = group["embedding"].str.len()
-        parts = []
-        for n in size[group["query"]].unique():
-            asked, held = group[group["query"] & (size == n)], group[~group["query"] & (size == n)]
-            if len(held):
-                r, ids, d = search_block(held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy()), asked["vec_id"].to_numpy(), np.stack(asked["embedding"].to_numpy()), k)
-                parts.append(pd.DataFrame({"query_id": asked["vec_id"].to_numpy()[r], "vec_id": ids, "score": d}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    found = stored.unionByName(queries).groupBy("block", "part").applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asks = fresh(embeddings, "asks")
+    marked = embeddings.withColumn(asks, F.coalesce(is_query, F.lit(False))).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    # rows are numbered once, in a written table: repeated rows are told apart
+    table = settle(marked.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col(asks).alias("asks")), "vectors")
+    total = table.count()
+    blocks = max(1, -(-total // BLOCK))
+    stored = table.select("row", "vec_id", "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long").alias("block"))
+    asked = table.where("asks").select("row", "vec_id", "embedding", "asks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    dealt = stored.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    heads = ["row", "query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, indexes = None, [], {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for number, part in frame.groupby("block", sort=True):
+                if number != block:
+                    block, held, indexes = number, [], {}
+                if not part["asks"].all():
+                    held.append(part[~part["asks"]])
+                part = part[part["asks"]]
+                if len(part) and held:
+                    every = [row for h in held for row in zip(h["row"], h["vec_id"], h["embedding"], strict=True)]
+                    for dim in {len(e) for _, _, e in every}:
+                        own = [row for row in every if len(row[2]) == dim]
+                        indexes[dim] = Index(np.array([r[0] for r in own]), np.array([r[1] for r in own], np.int64), np.stack([r[2] for r in own]))
+                    held = []
+                out: list[list[np.ndarray]] = [[] for _ in heads]
+                for row, query, vector in zip(part["row"], part["vec_id"], part["embedding"], strict=True):
+                    index = indexes.get(len(vector))
+                    if index is None:
+                        continue
+                    ids, score = index.search(row, np.asarray(vector), k)
+                    for column, value in zip(out, (np.full(len(ids), row), np.full(len(ids), query), ids, score), strict=True):
+                        column.append(value)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], heads)
+
+    found = dealt.mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
