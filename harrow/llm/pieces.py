@@ -56,12 +56,13 @@ class Pieces:
         for i in range(n):
             if sp.is_unknown(i):
                 self.decoded[i] = (" ⁇ ".encode(), False)
+        self.raw, self.is_byte = [d[0] for d in self.decoded], frozenset(self.bytes.tolist())
         self.points = np.full(0x110000, -1, np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.points[ord(piece)] = i
         self.names = [str(i) for i in range(n)]
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[str, list[int]]] = {}
         self.older = self.words
 
     NONE = np.int64(1 << 62)
@@ -140,7 +141,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of every whole text: the number of ids, the ids in decimal joined by commas, and the text they decode to.
 
-        All three are put together from the words'; ids, and so bytes, never run from one word into the next.
+        Ids are put together from the words', as they never run from one word into the next; the text is decoded from the ids.
         """
         split = [[] if not t else t.split(" ") if not _ODD.search(t) else [p.replace(" ", SPACE) for p in _SAFE.split(t)] for t in texts]
         if len(self.words) > MEMORY:
@@ -156,13 +157,13 @@ class Pieces:
             sym, ends = self.merge(new)
             listed, bounds = sym.tolist(), ends.tolist()
             decimals = [self.names[i] for i in listed]
-            raw = [self.decoded[i][0] for i in listed]  # whole characters: encoding splits none
             for w, a, b in zip(new, bounds[:-1], bounds[1:], strict=True):
-                known[w] = (b - a, ",".join(decimals[a:b]), b"".join(raw[a:b]).decode())
+                known[w] = (",".join(decimals[a:b]), listed[a:b])
         out = []
         for parts in split:
             found = [known[p] for p in parts]
-            out.append((sum([f[0] for f in found]), ",".join([f[1] for f in found]), "".join([f[2] for f in found])[1:]))
+            ids = list(itertools.chain.from_iterable([f[1] for f in found]))
+            out.append((len(ids), ",".join([f[0] for f in found]), self.decode(ids)))
         for w in new:
             if len(w) > 64:
                 del known[w]
@@ -170,13 +171,12 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, as the library gives it: the dummy prefix goes, bytes that aren't UTF-8 become U+FFFD each."""
-        table = self.decoded
-        found, front = [table[i] for i in ids], False
-        if not any([f[1] for f in found]):
-            text = b"".join([f[0] for f in found]).decode()
+        raw, is_byte = self.raw, self.is_byte
+        if is_byte.isdisjoint(ids):
+            text, front = b"".join([raw[i] for i in ids]).decode(), False
         else:
-            front = found[0][1]
-            text = "".join([_lossy(b"".join([f[0] for f in run])) if byte else b"".join([f[0] for f in run]).decode() for byte, run in itertools.groupby(found, lambda f: f[1])])
+            runs = [(byte, b"".join([raw[i] for i in run])) for byte, run in itertools.groupby(ids, is_byte.__contains__)]
+            text, front = "".join([_lossy(r) if byte else r.decode() for byte, r in runs]), runs[0][0]
         return text[1:] if text[:1] == " " and not front else text
 
 
