@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, span_hashes, text_buffer
+from .common import fresh, slices, span_hashes, text_buffer
 
 BITS = 18
 #: At most so many labelled rows are learnt from, chosen by a hash of the id; passes over them.
@@ -103,13 +103,16 @@ def ftrl(idx: list[np.ndarray], val: list[np.ndarray], label: np.ndarray, epochs
 def train(documents: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX_TRAIN) -> np.ndarray:
     """Weights learnt from labelled documents whose id is ``usable``; at most ``max_train`` ids, lowest hash first.
 
-    Rows with a null id, label or text are not learnt from; a repeated id is learnt from once per label row.
+    Rows with a null id, label or text are not learnt from; an id with several texts is learnt from by the one of the least hash, and
+    once for each different label.
     Without any rows all weights are zero, which scores every text 0.5.
     """
     order = F.xxhash64("doc_id")
     known = labels.where("doc_id is not null and quality is not null").where(usable).select("doc_id", F.col("quality").cast("int").alias("label"), order.alias("order"))
     chosen = known.orderBy("order", "label").limit(max_train)  # its size is bounded, whatever the corpus
-    texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", "text")
+    held = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one row for each chosen id, however often the documents repeat it
+    texts = held.groupBy("order", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "label"], kind="stable")
@@ -156,5 +159,5 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns. Learns from all labelled ids."""
-    weights = train(documents, labels, F.lit(True))
-    return score(documents, weights, "_score").where(F.col("_score") >= least).select(*documents.columns)
+    weights, column = train(documents, labels, F.lit(True)), fresh(documents, "score")
+    return score(documents, weights, column).where(F.col(column) >= least).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -1,5 +1,9 @@
 """The classifier: held-out accuracy, repeatability, what it may not look at."""
 
+import math
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from harrow.llm import quality
@@ -30,3 +34,41 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert {r.score for r in quality.quality_scores(odd_documents, labels.limit(0)).collect()} == {0.5}
     kept = quality.keep_good(odd_documents, labels)
     assert kept.columns == odd_documents.columns
+
+
+def plain_ftrl(rows, epochs):
+    """FTRL-proximal, coordinate by coordinate. rows: ({place: value}, label)."""
+    z, n, a, b, l1, l2 = {}, {}, quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    ones = sum(y for _, y in rows)
+
+    def weight(i):
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            x = {**x, 1 << quality.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (len(rows) / 2 / (ones if y else len(rows) - ones)) * (p - y) * v
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / a * w[i]
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_updates_against_plain_ones():
+    rng = random.Random(2)
+    rows = [({rng.randrange(40) * 1000: rng.uniform(0.1, 3) for _ in range(rng.randrange(1, 9))}, rng.randrange(2)) for _ in range(120)]
+    got = quality.ftrl([np.array(list(x), np.int32) for x, _ in rows], [np.array(list(x.values())) for x, _ in rows], np.array([y for _, y in rows]), 3)
+    want = plain_ftrl(rows, 3)
+    assert set(np.flatnonzero(got)) == set(want)
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+
+
+def test_columns_of_any_name_stay(spark, tiny):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "good words here", 0.25, 0.5), (2, "bad bad bad", 0.25, 0.5), (3, "good words too", 0.25, 0.5), (1, "good words here", 0.25, 0.5)], "doc_id bigint, text string, _score double, score double")
+    kept = quality.keep_good(docs, labels, 0.0)
+    assert kept.columns == docs.columns and {(r._score, r.score) for r in kept.collect()} == {(0.25, 0.5)} and kept.count() == 4
