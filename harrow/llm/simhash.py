@@ -1,12 +1,14 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at a Hamming radius by bit-sliced comparison.
 
-Fingerprints are compared in buckets: of five parts of the bits, two fingerprints within four bits share one at least.
+Fingerprints are compared in buckets: of seven parts of the bits, two fingerprints within four bits share three at least, so each
+choice of three parts is a key of 27 bits or more.
 In a bucket the fingerprints lie vertically, as bit planes of 64 lanes; the distances of one fingerprint to 64 others are
 counted at once by carry-save adders over words, and a block of lanes is abandoned once all of them exceed the radius.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, slices, text_buffer
+from .common import components, discard, fresh, settle, slices, text_buffer
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Bits of the five parts; fingerprints of a bucket that one group holds at most (larger ones are dealt in pairs of blocks).
-PARTS, BLOCK = (13, 13, 13, 13, 12), 2048
+#: Bits of the seven parts, and how many make a key; fingerprints of a bucket that one group holds at most (larger ones are dealt in pairs of blocks).
+PARTS, CHOSEN, BLOCK = (9, 9, 9, 9, 9, 9, 10), 3, 2048
+#: A fingerprint of more than one in so many of the rows (and FEW rows) is hot: its rows are dealt in parts. There are SHARE of them at most.
+SHARE, FEW = 1000, 4096
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _GAP = np.zeros(256, bool)
@@ -156,12 +160,12 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     A bucket over BLOCK fingerprints is dealt to pairs of its blocks, so no task holds more than two blocks of one; in a
     group only a spanning forest of its links is put out.
     """
-    if radius >= len(PARTS) or radius > 6:
+    if radius + CHOSEN > len(PARTS) or radius > 6:
         raise ValueError("the buckets are made for a radius of four at most")
-    keys, shift = [], 0
-    for p, bits in enumerate(PARTS):
-        keys.append(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1) + (p << 16))
-        shift += bits
+    keys = []
+    for number, chosen in enumerate(itertools.combinations(range(len(PARTS)), CHOSEN)):
+        mask = sum(((1 << PARTS[p]) - 1) << sum(PARTS[:p]) for p in chosen)
+        keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))), F.lit(number)))
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     counts = rows.groupBy("bucket").count().where("count > 1").select("bucket", F.expr(f"(count + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     placed = rows.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
@@ -200,19 +204,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     repeated in the result; an empty table gives no rows; other columns are ignored.
     """
     prints = settle(fingerprints(documents), "fingerprints")
-    low = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
+    low = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "prints")
     groups = components(links(low.select("fp")), "simhash")
     member = low.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = settle(member.join(least, "component").select("fp", "component_id"), "named")
-    # one fingerprint may be a third of all documents: the join's large partitions are split at run time, the side of
-    # distinct fingerprints being repeated for the parts
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # one fingerprint may be a third of all documents: the rows of hot ones are dealt in parts, at most SHARE hot ones whatever the corpus
+    total = low.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") / max(FEW, -(-total // SHARE))).cast("long")
+    named = settle(member.join(least, "component").select("fp", "component_id", parts.alias("parts")), "named")
+    discard(low), discard(groups)
+    hot = named.where("parts > 1").select("fp", "parts")
+    dealt = prints.join(F.broadcast(hot), "fp", "left").select("fp", "doc_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+    owned = named.select("fp", "component_id", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    return dealt.join(owned, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(documents: DataFrame) -> DataFrame:
     """The documents of the smallest doc_id of each group, with their own columns; those without an id all stay."""
     found = near_duplicates(documents.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    name = fresh(documents, "kept")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    named = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name), "left_semi")
     return named.unionByName(documents.where("doc_id is null"))

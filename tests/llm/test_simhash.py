@@ -39,7 +39,8 @@ def reachable(prints):
     return [least[root(i)] for i in range(len(prints))]
 
 
-def test_documents(spark, small):
+def test_documents(spark, small, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 2)  # many hot fingerprints
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
     prints = [(r.doc_id, fingerprint(r.text)) for r in rows]
@@ -72,6 +73,8 @@ def test_odd_documents(odd_documents, no_documents):
     blank = [r for r in got if r.fingerprint == "0" * 16]
     assert {r.doc_id for r in blank} == {None, 0, 1, 2, 3} and {r.component_id for r in blank} == {0}
     assert simhash.near_duplicates(no_documents).count() == 0
+    clash = odd_documents.withColumn("_kept", F.lit(1)).withColumn("kept", F.lit(2))
+    assert simhash.one_per_group(clash).select("_kept", "kept").distinct().collect() == [(1, 2)]
     kept = simhash.one_per_group(odd_documents)
     assert kept.columns == odd_documents.columns
     assert {0, 5}.issubset({r.doc_id for r in kept.collect()}) and kept.where("doc_id = 1").count() == 0
