@@ -113,8 +113,12 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    return ("pdf", end + 5 - at) if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
+    """To the last end mark before the next file's head: updated and linearised files have several."""
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    following = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, following if following >= 0 else len(b))
+    return ("pdf", end + 5 - at) if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else None
 
 
 def _zip(b: bytes, at: int) -> tuple[str, int] | None:
@@ -149,7 +153,28 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     return ("ogg", p - at) if at < p <= len(b) else None
 
 
+def _crc8(b: bytes) -> int:
+    """Remainder by x^8 + x^2 + x + 1, as frame headers carry it."""
+    r = 0
+    for x in b:
+        r ^= x
+        for _ in range(8):
+            r = (r << 1 ^ 0x107) if r & 0x80 else r << 1
+    return r
+
+
+def _flac_frame(b: bytes, p: int) -> bool:
+    """A frame header, confirmed by its checksum, begins here."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 2] >> 4 == 0 or b[p + 2] & 15 == 15 or b[p + 3] >> 4 > 10 or b[p + 3] & 1:
+        return False
+    lead, q = b[p + 4], p + 4
+    q += 1 if lead < 0x80 else next((n for n in range(2, 8) if lead >> (7 - n) == (1 << (n + 1)) - 2), 0) if lead < 0xFE else 7 if lead == 0xFE else 0
+    q += {6: 1, 7: 2}.get(b[p + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[p + 2] & 15, 0)
+    return q > p + 4 and q < len(b) and _crc8(b[p:q]) == b[q]
+
+
 def _flac(b: bytes, at: int) -> tuple[str, int] | None:
+    """Metadata blocks and the frames after them. A frame's length isn't stored: the last one ends where the next signature or the value does."""
     p, first = at + 4, True
     while p + 4 <= len(b):
         last, kind, n = b[p] >> 7, b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
@@ -157,7 +182,10 @@ def _flac(b: bytes, at: int) -> tuple[str, int] | None:
             return None
         p, first = p + 4 + n, False
         if last:
-            return "flac", len(b) - at
+            if not _flac_frame(b, p):
+                return "flac", p - at  # metadata alone
+            stops = [s for m, (_, before) in MAGIC.items() if len(m) > 3 and (s := b.find(m, p) - before) >= p]
+            return "flac", min(stops, default=len(b)) - at
     return None
 
 
@@ -165,6 +193,10 @@ def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
     p, kinds = at, set()
     while p + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
+        if n == 1 and p + 16 <= len(b):  # a 64-bit size follows
+            n = struct.unpack_from(">Q", b, p + 8)[0]
+        elif n == 0:  # to the end
+            n = len(b) - p
         if n < 8 or p + n > len(b) or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"udta", b"uuid", b"moof", b"mfra", b"sidx", b"meta", b"pdin", b"styp"):
             break
         p, kinds = p + n, kinds | {kind}
@@ -174,6 +206,10 @@ def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
 VALIDATE = {"png": _png, "jpeg": _jpeg, "gif": _gif, "riff": _riff, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "ogg": _ogg, "flac": _flac, "mp4": _mp4}
 
 
+#: What every file of the kind ends with or holds near its end.
+ENDS = {"pdf": b"%%EOF", "zip": b"PK\x05\x06", "png": b"IEND"}
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for magic, (kind, before) in MAGIC.items():
@@ -184,10 +220,14 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(content: bytes, signatures: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Confirmed media in ``content`` as (format, offset, length), by offset; one found inside another is listed too."""
-    found = []
+    found, none = [], set()
     for end, (kind, back) in signatures.iter(content.decode("latin-1")):
+        if kind in none:
+            continue
         if end >= back and (hit := VALIDATE[kind](content, end - back)):
             found.append((hit[0], end - back, hit[1]))
+        elif kind in ENDS and content.find(ENDS[kind], end) < 0:
+            none.add(kind)  # no end mark is left: no later hit of the kind can be whole
     return sorted(set(found), key=lambda x: (x[1], -x[2], x[0]))
 
 

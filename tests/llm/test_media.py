@@ -39,6 +39,7 @@ def test_documents(spark, small):
         with wave.open(stored, "wb") as w:
             w.setnchannels(1), w.setsampwidth(1), w.setframerate(media.RATE), w.writeframes(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.feature == f"audio/wav;samples={len(payload)};sum={sum(payload)};embedded="
         assert (r.media_bytes, r.media_sha256) == (len(stored.getvalue()), hashlib.sha256(stored.getvalue()).hexdigest())
 
 
@@ -66,3 +67,34 @@ def test_odd_documents(odd_documents, no_documents):
     assert {(r.n_bytes, r.payload_bytes) for r in got if r.doc_id in (0, 1)} == {(0, 576)}
     assert len({tuple(r)[1:] for r in got if r.doc_id in (0, 1)}) == 1
     assert media.media_digests(no_documents).count() == 0
+
+
+def pdf(updates):
+    return b"%PDF-1.4\n1 0 obj<<>>endobj\n" + b"".join(b"xref\nstartxref\n%d\n%%%%EOF\n" % i for i in range(1 + updates))
+
+
+def test_lengths():
+    signatures = media.automaton()
+    one, two = pdf(0), pdf(2)
+    assert media.sniff(two + b"tail", signatures) == [("pdf", 0, len(two) - 1)]
+    assert media.sniff(one + b"xx" + two, signatures) == [("pdf", 0, len(one) - 1), ("pdf", len(one) + 2, len(two) - 1)]
+    head = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(34)
+    frame = bytes([0xFF, 0xF8, 0x69, 0x08, 0x00])
+    frame += bytes([0x00])  # the block size of code 6
+    frame += bytes([media._crc8(frame)]) + b"samples"
+    assert media.sniff(head + b"text that is no frame", signatures) == [("flac", 0, len(head))]
+    assert media.sniff(head + frame, signatures) == [("flac", 0, len(head + frame))]
+    assert media.sniff(head + frame + PNG, signatures) == [("flac", 0, len(head + frame)), ("png", len(head + frame), len(PNG))]
+    ftyp = struct.pack(">I4s", 16, b"ftyp") + b"isom" * 2
+    large = struct.pack(">I4sQ", 1, b"mdat", 20) + b"data"
+    assert media.sniff(b"ab" + ftyp + large, signatures) == [("mp4", 2, 36)]
+    assert media.sniff(ftyp + struct.pack(">I4s", 0, b"mdat") + b"to the end", signatures) == [("mp4", 0, 34)]
+
+
+def test_many_hits_take_linear_time():
+    import time
+
+    signatures, began = media.automaton(), time.perf_counter()
+    for magic in (b"%PDF-1", b"PK\x03\x04" + bytes(4), b"\x89PNG\r\n\x1a\n", b"fLaC\x80\x00\x00\x22" + bytes(34)):
+        media.sniff(magic * 40_000, signatures)
+    assert time.perf_counter() - began < 10
