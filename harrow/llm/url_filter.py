@@ -1,7 +1,7 @@
 """URL filters: a temporal join of captures with dated list entries.
 
 Entries (key, action, at) become validity intervals per key; a capture is blocked if, when it was fetched, an interval of its
-host or of a parent domain was open. The join is an equi-join on key, month and salt with the interval as the residual.
+host or of a parent domain was open. The join is an equi-join on key and month with the interval as the residual; hot keys are dealt in parts.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of a key's captures: a hot host is dealt over so many join keys (the list side, which is small, is repeated).
-SALT = 16
+#: A key and month of more than one in so many of all probes (and FEW probes) is hot: its probes are dealt in parts. There are SHARE of them at most.
+SHARE, FEW = 1000, 4096
 
 
 def host_of(url: Column) -> Column:
@@ -49,12 +49,19 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     ends = captures.agg(F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last"))
     clipped = listed.join(F.broadcast(ends), on=F.expr("valid_from <= last and (valid_to is null or valid_to > first)"))  # one row
     months = F.sequence(F.trunc(F.greatest("valid_from", "first"), "MM"), F.trunc(F.least(F.coalesce("valid_to", "last"), "last"), "MM"), F.expr("interval 1 month"))
-    held = clipped.select("key", "valid_from", "valid_to", F.explode(months).alias("month")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    held = clipped.select("key", "valid_from", "valid_to", F.explode(months).alias("month"))
     base = captures.select("capture_id", "url", "fetched_at").withColumn("host", host_of(F.col("url")))
     # one probe for each capture, host suffix and time; equal captures (same id, host, time) are probed once
     probes = base.where("host is not null and fetched_at is not null").select("capture_id", "host", "fetched_at").distinct()
-    asked = probes.select("*", F.explode(suffixes(F.col("host"))).alias("key"), F.trunc("fetched_at", "MM").alias("month"), F.pmod(F.xxhash64("capture_id"), F.lit(SALT)).alias("salt"))
-    hits = asked.join(held, ["key", "month", "salt"]).where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
+    asked = probes.select("*", F.explode(suffixes(F.col("host"))).alias("key"), F.trunc("fetched_at", "MM").alias("month"))
+    # the captures of a hot key are dealt in parts and its intervals repeated for them; no other key's are
+    counts = asked.groupBy("key", "month").agg(F.count("*").alias("n"))
+    fair = F.greatest(F.lit(FEW), F.ceil(F.col("all") / SHARE))
+    hot = counts.join(F.broadcast(counts.agg(F.sum("n").alias("all"))), F.col("n") > fair).select("key", "month", F.ceil(F.col("n") / fair).cast("long").alias("parts"))  # one row is broadcast
+    parts, one = F.coalesce("parts", F.lit(1).cast("long")), F.broadcast(hot)  # at most SHARE rows for each label of a host
+    dealt = asked.join(one, ["key", "month"], "left").withColumn("part", F.pmod(F.xxhash64("capture_id"), parts)).drop("parts")
+    spread = held.join(one, ["key", "month"], "left").select("key", "month", "valid_from", "valid_to", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    hits = dealt.join(spread, ["key", "month", "part"]).where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     best = hits.groupBy("capture_id", "host", "fetched_at").agg(F.max(F.struct(F.length("key").alias("size"), "key", "valid_from")).alias("top"))
     named = best.select(F.col("capture_id").alias("_id"), F.col("host").alias("_host"), F.col("fetched_at").alias("_at"), "top")
     on = F.col("capture_id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("fetched_at") == F.col("_at"))

@@ -22,6 +22,19 @@ def listed(entries, host, at):
     return None
 
 
+def test_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "FEW", 3)
+    test_against_a_loop(spark)
+
+
+def test_long_urls(spark):
+    long = "http://" + ".".join(["label"] * 400) + ".a.com/" + "p" * 200_000
+    e = spark.createDataFrame([("a.com", "add", DAY)], "key string, action string, at timestamp")
+    c = spark.createDataFrame([(1, long, DAY), (2, "http://" + "x" * 100_000, DAY), (3, "http://" + "." * 50, DAY)], "capture_id bigint, url string, fetched_at timestamp")
+    got = {r.capture_id: (r.blocked, r.matched_key) for r in url_filter.evaluate(c, e).collect()}
+    assert got == {1: (True, "a.com"), 2: (False, None), 3: (False, None)}
+
+
 def test_against_a_loop(spark):
     rng = random.Random(9)
     hosts = ["a.com", "x.a.com", "y.x.a.com", "b.org", "c.b.org", "single", "d.net"]
