@@ -173,16 +173,16 @@ def gram_log10(key: np.ndarray, count: np.ndarray, top: LongMap, given: np.ndarr
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences and their counts, byte planes apart, which compress well."""
-    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted keys as differences and their 64-bit counts or values, byte planes apart, which compress well."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
     return zlib.compress(planes, 1)
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zlib.decompress(packed), np.uint8)
-    n = len(raw) // 12
+    n = len(raw) // 16
     keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).reshape(-1), dtype=np.uint64)
-    return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+    return keys, np.ascontiguousarray(raw[8 * n :].reshape(8, n).T).view("<u8").reshape(-1)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +264,7 @@ def _learn(held: pa.Table) -> pa.Table:
 
 
 def score(documents: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, learning from those not held out.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every whole text, learning from those not held out.
 
     score: log10 of the model's probability of the text's words and its end. A null or empty text is its end alone. Rows with
     a null id are scored; repeated rows count, and are scored, each. An empty table gives no rows; other columns are ignored.
@@ -274,7 +274,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (~held_out).alias("learnt"))
     size, ends, n = rows.agg(F.sum(F.octet_length("text")), F.count_if("learnt"), F.count("*")).first()
     if not n:
-        return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
     read = rows._jdf.queryExecution().toRdd().getNumPartitions()
     split = max(1, -(-size // (read * BLOCK)))
     buckets = 4 * max(1, -(-size // BLOCK))
@@ -292,7 +292,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
         packed = [_unpacked(x.as_py()) for x in held.column("packed")]
         keys, counts = _merged(packed)
         if held.column("kind")[0].as_py():
-            value = counts.astype("<u4")
+            value = counts.astype("<u8")
         else:
             node, given, left = shared.value
             value = gram_log10(keys, counts, LongMap(node, np.arange(len(node))), given, left).astype("<f4").view("<u4")
@@ -309,10 +309,10 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
             found[k].append(_unpacked(x.as_py()))
         maps = []
         for parts in found:
-            keys, value = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.uint32)))
+            keys, value = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
             maps.append(LongMap(keys, np.arange(len(keys))))
             maps.append(np.append(value, 0))
-        gram_map, gram_value, word_map, word_value = maps[0], maps[1].astype("<u4").view("<f4"), maps[2], maps[3]
+        gram_map, gram_value, word_map, word_value = maps[0], maps[1].astype("<u4").view("<f4"), maps[2], maps[3].astype(np.float64)
         own, columns = texts.column("text").to_pylist(), []
         for part in _parts(own):
             data, bounds, words, before = stream(own[part])
@@ -325,8 +325,8 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
             base = np.r_[0.0, np.cumsum(np.log10((count + 0.1) / scale))]
             known = np.r_[0, np.cumsum(count > 0)]
             a, b = before[:-1], before[1:]
-            columns.append((b - a + 1, known[b] - known[a] + (ends > 0), base[b] - base[a] + end_score, total[bounds[1:]] - total[bounds[:-1]]))
-        n_tokens, n_known, base, total = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0),) * 4
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": pc.invert(texts.column("learnt")), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array(np.full(len(own), tokens, np.int64)), "base_score": pa.array(base.astype(np.float64)), "score": pa.array(total.astype(np.float64))})
+            columns.append((b - a + 1, known[b] - known[a] + (ends > 0), base[b] - base[a] + end_score, total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)))
+        n_tokens, n_known, base, total, size = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0),) * 5
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": pc.invert(texts.column("learnt")), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array(np.full(len(own), tokens, np.int64)), "base_score": pa.array(base.astype(np.float64)), "score": pa.array(total.astype(np.float64)), "bits_per_byte": pa.array(-total / np.log10(2) / np.maximum(size, 1))})
 
-    return rows.groupBy("block").cogroup(given_back.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return rows.groupBy("block").cogroup(given_back.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")

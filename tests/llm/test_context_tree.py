@@ -78,6 +78,7 @@ def test_scores(spark, tiny):
     assert len(got) == len(rows) and {r.held_out for r in got} == {False, True}
     for r in got:
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-5, abs=1e-4)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / len(" ".join(words_of(text[r.doc_id])).encode() + b"\n"))
         b, known, n = base(training, text[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out(r.doc_id), len(words_of(text[r.doc_id])) + 1, known, n)
         assert r.base_score == pytest.approx(b, rel=1e-9)
@@ -104,3 +105,11 @@ def test_odd_documents(odd_documents, no_documents):
     empty = next(r for r in got if r.doc_id == 0)
     assert empty.n_tokens == 1 and empty.base_score == pytest.approx(base(training, None)[0])
     assert context_tree.score(no_documents, quality.remainder(10) == 0).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    import numpy as np
+
+    keys, counts = np.array([3, 9, 1 << 63], np.uint64), np.array([1, 5_000_000_000, 1 << 40])
+    got = context_tree._unpacked(context_tree._packed(keys, counts))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
