@@ -82,19 +82,20 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(n, size, w0, w1, ...) of each line (n, w): the number of its shingles, repeats included, and the sketch's bits that they set."""
+    """(n, size, w0, w1, ...) of each line (n, line): the number of its shingles, repeats included, and the sketch's bits that they set."""
     bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.pmod(F.shiftrightunsigned("s", 6), F.lit(len(SKETCH))).cast("int").alias("word")
-    words = exploded(texts, "n").groupBy("n", word).agg(F.count("*").alias("size"), F.bit_or(bit).alias("bits"))
+    words = exploded(texts.select("n", wide(F.col("line")).alias("w")), "n").groupBy("n", word).agg(F.count("*").alias("size"), F.bit_or(bit).alias("bits"))
     return words.groupBy("n").agg(F.sum("size").alias("size"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(w) for k, w in enumerate(SKETCH)])
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose lines' exact Jaccard similarity reaches the threshold; texts: (n, w)."""
+    """The rows of pairs (a, b, ...) whose lines' exact Jaccard similarity reaches the threshold; texts: (n, line)."""
     names = pairs.columns
-    met = pairs.join(texts.select(F.col("n").alias("a"), F.col("w").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("w").alias("y")), "b")
-    sides = met.select(*names, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("w")), F.struct(F.lit(2).alias("side"), F.col("y").alias("w")))).alias("t")).select(*names, "t.*")
+    met = pairs.join(texts.select(F.col("n").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("line").alias("y")), "b")
+    sides = F.array(F.struct(F.lit(1).alias("side"), wide(F.col("x")).alias("w")), F.struct(F.lit(2).alias("side"), wide(F.col("y")).alias("w")))
+    rows = exploded(met.select(*names, F.explode(sides).alias("t")).select(*names, "t.*"), *names, "side")
     # a pair's shingles are together since the join on b: no shuffle here
-    held = exploded(sides, *names, "side").groupBy(*names, "s").agg(F.bit_or("side").alias("sides"))
+    held = rows.groupBy(*names, "s").agg(F.bit_or("side").alias("sides"))
     counted = held.groupBy(*names).agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("all"))
     return counted.where(F.col("both") >= SIMILARITY * F.col("all")).select(*names)
 
@@ -128,7 +129,7 @@ def similar_groups(lines: DataFrame, signed: DataFrame) -> list[DataFrame]:
     bucket = buckets(signed)
     wanted = bucket.select("n").distinct().join(signed.select("n", *IDENTITY), "n")
     found = lines.select(*IDENTITY, "line").join(wanted, list(IDENTITY)).groupBy("n").agg(F.first("line").alias("line"))
-    texts = settle(found.select("n", wide(F.col("line")).alias("w")), "texts")
+    texts = settle(found, "texts")
     sketched = settle(sketches(texts), "sketches")
     # |A xor B| is at least the number of differing bits, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t; repeats only widen that
     differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in SKETCH), F.lit(0))
