@@ -115,6 +115,7 @@ def buckets(signed: DataFrame) -> DataFrame:
     owned = parts.select("band", "parts", "leader", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     out = settle(dealt.join(owned, ["band", "part"]).select("band", "part", "parts", "n", "leader"), "buckets")
     discard(crowded)
+    collected(signed)
     return out
 
 
@@ -131,6 +132,8 @@ def similar_groups(lines: DataFrame, signed: DataFrame) -> list[DataFrame]:
     found = lines.select(*IDENTITY, "line").join(wanted, list(IDENTITY)).groupBy("n").agg(F.first("line").alias("line"))
     texts = settle(found, "texts")
     sketched = settle(sketches(texts), "sketches")
+    del wanted, found
+    collected(signed)
     # |A xor B| is at least the number of differing bits, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t; repeats only widen that
     differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in SKETCH), F.lit(0))
     close = differing * (1 + SIMILARITY) <= (F.col("size") + F.col("lsize")) * (1 - SIMILARITY) + 1e-6
@@ -145,6 +148,8 @@ def similar_groups(lines: DataFrame, signed: DataFrame) -> list[DataFrame]:
         step = components(links, "lines")
         steps.append(step)
         discard(links)
+        del pairs, met
+        collected(signed)
         left_over = held if leaders is None else held.join(leaders.select("band", F.col("leader").alias("n")), ["band", "n"], "left_anti")
         renamed = step.select(F.col("node").alias("c"), "component")
         labelled = settle(left_over.join(renamed, "c", "left").select(F.coalesce("component", "c").alias("c"), *[x for x in left_over.columns if x != "c"]), "held")
