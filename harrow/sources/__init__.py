@@ -1 +1 @@
-"""sources of the recruitment engine."""
+"""Sources of files and pages."""
