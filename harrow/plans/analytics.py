@@ -87,12 +87,20 @@ def extremes(s, d):
     return side("slowest", F.desc("ms"), "event_id").unionByName(side("fastest", "ms", "event_id"))
 
 
+@query("AG15_distribution", f"SELECT ms, count(*) AS n FROM (SELECT {_CENTS} // 1000 AS ms FROM events) GROUP BY ms ORDER BY n DESC, ms LIMIT 20")
+def distribution(s, d):
+    """The twenty most frequent classes of duration."""
+    return timed(s, d).groupBy(F.expr("ms div 1000").alias("ms")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ms").limit(20)
+
+
 @query("AG16_p95_nearest", f"SELECT name, list_extract(v, CAST(round_even(0.95 * (len(v) - 1), 0) AS BIGINT) + 1) AS p95 FROM (SELECT event_type AS name, list({_CENTS} ORDER BY {_CENTS}) AS v FROM events GROUP BY ALL)")
 def p95_nearest(s, d):
     """The value at the nearest index, ties to even: by rank, so that no group is collected."""
-    ranked = timed(s, d).select("name", "ms", F.row_number().over(Window.partitionBy("name").orderBy("ms")).alias("i"))
-    sizes = timed(s, d).groupBy("name").agg(F.count("*").alias("n"))
-    return ranked.join(sizes, "name").where("i = cast(bround(0.95 * (n - 1), 0) as bigint) + 1").select("name", F.col("ms").alias("p95"))
+    counts = timed(s, d).groupBy("name", "ms").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("name").orderBy("ms"))  # over distinct values, each with its count
+    sizes = counts.groupBy("name").agg(F.sum("n").alias("size"))
+    rank = F.expr("cast(bround(0.95 * (size - 1), 0) as bigint) + 1")
+    return counts.withColumn("upto", upto).join(sizes, "name").where((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("n"))).select("name", F.col("ms").alias("p95"))
 
 
 @query("AG17_hourly_series", f"SELECT event_type AS name, date_trunc('hour', ts) AS hour, count(*) AS n, ((2 * sum({_CENTS}) + count(*)) // (2 * count(*)))::BIGINT AS average FROM events GROUP BY ALL")
@@ -117,13 +125,13 @@ def bulk_groups(s, d):
     )
 
 
-_SESSION = "user_id * 100 + day(ts) AS session_id"
+_SESSION = "user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id"
 
 
 @query("AG20_function_details", f"SELECT {_SESSION}, event_type AS name, max({_CENTS}) AS ms, arg_max(event_id, {_CENTS} * 1000000 + event_id) AS event_id, min(event_id) AS seen FROM events GROUP BY ALL")
 def function_details(s, d):
     """The longest event of each function of a session; of equals the later. seen orders them by first appearance."""
-    rows = timed(s, d).withColumn("session_id", F.col("user_id") * 100 + F.dayofmonth("ts"))
+    rows = timed(s, d).withColumn("session_id", F.col("user_id") * 100_000_000 + F.date_format("ts", "yyyyMMdd").cast("long"))
     return rows.groupBy("session_id", "name").agg(F.max("ms").alias("ms"), F.max_by("event_id", F.struct("ms", "event_id")).alias("event_id"), F.min(F.col("event_id")).alias("seen"))
 
 
@@ -133,16 +141,17 @@ def progress(s, d):
     return applications(s, d).groupBy("job_id").agg(done.alias("processed"), (F.count("*") - done).alias("remainder"), F.expr("100 * count_if(stage = 'F') div count(*)").alias("progress"))
 
 
-@query("AG40_task_metrics", f"SELECT event_type AS provider, count(*) AS n, count(*) FILTER (value >= 10) AS succeeded, count(*) FILTER (value < 1) AS fallbacks, coalesce(sum({_CENTS}), 0)::BIGINT AS cost FROM events GROUP BY ROLLUP (event_type)")
+@query("AG40_task_metrics", f"SELECT event_type AS provider, count(*) AS n, count(*) FILTER (value >= 10) AS succeeded, count(*) FILTER (value < 1) AS fallbacks, coalesce(sum({_CENTS}), 0)::BIGINT AS cost, coalesce((2 * sum({_CENTS}) + count(*)) // (2 * count(*)), 0)::BIGINT AS mean_duration, coalesce(sum(user_id % 3), 0)::BIGINT AS retries, count(*) FILTER (event_id % 11 = 0) AS validation_failures FROM events GROUP BY ROLLUP (event_type)")
 def task_metrics(s, d):
     rows = timed(s, d)
-    metrics = [F.count("*").alias("n"), F.count_if(F.col("ms") >= 1000).alias("succeeded"), F.count_if(F.col("ms") < 100).alias("fallbacks"), F.coalesce(F.sum("ms"), F.lit(0)).alias("cost")]
+    metrics = [F.count("*").alias("n"), F.count_if(F.col("ms") >= 1000).alias("succeeded"), F.count_if(F.col("ms") < 100).alias("fallbacks"), F.coalesce(F.sum("ms"), F.lit(0)).alias("cost"),
+               F.coalesce(F.expr("(2 * sum(ms) + count(*)) div (2 * count(*))"), F.lit(0)).alias("mean_duration"), F.coalesce(F.sum(F.col("user_id") % 3), F.lit(0)).alias("retries"), F.count_if(F.col("event_id") % 11 == 0).alias("validation_failures")]
     return rows.rollup(F.col("name").alias("provider")).agg(*metrics)
 
 
 @query("WN7_stage_timeline", f"SELECT session_id, name, ms, row_number() OVER (PARTITION BY session_id ORDER BY depth DESC, ms DESC, name) AS place FROM (SELECT {_SESSION}, event_type AS name, max({_CENTS}) AS ms, length(event_type) % 3 AS depth FROM events GROUP BY ALL)")
 def stage_timeline(s, d):
-    rows = timed(s, d).withColumn("session_id", F.col("user_id") * 100 + F.dayofmonth("ts"))
+    rows = timed(s, d).withColumn("session_id", F.col("user_id") * 100_000_000 + F.date_format("ts", "yyyyMMdd").cast("long"))
     longest = rows.groupBy("session_id", "name").agg(F.max("ms").alias("ms"))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc(F.length("name") % 3), F.desc("ms"), "name"))
     return longest.withColumn("place", place)
@@ -155,10 +164,10 @@ def session_export(s, d):
     return shown.select("session_id", "started_at", F.coalesce("b.name", F.lit("")).alias("name"), F.coalesce(F.col("b.ms").cast("string"), F.lit("")).alias("ms"))
 
 
-@query("SNK6_safe_cells", "SELECT conv_id, turn, substr(regexp_replace(coalesce(nullif(text, ''), ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), 1, 120) AS cell FROM conversations")
+@query("SNK6_safe_cells", "SELECT conv_id, turn, substr(regexp_replace(coalesce(nullif(text, ''), ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), 1, 32767) AS cell FROM conversations")
 def safe_cells(s, d):
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return read(s, d, "conversations").select("conv_id", "turn", F.substring(clean, 1, 120).alias("cell"))
+    return read(s, d, "conversations").select("conv_id", "turn", F.substring(clean, 1, 32767).alias("cell"))
 
 
 @query("SESSION_rollup", f"WITH {SESSIONS_SQL} SELECT n_events, count(*) AS n, count(*) FILTER (failed) AS failed FROM sessions GROUP BY ALL")

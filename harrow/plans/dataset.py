@@ -61,10 +61,12 @@ def sample(s, d):
 
 @query("AG21_statistics", f"{_FILES} SELECT format, count(*) AS n, sum(size)::BIGINT AS total, (2 * sum(size) + count(*))::BIGINT // (2 * count(*)) AS mean, min(size) AS low, max(size) AS high, quantile_cont(size, 0.5) AS p50, quantile_cont(size, 0.9) AS p90, quantile_cont(size, 0.99) AS p99, count(*) FILTER (size = 0) AS empty, arg_max(path, (size, -doc_id)) AS largest, arg_min(path, (size, doc_id)) AS smallest FROM files GROUP BY format")
 def statistics(s, d):
-    size = F.col("size")
-    points = F.percentile("size", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    grouped = files(s, d).groupBy("format").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.expr("(2 * sum(size) + count(*)) div (2 * count(*))").alias("mean"), F.min("size").alias("low"), F.max("size").alias("high"), points.alias("p"), F.count_if(size == 0).alias("empty"), F.max_by("path", F.struct("size", -F.col("doc_id"))).alias("largest"), F.min_by("path", F.struct("size", "doc_id")).alias("smallest"))
-    return grouped.select("*", *[F.get("p", k).alias(name) for k, name in enumerate(("p50", "p90", "p99"))]).drop("p")
+    """Out of a histogram of each format's sizes: percentiles hold distinct sizes with their counts, no rows."""
+    hist = files(s, d).groupBy("format", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "path")).alias("first"))
+    total, n = F.sum(F.col("size") * F.col("n")), F.sum("n")
+    points = F.percentile("size", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("n"))
+    grouped = hist.groupBy("format").agg(n.alias("n"), total.alias("total"), F.expr("(2 * sum(size * n) + sum(n)) div (2 * sum(n))").alias("mean"), F.min("size").alias("low"), F.max("size").alias("high"), points.alias("p"), F.sum(F.when(F.col("size") == 0, F.col("n")).otherwise(0)).alias("empty"), F.max_by("first", "size").alias("l"), F.min_by("first", "size").alias("m"))
+    return grouped.select("format", "n", "total", "mean", "low", "high", "empty", F.col("l.path").alias("largest"), F.col("m.path").alias("smallest"), *[F.get("p", F.lit(k)).alias(name) for k, name in enumerate(("p50", "p90", "p99"))])
 
 
 @query("AG22_quality", f"{_FILES}, m AS (SELECT count(*) AS n, count(DISTINCT hash) AS u, count(*) FILTER (size = 0) AS z, count(*) FILTER (size < 50) AS small FROM files) SELECT category, score, weight, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (SELECT 'uniqueness' AS category, 100 * u // n AS score, 40 AS weight FROM m UNION ALL SELECT 'readable', 100 * (n - z) // n, 35 FROM m UNION ALL SELECT 'substance', 100 * (n - small) // n, 25 FROM m)")
@@ -82,11 +84,15 @@ def run_summary(s, d):
     return files(s, d).groupBy("format").agg(F.count("*").alias("n"), F.count_if(size >= 50).alias("succeeded"), F.count_if((size > 0) & (size < 50)).alias("failed"), F.count_if(size == 0).alias("skipped"))
 
 
-@query("AG38_fingerprint", f"{_FILES} SELECT dir, sha256(string_agg(leaf, '' ORDER BY leaf)) AS fingerprint FROM (SELECT substr(hash, 1, 2) AS dir, hash || chr(10) AS leaf FROM files) GROUP BY dir")
+@query("AG38_fingerprint", f"{_FILES}, leaves AS (SELECT hash, hash || ':' || count(*) || chr(10) AS leaf FROM files GROUP BY hash), a AS (SELECT substr(hash, 1, 4) AS k, sha256(string_agg(leaf, '' ORDER BY leaf)) AS h FROM leaves GROUP BY ALL), b AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM a GROUP BY substr(k, 1, 2)) SELECT sha256(string_agg(h, '' ORDER BY k)) AS fingerprint FROM b")
 def fingerprint(s, d):
-    """A hash of sorted hashes for each of 256 parts: no part needs all rows at once, and a tree of them fixes the whole."""
-    leaf = F.concat("hash", F.lit("\n"))
-    return files(s, d).groupBy(F.substring("hash", 1, 2).alias("dir")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(leaf)), ""), 256).alias("fingerprint"))
+    """One hash of the whole by a tree of hashes: distinct contents with their counts, then parts of 4 and of 2 digits; each level joins few hashes."""
+    leaves = files(s, d).groupBy("hash").agg(F.count("*").alias("n")).select("hash", F.concat("hash", F.lit(":"), F.col("n").cast("string"), F.lit("\n")).alias("h"))
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hash", "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    level = leaves
+    for digits in (4, 2):
+        level = level.groupBy(F.substring("hash", 1, digits).alias("k")).agg(joined()).select(F.col("k").alias("hash"), "h")
+    return level.agg(joined()).select(F.col("h").alias("fingerprint"))
 
 
 @query("JN16_dictionary", "WITH alias(a, canonical) AS (VALUES ('de', 'german'), ('fr', 'french'), ('es', 'spanish')), x AS (SELECT doc_id, lang, lang || '.' AS raw FROM documents) SELECT doc_id, coalesce(e.canonical, p.canonical, raw) AS canonical FROM x LEFT JOIN alias e ON e.a = raw LEFT JOIN alias p ON p.a = regexp_replace(raw, '[^a-z]', '', 'g')")

@@ -26,21 +26,22 @@ def scores(s, d) -> DataFrame:
     return rows.withColumn("verdict", F.when(x >= 85, "match").when(x >= 60, "partial").when(x == 0, "missing").otherwise("wrong"))
 
 
-@query("AG25_field_rollup", f"{_SCORES} SELECT field, count(*) AS n, (2 * sum(score) FILTER (verdict <> 'missing') + count(*) FILTER (verdict <> 'missing'))::BIGINT // (2 * count(*) FILTER (verdict <> 'missing')) AS mean, count(*) FILTER (verdict = 'match') AS matched, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'missing') AS missing FROM scores GROUP BY field")
+@query("AG25_field_rollup", f"{_SCORES} SELECT field, count(*) AS n, (2 * sum(score) FILTER (verdict <> 'missing') + count(*) FILTER (verdict <> 'missing'))::BIGINT // (2 * count(*) FILTER (verdict <> 'missing')) AS mean, count(*) FILTER (verdict = 'match') AS matched, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'missing') AS missing, (10000 * count(*) FILTER (verdict = 'wrong' AND weight = 1)) // count(*) AS false_positive_rate FROM scores GROUP BY field")
 def field_rollup(s, d):
     v = F.col("verdict")
     return scores(s, d).groupBy("field").agg(
         F.count("*").alias("n"), F.expr("(2 * sum(score) FILTER (WHERE verdict <> 'missing') + count_if(verdict <> 'missing')) div (2 * count_if(verdict <> 'missing'))").alias("mean"),
         F.count_if(v == "match").alias("matched"), F.count_if(v == "partial").alias("partial"), F.count_if(v == "wrong").alias("wrong"), F.count_if(v == "missing").alias("missing"),
+        F.expr("(10000 * count_if(verdict = 'wrong' AND weight = 1)) div count(*)").alias("false_positive_rate"),
     )
 
 
-_CASES = "cases AS (SELECT case_id, (2 * sum(score * weight) + sum(weight))::BIGINT // (2 * sum(weight))::BIGINT AS accuracy, count(*) AS n, count(*) FILTER (verdict = 'match') AS exact FROM scores GROUP BY case_id)"
+_CASES = "cases AS (SELECT case_id, (2 * sum(score * weight) + sum(weight))::BIGINT // (2 * sum(weight))::BIGINT AS accuracy, count(*) AS n, count(*) FILTER (verdict = 'match') AS exact, sum(score)::BIGINT AS total FROM scores GROUP BY case_id)"
 
 
 def cases(s, d) -> DataFrame:
     """Weighted accuracy of each case, in whole per cent."""
-    return scores(s, d).groupBy("case_id").agg(F.expr("(2 * sum(score * weight) + sum(weight)) div (2 * sum(weight))").alias("accuracy"), F.count("*").alias("n"), F.count_if(F.col("verdict") == "match").alias("exact"))
+    return scores(s, d).groupBy("case_id").agg(F.expr("(2 * sum(score * weight) + sum(weight)) div (2 * sum(weight))").alias("accuracy"), F.count("*").alias("n"), F.count_if(F.col("verdict") == "match").alias("exact"), F.sum("score").alias("total"))
 
 
 @query("AG27_case_accuracy", f"{_SCORES}, {_CASES} SELECT case_id, accuracy FROM cases")
@@ -48,15 +49,28 @@ def case_accuracy(s, d):
     return cases(s, d).select("case_id", "accuracy")
 
 
-@query("AG26_summary", f"{_SCORES}, {_CASES} SELECT count(*) AS cases, (2 * sum(accuracy) + count(*))::BIGINT // (2 * count(*)) AS mean_accuracy, sum(n)::BIGINT AS fields, (10000 * sum(exact))::BIGINT // sum(n)::BIGINT AS exact_rate FROM cases")
+@query("AG26_summary", f"{_SCORES}, {_CASES} SELECT count(*) AS cases, (2 * sum(accuracy) + count(*))::BIGINT // (2 * count(*)) AS mean_accuracy, sum(n)::BIGINT AS fields, (10000 * sum(exact))::BIGINT // sum(n)::BIGINT AS exact_rate, (2 * sum(total) + sum(n))::BIGINT // (2 * sum(n))::BIGINT AS mean_field FROM cases")
 def summary(s, d):
-    return cases(s, d).agg(F.count("*").alias("cases"), F.expr("(2 * sum(accuracy) + count(*)) div (2 * count(*))").alias("mean_accuracy"), F.sum("n").alias("fields"), F.expr("(10000 * sum(exact)) div sum(n)").alias("exact_rate"))
+    return cases(s, d).agg(F.count("*").alias("cases"), F.expr("(2 * sum(accuracy) + count(*)) div (2 * count(*))").alias("mean_accuracy"), F.sum("n").alias("fields"), F.expr("(10000 * sum(exact)) div sum(n)").alias("exact_rate"), F.expr("(2 * sum(total) + sum(n)) div (2 * sum(n))").alias("mean_field"))
 
 
-@query("AG28_failure_modes", f"{_SCORES} SELECT verdict || ':' || field AS mode, count(*) AS n, sum((100 - score) * weight)::BIGINT AS lost, count(DISTINCT case_id) AS cases, min(case_id) AS example FROM scores WHERE verdict <> 'match' GROUP BY ALL")
+def examples(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, examples): the n smallest case ids of each group, joined by commas. Cases are made distinct first, and the n are kept while ranking."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("case_id"))
+    few = rows.select(*keys, "case_id").distinct().withColumn("k", rank).where(F.col("k") <= n)
+    return few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("case_id")), ",").alias("examples"))
+
+
+def _examples(of: str, keys: str, n: int) -> str:
+    return f"(SELECT {keys}, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) AS examples FROM (SELECT {keys}, case_id, row_number() OVER (PARTITION BY {keys} ORDER BY case_id) AS k FROM (SELECT DISTINCT {keys}, case_id FROM {of})) WHERE k <= {n} GROUP BY {keys})"
+
+
+@query("AG28_failure_modes", f"{_SCORES}, f AS (SELECT verdict || ':' || field AS mode, * FROM scores WHERE verdict <> 'match'), m AS (SELECT mode, count(*) AS n, sum((100 - score) * weight)::BIGINT AS lost, count(DISTINCT case_id) AS cases FROM f GROUP BY mode) SELECT mode, n, lost, cases, examples, row_number() OVER (ORDER BY lost DESC, mode) AS rank FROM m JOIN {_examples('f', 'mode', 3)} USING (mode)")
 def failure_modes(s, d):
-    rows = scores(s, d).where("verdict <> 'match'")
-    return rows.groupBy(F.concat_ws(":", "verdict", "field").alias("mode")).agg(F.count("*").alias("n"), F.sum((100 - F.col("score")) * F.col("weight")).alias("lost"), F.count_distinct("case_id").alias("cases"), F.min("case_id").alias("example"))
+    """Modes by weight lost, with three cases of each; there are as many modes as verdicts and fields, so one window ranks them."""
+    rows = scores(s, d).where("verdict <> 'match'").withColumn("mode", F.concat_ws(":", "verdict", "field"))
+    modes = rows.groupBy("mode").agg(F.count("*").alias("n"), F.sum((100 - F.col("score")) * F.col("weight")).alias("lost"), F.count_distinct("case_id").alias("cases"))
+    return modes.join(examples(rows, ["mode"], 3), "mode").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("lost"), "mode")))
 
 
 @query("AG29_worst_cases", f"{_SCORES}, {_CASES}, worst AS (SELECT case_id, accuracy FROM cases ORDER BY accuracy, case_id LIMIT 20) SELECT case_id, accuracy, string_agg(DISTINCT field, ',' ORDER BY field) FILTER (verdict <> 'match') AS weak FROM worst JOIN scores USING (case_id) GROUP BY ALL")
@@ -66,49 +80,62 @@ def worst_cases(s, d):
     return scores(s, d).join(F.broadcast(worst), "case_id").groupBy("case_id", "accuracy").agg(F.nullif(weak, F.lit("")).alias("weak"))  # 20 rows are broadcast
 
 
-@query("AG30_issue_clusters", f"{_SCORES} SELECT field, verdict, count(DISTINCT case_id) AS cases, min(case_id) AS first_case FROM scores WHERE verdict IN ('wrong', 'missing') GROUP BY ALL")
+@query("AG30_issue_clusters", f"{_SCORES}, f AS (SELECT field, verdict, CASE weight WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS class, case_id FROM scores WHERE verdict IN ('wrong', 'missing')) SELECT field, verdict, class, cases, examples FROM (SELECT field, verdict, class, count(DISTINCT case_id) AS cases FROM f GROUP BY ALL) JOIN {_examples('f', 'field, verdict, class', 8)} USING (field, verdict, class)")
 def issue_clusters(s, d):
-    return scores(s, d).where("verdict in ('wrong', 'missing')").groupBy("field", "verdict").agg(F.count_distinct("case_id").alias("cases"), F.min("case_id").alias("first_case"))
+    """One vote a case and cluster, with eight cases of each."""
+    keys, weight = ["field", "verdict", "class"], F.col("weight")
+    rows = scores(s, d).where("verdict in ('wrong', 'missing')").withColumn("class", F.when(weight == 3, "A").when(weight == 2, "B").otherwise("C"))
+    return rows.groupBy(*keys).agg(F.count_distinct("case_id").alias("cases")).join(examples(rows, keys, 8), keys)
 
 
-@query("AG32_verdict_pivot", f"{_SCORES} SELECT field, count(*) FILTER (verdict = 'match') AS pass, count(*) FILTER (verdict IN ('partial', 'wrong')) AS fail, count(*) FILTER (verdict = 'missing') AS absent, (10000 * count(*) FILTER (verdict = 'missing')) // count(*) AS empty_rate FROM scores GROUP BY field")
+@query("AG32_verdict_pivot", f"{_SCORES} SELECT field, count(*) FILTER (verdict = 'match') AS pass, count(*) FILTER (verdict IN ('partial', 'wrong')) AS fail, count(*) FILTER (verdict = 'missing') AS absent, (10000 * count(*) FILTER (verdict = 'missing')) // count(*) AS empty_rate, count(DISTINCT case_id) FILTER (weight = 3) AS class_a, count(DISTINCT case_id) FILTER (weight = 2) AS class_b, count(DISTINCT case_id) FILTER (weight = 1) AS class_c FROM scores GROUP BY field")
 def verdict_pivot(s, d):
     v = F.col("verdict")
-    return scores(s, d).groupBy("field").agg(F.count_if(v == "match").alias("pass"), F.count_if(v.isin("partial", "wrong")).alias("fail"), F.count_if(v == "missing").alias("absent"), F.expr("(10000 * count_if(verdict = 'missing')) div count(*)").alias("empty_rate"))
+    return scores(s, d).groupBy("field").agg(F.count_if(v == "match").alias("pass"), F.count_if(v.isin("partial", "wrong")).alias("fail"), F.count_if(v == "missing").alias("absent"), F.expr("(10000 * count_if(verdict = 'missing')) div count(*)").alias("empty_rate"), *[F.count_distinct(F.when(F.col("weight") == w, F.col("case_id"))).alias(f"class_{c}") for c, w in (("a", 3), ("b", 2), ("c", 1))])
 
 
-@query("AG33_signatures", f"{_SCORES}, sig AS (SELECT case_id, string_agg(DISTINCT verdict, '+' ORDER BY verdict) AS signature FROM scores GROUP BY case_id) SELECT signature, count(*) AS n, min(case_id) AS example FROM sig GROUP BY signature")
+@query("AG33_signatures", f"{_SCORES}, sig AS (SELECT case_id, string_agg(DISTINCT verdict, '+' ORDER BY verdict) AS signature FROM scores GROUP BY case_id) SELECT signature, n, examples FROM (SELECT signature, count(*) AS n FROM sig GROUP BY signature) JOIN {_examples('sig', 'signature', 10)} USING (signature) ORDER BY n DESC, signature")
 def signatures(s, d):
     sig = scores(s, d).groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("verdict")), "+").alias("signature"))
-    return sig.groupBy("signature").agg(F.count("*").alias("n"), F.min("case_id").alias("example"))
+    return sig.groupBy("signature").agg(F.count("*").alias("n")).join(examples(sig, ["signature"], 10), "signature").orderBy(F.desc("n"), "signature")
 
 
 #: Floors of the mean score by field, in per cent.
 FLOORS = {"AF": 60, "NF": 65, "NO": 55, "RF": 62}
 
 
-@query("AG34_thresholds", f"{_SCORES}, floors(field, floor) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in FLOORS.items())}), m AS (SELECT field, sum(score)::BIGINT AS total, count(*) AS n FROM scores WHERE verdict <> 'missing' GROUP BY field) SELECT field, floor::BIGINT AS floor, total // n AS mean, total < floor * n AS violated FROM m JOIN floors USING (field)")
+@query("AG34_thresholds", f"{_SCORES}, floors(field, floor) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in FLOORS.items())}), m AS (SELECT field, sum(score)::BIGINT AS total, count(*) AS n FROM scores WHERE verdict <> 'missing' GROUP BY field) SELECT field, floor::BIGINT AS floor, total // n AS mean, total < floor * n AS violated, CASE WHEN n >= 5 THEN total // n - 2 END AS suggested FROM m JOIN floors USING (field)")
 def thresholds(s, d):
     floors = s.createDataFrame(list(FLOORS.items()), "field string, floor long")
     means = scores(s, d).where("verdict <> 'missing'").groupBy("field").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
-    return means.join(F.broadcast(floors), "field").select("field", "floor", F.expr("total div n").alias("mean"), (F.col("total") < F.col("floor") * F.col("n")).alias("violated"))
+    return means.join(F.broadcast(floors), "field").select("field", "floor", F.expr("total div n").alias("mean"), (F.col("total") < F.col("floor") * F.col("n")).alias("violated"), F.when(F.col("n") >= 5, F.expr("total div n - 2")).alias("suggested"))
 
 
-@query("JN15_gold_join", "SELECT g.l_orderkey AS case_id, g.l_linenumber AS line, g.l_partkey AS part, g.l_suppkey AS source, g.l_quantity::BIGINT AS gold, o.o_orderpriority AS predicted FROM lineitem g LEFT JOIN orders o ON o.o_orderkey = g.l_orderkey AND o.o_orderstatus = g.l_linestatus")
+@query("JN15_gold_join", "WITH g AS (SELECT l_orderkey AS case_id, 'k' || l_linenumber AS field, max(l_quantity)::BIGINT AS gold FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL), p AS (SELECT l_orderkey AS case_id, 'k' || l_linenumber AS field, min(l_quantity)::BIGINT AS predicted FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL) SELECT case_id, field, gold, predicted, CASE WHEN gold IS NULL THEN 'false_positive' WHEN predicted IS NULL THEN 'missing' WHEN gold = predicted THEN 'match' ELSE 'wrong' END AS outcome FROM g FULL JOIN p USING (case_id, field)")
 def gold_join(s, d):
-    gold = read(s, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("source"), F.col("l_quantity").cast("long").alias("gold"), F.col("l_linestatus").alias("status"))
-    made = read(s, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("predicted"))
-    return gold.join(made, ["case_id", "status"], "left").drop("status")
+    """Gold and predicted values side by side by case and field; either may lack."""
+    line = read(s, d, "lineitem").withColumn("field", F.concat(F.lit("k"), "l_linenumber")).withColumnRenamed("l_orderkey", "case_id")
+    gold = line.where("l_returnflag <> 'R'").groupBy("case_id", "field").agg(F.max("l_quantity").cast("long").alias("gold"))
+    made = line.where("l_linestatus = 'F'").groupBy("case_id", "field").agg(F.min("l_quantity").cast("long").alias("predicted"))
+    g, p = F.col("gold"), F.col("predicted")
+    return gold.join(made, ["case_id", "field"], "full").withColumn("outcome", F.when(g.isNull(), "false_positive").when(p.isNull(), "missing").when(g == p, "match").otherwise("wrong"))
 
 
-@query("AG31_backlog", f"{_SCORES}, k AS (SELECT field, verdict, count(*) AS n FROM scores WHERE verdict <> 'match' GROUP BY ALL) SELECT field, sum(n)::BIGINT AS impact, max_by(verdict, (n, verdict)) AS top_reason FROM k GROUP BY field")
+@query("AG31_backlog", f"{_SCORES}, k AS (SELECT field, verdict || '/' || weight AS reason, count(*) AS n FROM scores WHERE verdict <> 'match' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, reason) AS i FROM k) SELECT field, sum(n)::BIGINT AS impact, string_agg(CASE WHEN i <= 5 THEN reason || ':' || n END, ',' ORDER BY i) AS reasons FROM r GROUP BY field")
 def backlog(s, d):
-    counted = scores(s, d).where("verdict <> 'match'").groupBy("field", "verdict").agg(F.count("*").alias("n"))
-    return counted.groupBy("field").agg(F.sum("n").alias("impact"), F.max_by("verdict", F.struct("n", "verdict")).alias("top_reason"))
+    """Fields by impact, with their five most frequent reasons."""
+    counted = scores(s, d).where("verdict <> 'match'").groupBy("field", F.concat_ws("/", "verdict", "weight").alias("reason")).agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("i", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "reason")))
+    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= 5, F.struct("i", F.concat_ws(":", "reason", "n").alias("r"))))), lambda x: x["r"])
+    return ranked.groupBy("field").agg(F.sum("n").alias("impact"), F.array_join(top, ",").alias("reasons"))
 
 
-@query("DM20_diverse_sample", f"{_SCORES}, {_CASES}, r AS (SELECT case_id, accuracy, row_number() OVER (PARTITION BY accuracy // 10 ORDER BY case_id) AS k FROM cases) SELECT case_id, accuracy FROM r WHERE k <= 5")
+@query("DM20_diverse_sample", f"{_SCORES}, {_CASES}, l AS (SELECT case_id, accuracy // 10 AS layout FROM cases), r AS (SELECT *, row_number() OVER (PARTITION BY layout ORDER BY case_id) AS k FROM l), a AS (SELECT case_id, layout FROM r WHERE k <= 3), o AS (SELECT case_id, layout, row_number() OVER (PARTITION BY layout ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY layout) AS n FROM l WHERE case_id NOT IN (SELECT case_id FROM a)) SELECT case_id, layout FROM a UNION ALL SELECT case_id, layout FROM o WHERE i % greatest(1, n // 4) = 0 AND i // greatest(1, n // 4) < 4")
 def diverse_sample(s, d):
-    """Five cases of each accuracy class."""
-    rank = F.row_number().over(Window.partitionBy(F.expr("accuracy div 10")).orderBy("case_id"))
-    return cases(s, d).withColumn("k", rank).where("k <= 5").select("case_id", "accuracy")
+    """The first three cases of each layout class, then four more of it at equal strides."""
+    by_class = Window.partitionBy("layout")
+    laid = cases(s, d).select("case_id", F.expr("accuracy div 10").alias("layout"))
+    ranked = laid.withColumn("k", F.row_number().over(by_class.orderBy("case_id"))).join(laid.groupBy("layout").agg(F.count("*").alias("n")), "layout")
+    i, stride = F.col("k") - 4, F.greatest(F.lit(1).cast("long"), F.expr("greatest(n - 3, 0) div 4"))
+    spaced = (F.col("k") > 3) & (i % stride == 0) & (i < 4 * stride)
+    return ranked.where((F.col("k") <= 3) | spaced).select("case_id", "layout")

@@ -76,12 +76,12 @@ def recent(s, d):
     return read(s, d, "events").where(op.since("ts", NOW, days=1, hours=12)).select("event_id")
 
 
-SESSIONS_SQL = "sessions AS (SELECT user_id * 100 + day(ts) AS session_id, min(ts) AS started_at, count(*) AS n_events, bool_or(event_type = 'error') AS failed, list({'name': event_type, 'ms': CAST(round(value * 100) AS BIGINT), 'id': event_id} ORDER BY event_id) AS events FROM events GROUP BY ALL)"
+SESSIONS_SQL = "sessions AS (SELECT user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, min(ts) AS started_at, count(*) AS n_events, bool_or(event_type = 'error') AS failed, list({'name': event_type, 'ms': CAST(round(value * 100) AS BIGINT), 'id': event_id} ORDER BY event_id) AS events FROM events GROUP BY ALL)"
 
 
 def sessions(s: SparkSession, d: str) -> DataFrame:
-    """Sessions of a user and day, with their events nested: (name, ms, id)."""
-    rows = read(s, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"), "ts", F.col("event_type").alias("name"), F.round(F.col("value") * 100).cast("long").alias("ms"), F.col("event_id").alias("id"))
+    """Sessions of a user and date, with their events nested: (name, ms, id). One user's events of one day have to fit a row."""
+    rows = read(s, d, "events").select((F.col("user_id") * 100_000_000 + F.date_format("ts", "yyyyMMdd").cast("long")).alias("session_id"), "ts", F.col("event_type").alias("name"), F.round(F.col("value") * 100).cast("long").alias("ms"), F.col("event_id").alias("id"))
     event = F.struct("id", "name", "ms")
     return rows.groupBy("session_id").agg(F.min("ts").alias("started_at"), F.count("*").alias("n_events"), F.bool_or(F.col("name") == "error").alias("failed"), F.sort_array(F.collect_list(event)).alias("events"))
 
@@ -170,10 +170,10 @@ def lateral_latest(s, d):
     return jobs(s, d).join(newest.select("job_id", "candidate_id", "applied_at"), "job_id", "left").select("job_id", "candidate_id", "applied_at")
 
 
-@query("JN6_last_by_kind", "SELECT user_id, arg_max(event_id, ts) FILTER (event_type = 'click') AS last_click, arg_max(event_id, ts) FILTER (event_type = 'view') AS last_view, arg_max(event_id, ts) FILTER (event_type = 'error') AS last_error, arg_max(event_id, ts) FILTER (event_type = 'signup') AS last_signup FROM events GROUP BY user_id")
+@query("JN6_last_by_kind", "SELECT user_id, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'click') AS last_click, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'view') AS last_view, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'error') AS last_error, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'signup') AS last_signup FROM events GROUP BY user_id")
 def last_by_kind(s, d):
     kinds = ("click", "view", "error", "signup")
-    return read(s, d, "events").groupBy("user_id").agg(*[F.max_by(F.when(F.col("event_type") == k, F.col("event_id")), F.when(F.col("event_type") == k, F.col("ts"))).alias(f"last_{k}") for k in kinds])
+    return read(s, d, "events").groupBy("user_id").agg(*[F.max_by(F.when(F.col("event_type") == k, F.col("event_id")), F.when(F.col("event_type") == k, F.struct("ts", "event_id"))).alias(f"last_{k}") for k in kinds])
 
 
 @query("JN7_two_counts", sql("SELECT j.job_id, (SELECT count(*) FROM applications a WHERE a.job_id = j.job_id) AS applied, (SELECT count(*) FROM applications a WHERE a.job_id = j.job_id AND a.shortlisted) AS shortlisted FROM jobs j"))
@@ -302,16 +302,16 @@ def recent_failures(s, d):
     return read(s, d, "events").select("event_id", F.count_if(F.col("event_type") == "error").over(window).alias("failures"))
 
 
-@query("WN10_known_device", "SELECT event_id, coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, props ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS known FROM events")
+@query("WN10_known_device", "SELECT event_id, coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, props ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS known FROM events")
 def known_device(s, d):
-    before = Window.partitionBy("user_id", "props").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("user_id", "props").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     return read(s, d, "events").select("event_id", (F.coalesce(F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(before), F.lit(0)) > 0).alias("known"))
 
 
-@query("WN11_recovered_id", "SELECT user_id, arg_max(coalesce(CASE WHEN event_type = 'view' THEN 'v' || event_id END, json_extract_string(props, '$.k')), ts) AS external_id FROM events WHERE event_type <> 'error' GROUP BY user_id")
+@query("WN11_recovered_id", "SELECT user_id, arg_max(coalesce(CASE WHEN event_type = 'view' THEN 'v' || event_id END, json_extract_string(props, '$.k')), (ts, event_id)) AS external_id FROM events WHERE event_type <> 'error' GROUP BY user_id")
 def recovered_id(s, d):
     found = F.coalesce(F.when(F.col("event_type") == "view", F.concat(F.lit("v"), "event_id")), F.get_json_object("props", "$.k"))
-    return read(s, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.max_by(found, "ts").alias("external_id"))
+    return read(s, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.max_by(found, F.struct("ts", "event_id")).alias("external_id"))
 
 
 @query("SO1_newest_nulls_first", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS closed_on FROM orders ORDER BY closed_on DESC NULLS FIRST, o_orderkey LIMIT 25")

@@ -86,18 +86,24 @@ def token_rotation(s, d):
     return read(s, d, "events").where("event_type in ('signup', 'view')").select("event_id", F.when(after.isNotNull(), "rotated").otherwise("live").alias("state"), after.alias("replaced_by"))
 
 
-#: Accepted spellings -> status, and the allowed transitions.
-ALIASES = (("signup", "Applied"), ("view", "Screening"), ("click", "Interview"), ("purchase", "Hired"), ("error", "Rejected"))
-ALLOWED = (("Applied", "Screening"), ("Applied", "Rejected"), ("Screening", "Interview"), ("Screening", "Rejected"), ("Interview", "Hired"), ("Interview", "Rejected"), ("Rejected", "Screening"))
+#: Accepted spellings -> status, allowed transitions, and the statuses that nothing follows.
+ALIASES = (("pending", "Applied"), ("applied", "Applied"), ("profile_viewed", "Screening"), ("screening", "Screening"), ("matched", "Matched"), ("shortlisted", "Shortlisted"), ("interview", "Interview"), ("rejected", "Rejected"), ("offer", "Offer"), ("hired", "Hired"), ("withdrawn", "Withdrawn"))
+ALLOWED = (("Applied", "Shortlisted"), ("Applied", "Rejected"), ("Screening", "Shortlisted"), ("Screening", "Rejected"), ("Matched", "Shortlisted"), ("Matched", "Rejected"), ("Shortlisted", "Interview"), ("Shortlisted", "Rejected"), ("Interview", "Offer"), ("Interview", "Rejected"), ("Interview", "Shortlisted"), ("Offer", "Hired"), ("Offer", "Rejected"))
+TERMINAL = ("Hired", "Withdrawn")
+#: Spelling of each event's status: by its place in the list of spellings; every thirteenth has none.
+_SPELT = "CASE event_id % 13 " + " ".join(f"WHEN {i} THEN '{a.upper() if i % 2 else a}'" for i, (a, _) in enumerate(ALIASES)) + " WHEN 11 THEN '' END"
+_values = lambda rows: ", ".join(str(tuple(r)) for r in rows)
 
 
-@query("DML7_status_machine", "WITH alias(event_type, status) AS (VALUES ('signup', 'Applied'), ('view', 'Screening'), ('click', 'Interview'), ('purchase', 'Hired'), ('error', 'Rejected')), allowed(a, b) AS (VALUES ('Applied', 'Screening'), ('Applied', 'Rejected'), ('Screening', 'Interview'), ('Screening', 'Rejected'), ('Interview', 'Hired'), ('Interview', 'Rejected'), ('Rejected', 'Screening')), steps AS (SELECT event_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events JOIN alias USING (event_type)) SELECT event_id, status, before IS NULL OR before = status OR EXISTS (SELECT 1 FROM allowed WHERE a = before AND b = status) AS allowed FROM steps")
+@query("DML7_status_machine", f"WITH alias(spelt, status) AS (VALUES {_values(ALIASES)}), allowed(a, b) AS (VALUES {_values(ALLOWED)}), named AS (SELECT event_id, user_id, ts, coalesce(status, 'Applied') AS status FROM (SELECT *, lower(trim({_SPELT})) AS spelt FROM events) LEFT JOIN alias USING (spelt)), steps AS (SELECT event_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM named) SELECT event_id, status, before IN ('Hired', 'Withdrawn') AS terminal, before IS NULL OR before = status OR EXISTS (SELECT 1 FROM allowed WHERE a = before AND b = status) AS allowed FROM steps")
 def status_machine(s, d):
-    alias = s.createDataFrame(list(ALIASES), "event_type string, status string")
+    """Spellings to the nine statuses (none: Applied), and whether each step from the one before is allowed."""
+    alias = s.createDataFrame(list(ALIASES), "spelt string, status string")
     allowed = s.createDataFrame([(a, b, True) for a, b in ALLOWED], "before string, status string, known boolean")
-    steps = read(s, d, "events").join(F.broadcast(alias), "event_type").withColumn("before", F.lag("status").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    named = read(s, d, "events").withColumn("spelt", F.lower(F.trim(F.expr(_SPELT)))).join(F.broadcast(alias), "spelt", "left").withColumn("status", F.coalesce("status", F.lit("Applied")))
+    steps = named.withColumn("before", F.lag("status").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     ok = F.col("before").isNull() | (F.col("before") == F.col("status")) | F.coalesce("known", F.lit(False))
-    return steps.join(F.broadcast(allowed), ["before", "status"], "left").select("event_id", "status", ok.alias("allowed"))
+    return steps.join(F.broadcast(allowed), ["before", "status"], "left").select("event_id", "status", F.col("before").isin(*TERMINAL).alias("terminal"), ok.alias("allowed"))
 
 
 @query("DML8_replace_children", sql("SELECT job_id, candidate_id, score FROM applications WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE status = 'P') UNION ALL SELECT job_id, posted_by, 0 FROM jobs WHERE status = 'P'"))
@@ -106,9 +112,10 @@ def replace_children(s, d):
     return applications(s, d).join(parents, "job_id", "left_anti").select("job_id", "candidate_id", "score").unionByName(parents.select("job_id", F.col("posted_by").alias("candidate_id"), F.lit(0).alias("score")))
 
 
-@query("DML9_verify_catalogue", "SELECT doc_id, sha256(text) = CASE WHEN doc_id % 50 = 0 THEN 'x' ELSE sha256(text) END AS intact FROM documents")
+@query("DML9_verify_catalogue", "WITH c AS (SELECT DISTINCT sha256(text) AS hash, length(text) AS size FROM documents WHERE doc_id % 10 > 0) SELECT doc_id, CASE WHEN c.hash IS NULL THEN 'missing' WHEN c.size <> n_chars THEN 'size' ELSE 'intact' END AS state FROM documents LEFT JOIN c ON c.hash = sha256(CASE WHEN doc_id % 50 = 1 THEN text || 'x' ELSE text END)")
 def verify_catalogue(s, d):
-    """Hashes of the stored contents against the catalogue's (every fiftieth of which is wrong, here)."""
-    content = read(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("found"))
-    catalogue = content.select("doc_id", F.when(F.col("doc_id") % 50 == 0, "x").otherwise(F.col("found")).alias("listed"))
-    return content.join(catalogue, "doc_id").select("doc_id", (F.col("found") == F.col("listed")).alias("intact"))
+    """Stored contents, some damaged, are hashed again and looked up in a catalogue that was made before: some were never put there."""
+    docs = read(s, d, "documents")
+    catalogue = docs.where("doc_id % 10 > 0").select(F.sha2("text", 256).alias("hash"), F.length("text").alias("size")).distinct()
+    stored = docs.select("doc_id", "n_chars", F.sha2(F.when(F.col("doc_id") % 50 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("hash"))
+    return stored.join(catalogue, "hash", "left").select("doc_id", F.when(F.col("size").isNull(), "missing").when(F.col("size") != F.col("n_chars"), "size").otherwise("intact").alias("state"))

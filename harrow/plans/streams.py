@@ -30,7 +30,11 @@ def leases(s, d):
     return read(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_beat")).withColumn("stale", F.col("last_beat") < F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 1 day"))
 
 
-@query("STR4_rate_limit")
+@query("STR4_rate_limit", """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id, event_id, k, [ts] AS held, true AS allowed FROM e WHERE k = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.k, CASE WHEN len(list_filter(w.held, lambda x: x > e.ts - INTERVAL 6 HOUR)) < 3 THEN list_append(list_filter(w.held, lambda x: x > e.ts - INTERVAL 6 HOUR), e.ts) ELSE list_filter(w.held, lambda x: x > e.ts - INTERVAL 6 HOUR) END,
+len(list_filter(w.held, lambda x: x > e.ts - INTERVAL 6 HOUR)) < 3 FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT user_id, event_id, allowed FROM w""")
 def rate_limit(s, d):
     """At most three events of a user in six hours; refused ones don't count."""
     return flows.rate_limited(read(s, d, "events"), 3, 6 * 3600)
