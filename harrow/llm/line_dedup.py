@@ -21,6 +21,8 @@ from .common import components, discard, fresh, settle
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 7, 10, 4
 #: Leaders of a bucket grow by this factor from round to round.
 MORE = 256
+#: Pairs of lines that one task verifies, on average.
+TOGETHER = 1024
 #: Columns of a line's sketch, 64 bits each.
 SKETCH = tuple(f"w{k}" for k in range(16))
 #: Shingles of a line that one row takes in when they are reduced to minima.
@@ -89,15 +91,17 @@ def sketches(texts: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose lines' exact Jaccard similarity reaches the threshold; texts: (n, line)."""
-    names = pairs.columns
-    met = pairs.join(texts.select(F.col("n").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("line").alias("y")), "b")
+    """The rows of pairs (a, b, ...), distinct by a and b, whose lines' exact Jaccard similarity reaches the threshold; texts: (n, line)."""
+    pairs = settle(pairs, "pairs")
+    # so many pairs a task that their shingles stay in memory
+    parts = max(1, -(-pairs.count() // TOGETHER))
+    met = pairs.select("a", "b").join(texts.select(F.col("n").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("line").alias("y")), "b")
+    dealt = met.repartition(parts, "a", "b")
     sides = F.array(F.struct(F.lit(1).alias("side"), wide(F.col("x")).alias("w")), F.struct(F.lit(2).alias("side"), wide(F.col("y")).alias("w")))
-    rows = exploded(met.select(*names, F.explode(sides).alias("t")).select(*names, "t.*"), *names, "side")
-    # a pair's shingles are together since the join on b: no shuffle here
-    held = rows.groupBy(*names, "s").agg(F.bit_or("side").alias("sides"))
-    counted = held.groupBy(*names).agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("all"))
-    return counted.where(F.col("both") >= SIMILARITY * F.col("all")).select(*names)
+    rows = exploded(dealt.select("a", "b", F.explode(sides).alias("t")).select("a", "b", "t.*"), "a", "b", "side")
+    held = rows.groupBy("a", "b", "s").agg(F.bit_or("side").alias("sides"))
+    counted = held.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("all"))
+    return pairs.join(counted.where(F.col("both") >= SIMILARITY * F.col("all")).select("a", "b"), ["a", "b"], "left_semi")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
