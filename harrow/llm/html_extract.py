@@ -21,6 +21,8 @@ from .common import slices
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Names that say what an element has or lacks, not what it is.
+_STATE = re.compile(r"(?:has|no|not|with|without|show|hide)[-_]", re.I)
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "noframes", "template", "svg", "select")}
 #: Of these, the ones that swallow the rest of the page when their end tag is missing.
 _ENDLESS = frozenset("script style textarea title".split())
@@ -144,7 +146,7 @@ def blocks_of(page: str) -> list[Block]:
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 gone = True
             elif name in ("class", "id", "role"):
-                words.update(w.lower() for w in _WORD.findall(value))
+                words.update(w.lower() for part in value.split() if not _STATE.match(part) for w in _WORD.findall(part))
         wide = tag in ("html", "body")  # page-wide names say nothing of a part
         good = not wide and bool(words & _FOR)
         bad = set() if wide else words & _AGAINST

@@ -98,3 +98,23 @@ def test_boilerplate_in_articles_goes():
     ad = "<div class='advert'><p>" + "Buy this product now, since it is the best that there is of all. " * 4 + "</p></div>"
     assert "Buy this" not in html_extract.extract(f"<article>{LONG * 3}{ad}{LONG}</article>")
     assert html_extract.extract(f"<div hidden>{LONG}</div><div style='display: none'>{LONG}</div><aside>{LONG}</aside>") == ""
+
+
+def test_names_of_states_do_not_count():
+    for name in ("content no-comments", "post has-sidebar", "with-ads story", "no_share hide-menu"):
+        assert html_extract.extract(f"<div class='{name}'>{LONG * 2}</div>").startswith("A sentence of the article"), name
+
+
+def test_the_cut_changes_labels():
+    """Blocks that the classifier alone calls wrongly are set right by their neighbours, either way."""
+
+    def turned(page):
+        blocks = html_extract.blocks_of(page)
+        kept = html_extract.extract(page).split("\n")
+        return [(b.text[:20], html_extract.evidence(b) > 0, b.text in kept) for b in blocks if (html_extract.evidence(b) > 0) != (b.text in kept)]
+
+    inside = f"<div>{LONG}{LONG}<ul><li>a short item</li></ul>{LONG}{LONG}</div>"
+    assert ("a short item", False, True) in turned(inside)
+    menu = "".join(f"<li><a href='/{i}'>An item of the menu {i}</a></li>" for i in range(12))
+    between = f"<body><ul>{menu}<li>Just these words.</li>{menu}</ul><div>{LONG}{LONG}</div></body>"
+    assert "Just these words." not in html_extract.extract(between) and "A sentence" in html_extract.extract(between)
