@@ -30,9 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, on replicated storage."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, on replicated storage.
+
+    All tables of an application lie in one folder, which may go when it ends; ``discard`` deletes those that no later plan reads.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/harrow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._harrow_path = path
