@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from harrow.functions import text as t
 from harrow.functions import values as v
@@ -271,7 +272,7 @@ def text_quality(s, d):
     return rows.select("doc_id", v.text_quality(F.col("text")).alias("quality"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility forms (NFKC), for which there is no expression."""
     for batch in texts:
@@ -284,7 +285,7 @@ def unified(s, d):
     return rows.select("conv_id", "turn", v.unified(compatible("text")).alias("unified"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks of two short strings (Ratcliff-Obershelp), for which there is no expression."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else float(x == y) for x, y in zip(a, b, strict=True)])
