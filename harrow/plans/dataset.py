@@ -78,10 +78,10 @@ def quality(s, d):
     return m.select(F.explode(rows).alias("r")).select("r.*").withColumn("grade", F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").otherwise("D"))
 
 
-@query("AG23_run_summary", f"{_FILES} SELECT format, count(*) AS n, count(*) FILTER (size >= 50) AS succeeded, count(*) FILTER (size > 0 AND size < 50) AS failed, count(*) FILTER (size = 0) AS skipped FROM files GROUP BY format")
+@query("AG23_run_summary", f"{_FILES} SELECT format, count(*) AS n, count(*) FILTER (size >= 50) AS succeeded, count(*) FILTER (size > 0 AND size < 50) AS failed, count(*) FILTER (size = 0) AS skipped, count(*) FILTER (doc_id % 7 = 0) AS scanned, round(avg(size / 100.0::DOUBLE) FILTER (size >= 50), 4) AS mean_seconds FROM files GROUP BY format")
 def run_summary(s, d):
     size = F.col("size")
-    return files(s, d).groupBy("format").agg(F.count("*").alias("n"), F.count_if(size >= 50).alias("succeeded"), F.count_if((size > 0) & (size < 50)).alias("failed"), F.count_if(size == 0).alias("skipped"))
+    return files(s, d).groupBy("format").agg(F.count("*").alias("n"), F.count_if(size >= 50).alias("succeeded"), F.count_if((size > 0) & (size < 50)).alias("failed"), F.count_if(size == 0).alias("skipped"), F.count_if(F.col("doc_id") % 7 == 0).alias("scanned"), F.round(F.avg(F.when(size >= 50, size / F.lit(100.0))), 4).alias("mean_seconds"))
 
 
 @query("AG38_fingerprint", f"{_FILES}, leaves AS (SELECT hash, hash || ':' || count(*) || chr(10) AS leaf FROM files GROUP BY hash), a AS (SELECT substr(hash, 1, 4) AS k, sha256(string_agg(leaf, '' ORDER BY leaf)) AS h FROM leaves GROUP BY ALL), b AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM a GROUP BY substr(k, 1, 2)) SELECT sha256(string_agg(h, '' ORDER BY k)) AS fingerprint FROM b")
@@ -102,3 +102,18 @@ def dictionary(s, d):
     rows = read(s, d, "documents").select("doc_id", F.concat("lang", F.lit(".")).alias("raw")).withColumn("bare", F.regexp_replace("raw", "[^a-z]", ""))
     exact, bare = alias.select(F.col("a").alias("raw"), F.col("canonical").alias("x")), alias.select(F.col("a").alias("bare"), F.col("canonical").alias("y"))
     return rows.join(F.broadcast(exact), "raw", "left").join(F.broadcast(bare), "bare", "left").select("doc_id", F.coalesce("x", "y", "raw").alias("canonical"))
+
+
+@query("DM21_apply_knowledge", "WITH alias(a, canonical) AS (VALUES ('small', 'compact'), ('large', 'grand'), ('promo', 'offer')) SELECT p_partkey, string_agg(DISTINCT coalesce(canonical, w), ',' ORDER BY coalesce(canonical, w)) AS skills FROM (SELECT p_partkey, unnest(string_split(lower(p_type || ' ' || p_name), ' ')) AS w FROM part) LEFT JOIN alias ON a = w GROUP BY p_partkey")
+def apply_knowledge(s, d):
+    """Names in a profile's list become the dictionary's canonical ones, each once. The dictionary is a fixed list."""
+    alias = s.createDataFrame([("small", "compact"), ("large", "grand"), ("promo", "offer")], "w string, canonical string")
+    words = read(s, d, "part").select("p_partkey", F.explode(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")).alias("w"))
+    return words.join(F.broadcast(alias), "w", "left").groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("canonical", "w"))), ",").alias("skills"))
+
+
+@query("SRC4_discovery")
+def discovery(s, d):
+    """Table files below the folder, by name and size; their contents aren't read."""
+    found = s.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(d)
+    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("size"))
