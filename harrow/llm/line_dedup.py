@@ -20,7 +20,7 @@ from .common import components, discard, fresh, settle
 #: Jaccard similarity of similar lines; bands and rows find a pair at the threshold with 99.5 %.
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 7, 10, 4
 #: Leaders of a bucket grow by this factor from round to round.
-MORE = 256
+MORE = 8
 #: Pairs of lines that one task verifies, on average.
 TOGETHER = 1024
 #: Columns of a line's sketch, 64 bits each.
