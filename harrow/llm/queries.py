@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, context_tree, html_extract, line_dedup, media, neighbours, packing, pieces, quality, simhash, url_filter
+from . import centroids, context_tree, html_extract, line_dedup, media, neighbours, packing, pieces, quality, quality_rules, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,11 @@ def queries() -> dict[str, Query]:
         "op9_media": lambda s, d: media.media_digests(table(s, d, "documents")),
         "op10_url_filter": lambda s, d: url_filter.filter_pages(table(s, d, "pages")),
         "op11_centroids": lambda s, d: centroids.cluster_vectors(table(s, d, "embeddings")),
+        "op12_quality_rules": lambda s, d: quality_rules.rule_verdicts(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op10_url_filter": url_filter.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op10_url_filter": url_filter.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL, "op12_quality_rules": quality_rules.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
