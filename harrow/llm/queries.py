@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, context_tree, html_extract, line_dedup, media, neighbours, packing, pieces, quality, quality_rules, simhash, url_filter
+from . import centroids, context_tree, html_extract, line_dedup, media, neighbours, packing, pieces, quality, quality_rules, runs, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op10_url_filter": lambda s, d: url_filter.filter_pages(table(s, d, "pages")),
         "op11_centroids": lambda s, d: centroids.cluster_vectors(table(s, d, "embeddings")),
         "op12_quality_rules": lambda s, d: quality_rules.rule_verdicts(table(s, d, "documents")),
+        "op13_runs": lambda s, d: runs.run_digests(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
