@@ -118,20 +118,50 @@ def phone_keys(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(runs, keys))))
 
 
+#: Shapes of numbers in the order in which they are looked for; a labelled number; one after +91; ten digits with blanks.
+PHONE_SHAPES = (
+    "\\+?[0-9]{1,3}[\\s\\-]?\\(?[0-9]{2,4}\\)?[\\s\\-]?[0-9]{3,4}[\\s\\-]?[0-9]{4}",
+    "\\b[0-9]{10}\\b",
+    "\\b[6-9][0-9]{4}[\\s\\-]?[0-9]{5}\\b",
+    "\\b0[0-9]{2,4}[\\s\\-]?[0-9]{6,8}\\b",
+)
+PHONE_LABEL = "(?i)(?:phone|mobile|mob|cell|tel|contact)(?:\\s*(?:no\\.?|number|num))?\\s*[:.\\-–—]?\\s*([+0-9][0-9\\s().-]{7,}[0-9])"
+PHONE_PLUS = "(\\+91[\\s\\-]?[0-9][0-9\\s\\-]{8,12}[0-9])"
+PHONE_SPACED = "(?:\\+91[\\s\\-]*)?([6-9](?:\\s*[0-9]){9})"
+#: Characters of the head of a text, where numbers are looked for first.
+PHONE_HEAD = 2500
+
+
+def year_row(d: Column) -> Column:
+    """Twelve digits or more that hold two years or more, one after the other."""
+    years = F.regexp_extract_all(d, F.lit("(?:19|20)[0-9]{2}"), F.lit(0))
+    return (F.length(d) >= 12) & (F.size(years) >= 2) & d.contains(F.array_join(years, ""))
+
+
 def phone_ok(raw: Column) -> Column:
-    """A number of 7 to 13 digits that isn't a row of years."""
-    d = digits(raw)
-    years = F.array_join(F.regexp_extract_all(d, F.lit("(?:19|20)[0-9]{2}"), F.lit(0)), "")
-    soup = (F.length(years) >= 8) & d.contains(years)
-    return ~soup & F.length(d).between(7, 13) & ~d.rlike("(?:19|20)[0-9]{2}(?:19|20)[0-9]{2}")
+    """A mobile number of ten digits, one after 91, eleven digits from 0, or 7 to 13 digits that don't hold two years in a row; no row of years."""
+
+    def fine(d: Column) -> Column:
+        shaped = d.rlike("^[6-9][0-9]{9}$|^91[6-9][0-9]{9}$|^0[0-9]{10}$")
+        return (d != "") & ~year_row(d) & (shaped | (F.length(d).between(7, 13) & ~d.rlike("(?:19|20)[0-9]{2}(?:19|20)[0-9]{2}")))
+
+    return let(digits(raw), fine)
 
 
 def first_phone(text: Column) -> Column:
-    """The labelled number if it is one, else the first that is; blanks between its digits go. Empty if there is none."""
+    """The labelled number if it is one, else the first after +91, of a known shape, or of ten digits with blanks. Empty if there is none.
+
+    Shapes are looked for in turn, in the text's head, there with blanks between digits taken out, then in the whole text in the same way.
+    """
     joined = lambda x: F.trim(F.regexp_replace(x, "(?<=[0-9])\\s+(?=[0-9])", ""))
-    labelled = joined(F.regexp_extract(text, "(?i)(?:phone|mobile|mob|cell|tel|contact)(?:\\s*(?:no\\.?|number|num))?\\s*[:.\\-–—]?\\s*([+0-9][0-9\\s().-]{7,}[0-9])", 1))
-    shaped = F.regexp_extract_all(text, F.lit("\\+?[0-9]{1,3}[\\s\\-]?\\(?[0-9]{2,4}\\)?[\\s\\-]?[0-9]{3,4}[\\s\\-]?[0-9]{4}|\\b[0-9]{10}\\b|\\b[6-9][0-9]{4}[\\s\\-]?[0-9]{5}\\b|\\b0[0-9]{2,4}[\\s\\-]?[0-9]{6,8}\\b"), F.lit(0))
-    return F.when((labelled != "") & phone_ok(labelled), labelled).otherwise(F.coalesce(F.get(F.filter(F.transform(shaped, lambda x: F.trim(x)), phone_ok), F.lit(0)), F.lit("")))
+    head = F.substring(text, 1, PHONE_HEAD)
+    first = lambda x: F.coalesce(*[F.get(F.filter(F.transform(F.regexp_extract_all(x, F.lit(shape), F.lit(0)), lambda y: F.trim(y)), phone_ok), F.lit(0)) for shape in PHONE_SHAPES])
+    checked = lambda x: F.when(phone_ok(x), x)
+    found = (
+        checked(joined(F.regexp_extract(text, PHONE_LABEL, 1))), checked(joined(F.regexp_extract(head, PHONE_PLUS, 1))),
+        first(head), first(joined(head)), first(text), first(joined(text)), checked(digits(F.regexp_extract(text, PHONE_SPACED, 1))), F.lit(""),
+    )
+    return F.coalesce(*found)
 
 
 def url_key(url: Column) -> Column:
@@ -141,6 +171,45 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(short, "[?#].*$", ""), "/+$", "")
 
 
+#: What a profile's and a portfolio's address look like; degrees that are no hosts; endings of hosts.
+LINKEDIN = "(?i)(?:https?://)?(?:www\\.)?linkedin\\.com/[A-Za-z0-9_\\-/%.]+"
+GITHUB = "(?i)(?:https?://)?(?:www\\.)?github\\.com/[A-Za-z0-9_\\-]+/?"
+PORTFOLIO_LABEL = "(?i)(?:portfolio|website|personal\\s+site)\\s*:\\s*(\\S+)"
+DEGREE_HOST = "^(?:bsc|msc|bcom|mcom|bca|mca|bba|mba|btech|mtech|be|me|ba|ma|phd)\\.[a-z]{2,6}$"
+HOST_END = "(?i)https?://|www\\.|/|\\.(?:com|dev|io|net|org|co|app|in|me)(?:/|$)"
+
+
+def with_scheme(url: Column) -> Column:
+    bare = F.regexp_replace(F.trim(url), "[/.,;]+$", "")
+    return F.when(bare == "", "").when(bare.rlike("(?i)^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare))
+
+
+def profile_links(text: Column) -> Column:
+    """(linkedin, github, portfolio): addresses in the text, else what a label names; empty without one. A portfolio is neither of the others."""
+    text = F.coalesce(text, F.lit(""))
+    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    named = part("(?i)linkedin\\s*:\\s*(\\S+)", 1)
+    linkedin = F.coalesce(with_scheme(part(LINKEDIN, 0)), F.when(F.lower(named).contains("linkedin"), with_scheme(named)).when(named.contains("/"), with_scheme(F.concat(F.lit("linkedin.com/in/"), named))), F.lit(""))
+    handle = part("(?i)github\\s*:\\s*(\\S+)", 1)
+    github = F.coalesce(with_scheme(part(GITHUB, 0)), F.when(F.lower(handle).contains("github"), with_scheme(handle)).otherwise(with_scheme(F.concat(F.lit("github.com/"), handle))), F.lit(""))
+    site = part(PORTFOLIO_LABEL, 1)
+    host = F.split_part(F.regexp_replace(F.lower(with_scheme(site)), "^https?://", ""), F.lit("/"), F.lit(1))
+    own = site.rlike(HOST_END) & ~F.lower(site).rlike("linkedin\\.com|github\\.com") & ~host.rlike(DEGREE_HOST)
+    return F.struct(linkedin.alias("linkedin"), github.alias("github"), F.when(own, with_scheme(site)).otherwise("").alias("portfolio"))
+
+
+def url_score(gold: Column, found: Column) -> Column:
+    """1 for equal addresses, 0.95 for the same last part of a path; of bare hosts, their likeness from 0.9 on (see ``likeness``) is the caller's."""
+
+    def score(p: Column) -> Column:
+        g, f = p["g"], p["f"]
+        parts = lambda x: F.filter(F.split(x, "/"), lambda y: y != "")
+        paths = (F.size(parts(g)) > 1) | (F.size(parts(f)) > 1)
+        return F.when((g == "") | (f == ""), 0.0).when(g == f, 1.0).when(paths & (F.element_at(parts(g), -1) == F.element_at(parts(f), -1)), 0.95).otherwise(0.0)
+
+    return let(F.struct(url_key(gold).alias("g"), url_key(found).alias("f")), score)
+
+
 def place_parts(place: Column) -> Column:
     key = F.regexp_replace(F.regexp_replace(norm(place), "\\b[0-9]{5,6}\\b", " "), "\\bno\\.?\\s*[0-9]+\\b", " ")
     parts = F.filter(F.transform(F.split(key, "[,/|]+"), lambda p: F.trim(F.regexp_replace(p, "\\s+", " "))), lambda p: p != "")
@@ -179,8 +248,26 @@ def skill_key(skill: Column) -> Column:
     return let(F.regexp_replace(norm(skill), "^[ .;]+|[ .;]+$", ""), lambda text: F.coalesce(F.try_element_at(alias, text), F.try_element_at(alias, F.regexp_replace(text, " ", "")), text))
 
 
-def split_skills(cell: Column) -> Column:
-    """Distinct skill keys of a cell in order: lines, then commas and slashes; label prefixes go."""
+#: Words that only headings of skill lists are made of.
+SKILL_HEADING = (
+    "technical", "technicals", "core", "key", "other", "others", "additional", "professional", "programming", "web", "scripting", "script", "gui", "ide",
+    "cloud", "data", "base", "database", "databases", "language", "languages", "tool", "tools", "technology", "technologies", "framework", "frameworks",
+    "library", "libraries", "skill", "skills", "operating", "system", "systems", "platform", "platforms", "environment", "environments", "expertise",
+    "competency", "competencies", "soft", "misc", "miscellaneous", "area", "areas", "summary", "and", "of", "the",
+)
+
+
+def skill_heading(piece: Column) -> Column:
+    """A category label: nothing but heading words."""
+    parts = F.filter(F.split(F.replace(norm(piece), F.lit("&"), F.lit(" ")), " +"), lambda w: w != "")
+    return (F.size(parts) > 0) & F.forall(parts, lambda w: w.isin(*SKILL_HEADING))
+
+
+def split_skills(cell: Column, drop_headings: bool = False) -> Column:
+    """Distinct skill keys of a cell in order: lines, then commas and slashes; label prefixes go.
+
+    ``drop_headings`` leaves out category labels. It is for the gold side: a heading found as a skill is a fault that has to show.
+    """
 
     def body(part: Column) -> Column:
         bare = F.regexp_replace(part, SKILL_LABEL, "")
@@ -189,6 +276,8 @@ def split_skills(cell: Column) -> Column:
         return F.when(bare.contains(":") & short, F.substring(bare, F.length(label) + 2, F.length(bare))).otherwise(bare)
 
     pieces = F.flatten(F.transform(F.split(unified(cell), "[\\n;|]+"), lambda p: F.split(body(p), "[,/]+")))
+    if drop_headings:
+        pieces = F.filter(pieces, lambda x: ~skill_heading(x))
     return F.array_distinct(F.filter(F.transform(pieces, lambda x: skill_key(x)), lambda k: (F.length(k) >= 2) & ~k.rlike("^[0-9]+$")))
 
 
@@ -246,17 +335,64 @@ def month_key(text: Column) -> Column:
     return let(unified(text), key)
 
 
+#: What a date looks like: day month year, month year, month 'yy, d/m/y, m/y, year or year-month; what an open end is called.
+MONTH_NAME = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?"
+DATE_ATOM = (
+    f"(?:(?:(?:0?[1-9]|[12][0-9]|3[01])(?:st|nd|rd|th)?[\\s\\-]+)?{MONTH_NAME}[\\s\\-]+(?:19|20)[0-9]{{2}}|(?:0?[1-9]|[12][0-9]|3[01])\\s*,\\s*{MONTH_NAME}\\s*,?\\s*(?:19|20)[0-9]{{2}}"
+    f"|{MONTH_NAME}\\s*['’]\\s*[0-9]{{2}}|{MONTH_NAME}\\s+[0-9]{{2}}\\b|(?:0?[1-9]|[12][0-9]|3[01])[/\\-](?:0?[1-9]|1[0-2])[/\\-](?:19|20)[0-9]{{2}}"
+    "|(?:0?[1-9]|1[0-2])[/\\-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}(?:\\s*[/\\-]\\s*(?:0?[1-9]|1[0-2])\\b)?)"
+)
+OPEN_END = "(?:Present|Currently|Current|Now|Till\\s*(?:Date|Present|Now)|Tilldate|T[il]l\\s+now|To\\s+Date|Ongoing|Pursuing|Still(?:\\s+Date)?)"
+DATE_SPAN = f"(?i)\\b(?:from\\s+)?({DATE_ATOM})\\s*(?:-|to|until|till)\\s*({DATE_ATOM}|{OPEN_END})\\b"
+DATE_TILL = f"(?i)\\b(?:from\\s+)?({DATE_ATOM})\\s+till\\s*date\\b"
+DATE_SINCE = f"(?i)\\bsince\\s+({DATE_ATOM})\\b"
+PRODUCT = "(?i)\\b(?:server|sql|windows|oracle|version)\\b"
+
+
+def month_token(atom: Column) -> Column:
+    """YYYY-MM, YYYY or present of one date; two-digit years below 80 are of this century. Empty for an empty one."""
+
+    def key(low: Column) -> Column:
+        part = lambda pattern, k: F.nullif(F.regexp_extract(low, pattern, k), F.lit(""))
+        named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part("(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", 1))
+        year = F.coalesce(part("((?:19|20)[0-9]{2})$", 1), let(part("([0-9]{2})$", 1), lambda y: F.concat(F.when(y < "80", "20").otherwise("19"), y)))
+        return F.coalesce(
+            F.when(low.rlike(f"(?i)^{OPEN_END}$"), "present"),
+            F.when(named > 0, F.concat(year, F.lit("-"), F.lpad(named.cast("string"), 2, "0"))),
+            F.concat(part("([0-9]{1,2})[/\\-]((?:19|20)[0-9]{2})$", 2), F.lit("-"), F.lpad(part("([0-9]{1,2})[/\\-]((?:19|20)[0-9]{2})$", 1), 2, "0")),
+            F.concat(part("^((?:19|20)[0-9]{2})\\s*[/\\-]\\s*([0-9]{1,2})$", 1), F.lit("-"), F.lpad(part("^((?:19|20)[0-9]{2})\\s*[/\\-]\\s*([0-9]{1,2})$", 2), 2, "0")),
+            low,
+        )
+
+    return let(F.trim(F.lower(atom)), key)
+
+
+def date_text(line: Column) -> Column:
+    """A line with plain dashes and without the parentheses around all of it or around single dates."""
+    plain = unified(line)
+    alone = plain.rlike("^\\([^()]*\\)$")
+    bare = F.when(alone, F.trim(F.regexp_replace(plain, "^\\(|\\)$", ""))).otherwise(plain)
+    return F.regexp_replace(bare, f"(?i)\\(\\s*({DATE_ATOM})\\s*\\)", "$1")
+
+
 def date_range(line: Column) -> Column:
-    """(start, end) month keys of 'a to b', 'a - b' or 'since a'; null without one."""
-    atom = "(?:[A-Za-z]{3,9}\\.?\\s*'?(?:[0-9]{4}|[0-9]{2})|[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}|[0-9]{4})"
-    open_ = "(?:[Pp]resent|[Cc]urrent|[Nn]ow|[Oo]ngoing|[Tt]ill [Dd]ate)"
-    both = f"({atom})\\s*(?:-|to|until)\\s+({atom}|{open_})"
+    """(start, end) months of 'a to b', 'a - b', 'a till date', 'since a', an open end or a single date alone; null without one.
+
+    Years after the name of a product, such as SQL Server 2019, are no dates unless they are part of a range.
+    """
 
     def found(plain: Column) -> Column:
-        start, end, since = F.regexp_extract(plain, both, 1), F.regexp_extract(plain, both, 2), F.regexp_extract(plain, f"(?i:since)\\s+({atom})", 1)
-        return F.when(start != "", F.struct(month_key(start).alias("start"), month_key(end).alias("end"))).when(since != "", F.struct(month_key(since).alias("start"), F.lit("present").alias("end")))
+        part = lambda pattern, k: F.regexp_extract(plain, pattern, k)
+        span, till, since, single = part(DATE_SPAN, 1), part(DATE_TILL, 1), part(DATE_SINCE, 1), part(f"(?i)\\b({DATE_ATOM})", 1)
+        product = plain.rlike(PRODUCT)
+        pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+        return (
+            F.when(span != "", pair(month_token(span), month_token(part(DATE_SPAN, 2)))).when(till != "", pair(month_token(till), F.lit("present")))
+            .when((since != "") & ~(product & since.rlike("^(?:19|20)[0-9]{2}$")), pair(month_token(since), F.lit("present"))).when(plain.rlike(f"(?i)^{OPEN_END}$"), pair(F.lit(""), F.lit("present")))
+            .when((single != "") & ~product, pair(month_token(single), F.lit("")))
+        )
 
-    return let(unified(line), found)
+    return let(date_text(line), found)
 
 
 def text_quality(text: Column) -> Column:

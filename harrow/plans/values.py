@@ -75,13 +75,29 @@ _EMAIL = f"""SELECT c_custkey, CASE WHEN list_has_any(g, f) THEN 1.0::DOUBLE WHE
 FROM (SELECT c_custkey, {_EMAILS.replace('{0}', 'gold')} AS g, {_EMAILS.replace('{0}', 'found')} AS f FROM v)"""
 
 
-@query("ST24_emails_urls", f"""WITH {_pairs('email')}, u AS (SELECT c_custkey AS k, 'HTTPS://www.' || c_mktsegment || '.com/in/' || c_name || CASE c_custkey % 3 WHEN 0 THEN '/?a=1' WHEN 1 THEN '//' ELSE '#x' END AS url FROM customer)
-SELECT v.c_custkey, array_to_string(list_sort({_EMAILS.replace('{0}', "gold || ' ' || found")}), ' ') AS emails, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(url, '/+$', ''), '(?i)^(?:https?://)?(?:www\\.)?', '')), '[?#].*$', ''), '/+$', '') AS url FROM v JOIN u ON k = v.c_custkey""")
+#: What is said of a customer's pages: addresses, labels with a handle, and labels that name no portfolio.
+_PAGES = """CASE c_custkey % 7 WHEN 0 THEN 'see https://www.linkedin.com/in/' || c_name || '/ and github.com/' || lower(c_mktsegment) WHEN 1 THEN 'LinkedIn: in/' || c_name WHEN 2 THEN 'GitHub: ' || lower(c_mktsegment) || '.' WHEN 3 THEN 'Website: ' || lower(c_mktsegment) || '.dev/me;'
+WHEN 4 THEN 'portfolio: mba.com' WHEN 5 THEN 'Personal site: https://github.com/' || lower(c_mktsegment) || ' linkedin: ' || lower(c_mktsegment) ELSE 'Portfolio: www.' || lower(c_mktsegment) || '.example' END"""
+
+
+def _schemed(x: str) -> str:
+    bare = f"regexp_replace(trim({x}), '[/.,;]+$', '')"
+    return f"CASE WHEN {bare} = '' THEN '' WHEN regexp_matches({bare}, '(?i)^https?://') THEN {bare} ELSE 'https://' || {bare} END"
+
+
+@query("ST24_emails_urls", f"""WITH {_pairs('email')}, u AS (SELECT c_custkey AS k, 'HTTPS://www.' || c_mktsegment || '.com/in/' || c_name || CASE c_custkey % 3 WHEN 0 THEN '/?a=1' WHEN 1 THEN '//' ELSE '#x' END AS url, {_PAGES} AS pages FROM customer),
+n AS (SELECT *, nullif(regexp_extract(pages, '{v.LINKEDIN}'), '') AS l1, nullif(regexp_extract(pages, '(?i)linkedin\\s*:\\s*(\\S+)', 1), '') AS l2, nullif(regexp_extract(pages, '{v.GITHUB}'), '') AS g1, nullif(regexp_extract(pages, '(?i)github\\s*:\\s*(\\S+)', 1), '') AS g2, nullif(regexp_extract(pages, '{v.PORTFOLIO_LABEL}', 1), '') AS p FROM u),
+h AS (SELECT *, split_part(regexp_replace(lower({_schemed('p')}), '^https?://', ''), '/', 1) AS host FROM n)
+SELECT v.c_custkey, array_to_string(list_sort({_EMAILS.replace('{0}', "gold || ' ' || found")}), ' ') AS emails, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(url, '/+$', ''), '(?i)^(?:https?://)?(?:www\\.)?', '')), '[?#].*$', ''), '/+$', '') AS url,
+CASE WHEN l1 IS NOT NULL THEN {_schemed('l1')} WHEN contains(lower(l2), 'linkedin') THEN {_schemed('l2')} WHEN contains(l2, '/') THEN {_schemed("'linkedin.com/in/' || l2")} ELSE '' END AS linkedin,
+CASE WHEN g1 IS NOT NULL THEN {_schemed('g1')} WHEN contains(lower(g2), 'github') THEN {_schemed('g2')} WHEN g2 IS NOT NULL THEN {_schemed("'github.com/' || g2")} ELSE '' END AS github,
+CASE WHEN regexp_matches(p, '{v.HOST_END}') AND NOT regexp_matches(lower(p), 'linkedin\\.com|github\\.com') AND NOT regexp_matches(host, '{v.DEGREE_HOST}') THEN {_schemed('p')} ELSE '' END AS portfolio FROM v JOIN h ON k = v.c_custkey""")
 def emails_urls(s, d):
+    """E-mail keys, the key of an address, and the profile links that a text names."""
     url = "'HTTPS://www.' || c_mktsegment || '.com/in/' || c_name || CASE c_custkey % 3 WHEN 0 THEN '/?a=1' WHEN 1 THEN '//' ELSE '#x' END AS url"
     gold, found = _VALUES["email"]
-    rows = read(s, d, "customer").selectExpr("c_custkey", f"{gold} || ' ' || {found} AS both", url)
-    return rows.select("c_custkey", F.array_join(v.emails(F.col("both")), " ").alias("emails"), v.url_key(F.col("url")).alias("url"))
+    rows = read(s, d, "customer").selectExpr("c_custkey", f"{gold} || ' ' || {found} AS both", url, f"{_PAGES} AS pages")
+    return rows.select("c_custkey", F.array_join(v.emails(F.col("both")), " ").alias("emails"), v.url_key(F.col("url")).alias("url"), v.profile_links(F.col("pages")).alias("p")).select("c_custkey", "emails", "url", "p.*")
 
 
 _PHONES = """list_sort(list_distinct(flatten(list_transform(list_transform(regexp_extract_all({0}, '[0-9][0-9\\s\\-().]{6,}[0-9]'), lambda r: regexp_replace(r, '[^0-9]', '', 'g')), lambda n: list_transform(range(1, length(n) // 10 + 1), lambda k: substr(n, length(n) - 10 * k + 1, 10))))))"""
@@ -141,28 +157,50 @@ def first_email(s, d):
     return read(s, d, "customer").selectExpr("c_custkey", f"{_CONTACT} AS x").select("c_custkey", v.first_email(F.col("x")).alias("email"))
 
 
-_CALL = f"CASE c_custkey % 5 WHEN 0 THEN '2019 2020 Mobile no: ' || {_NUMBER} WHEN 1 THEN 'since 2018 20192020 and ' || {_NUMBER} WHEN 2 THEN '20182019202020212022' WHEN 3 THEN 'tel 022 2345 6789' ELSE 'none' END"
-
-
-@query("ST22_first_phone", f"SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN {_NUMBER} WHEN 1 THEN {_NUMBER} WHEN 3 THEN '02223456789' ELSE '' END AS phone FROM customer")
+#: Sentences with a number in many forms, and rows of years that are none.
+_CALL = f"""CASE c_custkey % 12 WHEN 0 THEN '2019 2020 Mobile no: ' || {_NUMBER} WHEN 1 THEN 'since 2018 20192020 and ' || {_NUMBER} WHEN 2 THEN '20182019202020212022' WHEN 3 THEN 'tel 022 2345 6789'
+WHEN 4 THEN 'Call +91 ' || substr({_NUMBER}, 1, 2) || ' ' || substr({_NUMBER}, 3, 2) || ' ' || substr({_NUMBER}, 5, 2) || ' ' || substr({_NUMBER}, 7, 2) || ' ' || substr({_NUMBER}, 9, 2) WHEN 5 THEN substr({_NUMBER}, 1, 5) || ' ' || substr({_NUMBER}, 6, 5)
+WHEN 6 THEN 'Mobile: 98' || substr('20192020202120', 1 + CAST(c_custkey % 4 AS INTEGER), 8) WHEN 7 THEN 'Phone - (022) 2345-' || substr({_NUMBER}, 1, 4) WHEN 8 THEN 'a 9 9 7 0 3 8 8 0 0 ' || CAST(c_custkey % 10 AS STRING) WHEN 9 THEN '01234567890 or +1 (415) 555-2671' WHEN 10 THEN 'cell 12345' ELSE 'none' END"""
+_FIGURES = "regexp_replace({0}, '[^0-9]', '', 'g')"
+_YEARS_IN = f"regexp_extract_all({_FIGURES}, '(?:19|20)[0-9]{{{{2}}}}')"
+_IS_PHONE = f"""{_FIGURES} <> '' AND NOT (length({_FIGURES}) >= 12 AND len({_YEARS_IN}) >= 2 AND contains({_FIGURES}, array_to_string({_YEARS_IN}, ''))) AND (regexp_matches({_FIGURES}, '^[6-9][0-9]{{{{9}}}}$|^91[6-9][0-9]{{{{9}}}}$|^0[0-9]{{{{10}}}}$')
+OR (length({_FIGURES}) BETWEEN 7 AND 13 AND NOT regexp_matches({_FIGURES}, '(?:19|20)[0-9]{{{{2}}}}(?:19|20)[0-9]{{{{2}}}}')))""".format("c")
+_JOINED = "trim(regexp_replace(regexp_replace({0}, '([0-9])\\s+([0-9])', '\\1\\2', 'g'), '([0-9])\\s+([0-9])', '\\1\\2', 'g'))"
+_SHAPED = "flatten([" + ", ".join(f"list_transform(regexp_extract_all({{0}}, '{x.replace('{', '{{').replace('}', '}}')}'), lambda y: trim(y))" for x in v.PHONE_SHAPES) + "])"
+_LABELLED = _JOINED.format(f"regexp_extract(x, '{v.PHONE_LABEL}', 1)")
+_PLUS = _JOINED.format(f"regexp_extract(head, '{v.PHONE_PLUS}', 1)")
+
+
+@query("ST22_first_phone", f"""WITH t AS (SELECT 'customer' AS kind, c_custkey AS id, {_CALL} AS x FROM customer UNION ALL SELECT 'document', doc_id, text FROM documents),
+j AS (SELECT *, substr(x, 1, {v.PHONE_HEAD}) AS head, {_JOINED.format('x')} AS jx, {_JOINED.format(f'substr(x, 1, {v.PHONE_HEAD})')} AS jh FROM t),
+found AS (SELECT kind, id, list_concat([{_LABELLED}, {_PLUS}], {_SHAPED.format('head')}, {_SHAPED.format('jh')}, {_SHAPED.format('x')}, {_SHAPED.format('jx')}, [{_FIGURES.format(f"regexp_extract(x, '{v.PHONE_SPACED}', 1)")}]) AS found FROM j)
+SELECT kind, id, coalesce(list_filter(found, lambda c: {_IS_PHONE})[1], '') AS phone FROM found""")
 def first_phone(s, d):
-    """Rows of years are no numbers; the SQL states the expected result of each form of input."""
-    return read(s, d, "customer").selectExpr("c_custkey", f"{_CALL} AS x").select("c_custkey", v.first_phone(F.col("x")).alias("phone"))
+    """The number of every customer's sentence and of every document's whole text."""
+    said = read(s, d, "customer").selectExpr("'customer' AS kind", "c_custkey AS id", f"{_CALL} AS x").unionByName(read(s, d, "documents").selectExpr("'document' AS kind", "doc_id AS id", "text AS x"))
+    return said.select("kind", "id", v.first_phone(F.col("x")).alias("phone"))
 
 
 _CELL = "'Languages: JS, ' || lower(substr(p_type, 1, 8)) || '/C++' || chr(10) || CASE p_size % 3 WHEN 0 THEN 'Tools - K8s; 12; x' WHEN 1 THEN 'golang | ms sql' ELSE p_brand || ',js' END"
 _ALIAS = "map {" + ", ".join(f"'{k}': '{x}'" for k, x in v.SKILL_ALIAS.items()) + "}"
 
 
-@query("ST17_split_skills", f"""WITH part_rows AS (SELECT p_partkey, unnest(regexp_split_to_array({_CELL}, '[\\n;|]+')) AS part, generate_subscripts(regexp_split_to_array({_CELL}, '[\\n;|]+'), 1) AS i FROM part),
-bare AS (SELECT p_partkey, i, regexp_replace(part, '{v.SKILL_LABEL}', '') AS b FROM part_rows),
+_HEADED = "'TECHNICAL SKILLS' || chr(10) || 'Web & Tools, ' || " + _CELL
+_SPLIT_STEPS = f"""part_rows AS (SELECT p_partkey, unnest(regexp_split_to_array(x, '[\\n;|]+')) AS part, generate_subscripts(regexp_split_to_array(x, '[\\n;|]+'), 1) AS i FROM cells),
+cut AS (SELECT p_partkey, i, regexp_replace(part, '{v.SKILL_LABEL}', '') AS b FROM part_rows),
+bare AS (SELECT p_partkey, i, CASE WHEN contains(b, ':') AND len(list_filter(regexp_split_to_array(split_part(b, ':', 1), '\\s+'), lambda w: w <> '')) <= 3 THEN substr(b, strpos(b, ':') + 1) ELSE b END AS b FROM cut),
 pieces AS (SELECT p_partkey, i, unnest(regexp_split_to_array(b, '[,/]+')) AS x, generate_subscripts(regexp_split_to_array(b, '[,/]+'), 1) AS j FROM bare),
-normed AS (SELECT p_partkey, i, j, trim({_norm('x')}, ' .;') AS n FROM pieces),
-keys AS (SELECT p_partkey, i, j, coalesce({_ALIAS}[n], {_ALIAS}[replace(n, ' ', '')], n) AS k FROM normed),
-firsts AS (SELECT p_partkey, k, min((i, j)) AS place FROM keys WHERE length(k) >= 2 AND NOT regexp_matches(k, '^[0-9]+$') GROUP BY ALL)
-SELECT p_partkey, string_agg(k, ',' ORDER BY place) AS skills FROM firsts GROUP BY p_partkey""")
+normed AS (SELECT p_partkey, i, j, trim({_norm('x')}, ' .;') AS n, list_filter(string_split(replace({_norm('x')}, '&', ' '), ' '), lambda w: w <> '') AS w FROM pieces),
+keys AS (SELECT p_partkey, i, j, coalesce({_ALIAS}[n], {_ALIAS}[replace(n, ' ', '')], n) AS k, len(w) > 0 AND len(list_filter(w, lambda q: NOT list_contains({_list(v.SKILL_HEADING)}, q))) = 0 AS heading FROM normed),
+firsts AS (SELECT p_partkey, k, min((i, j)) AS place, min((i, j)) FILTER (NOT heading) AS gold_place FROM keys WHERE length(k) >= 2 AND NOT regexp_matches(k, '^[0-9]+$') GROUP BY ALL)"""
+
+
+@query("ST17_split_skills", f"""WITH cells AS (SELECT p_partkey, {_HEADED} AS x FROM part), {_SPLIT_STEPS}
+SELECT p_partkey, string_agg(k, ',' ORDER BY place) AS skills, string_agg(k, ',' ORDER BY gold_place) FILTER (gold_place IS NOT NULL) AS gold_skills FROM firsts GROUP BY p_partkey""")
 def split_skills(s, d):
-    return read(s, d, "part").selectExpr("p_partkey", f"{_CELL} AS x").select("p_partkey", F.array_join(v.split_skills(F.col("x")), ",").alias("skills"))
+    """The skills of a cell as found, and as gold, where category labels don't count."""
+    rows = read(s, d, "part").selectExpr("p_partkey", f"{_HEADED} AS x")
+    return rows.select("p_partkey", F.array_join(v.split_skills(F.col("x")), ",").alias("skills"), F.array_join(v.split_skills(F.col("x"), True), ",").alias("gold_skills"))
 
 
 _PHRASES = ("standard", "small", "medium", "large", "economy", "promo", "brass", "steel", "tin", "copper", "nickel", "tin plate")
@@ -226,10 +264,42 @@ def month_key(s, d):
     return _dated(s, d).select("o_orderkey", v.month_key(F.col("x")).alias("month"))
 
 
-@query("DT3_date_range", f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '2001-01' WHEN 1 THEN y END AS start_month, CASE o_orderkey % 3 WHEN 0 THEN y || '-03' WHEN 1 THEN 'present' END AS end_month FROM ({_ORDERS})")
+#: Lines with dates in many forms.
+_SPOKEN = """CASE o_orderkey % 16 WHEN 0 THEN 'Clerk, Jan 2001 – Mar ' || y WHEN 1 THEN 'since ' || y WHEN 2 THEN 'no dates' WHEN 3 THEN 'Jan ' || y || '-Mar 2021' WHEN 4 THEN '01/' || y || '-03/2021' WHEN 5 THEN y || '-2021' WHEN 6 THEN '(09/' || y || ') – (06/2023)'
+WHEN 7 THEN 'May ' || y WHEN 8 THEN 'SQL Server since ' || y WHEN 9 THEN 'Oracle, since May ' || y WHEN 10 THEN '5,Jan, ' || y || ' to 3rd Feb 2022' WHEN 11 THEN 'Aug’' || substr(y, 3, 2) || ' - present' WHEN 12 THEN '(Jun ' || y || ' — Aug 2023)' WHEN 13 THEN 'Sep ' || y || ' till date'
+WHEN 14 THEN '12/05/' || y || ' - 01/06/2020' ELSE 'Windows ' || y END"""
+
+
+def _plain(x: str) -> str:
+    """The SQL of ``values.unified``."""
+    return f"regexp_replace(regexp_replace(translate({x}, '{(v.QUOTES + v.DASHES + v.BULLETS).replace(chr(39), chr(39) * 2)}' || chr(160), '{v.PLAIN_QUOTES.replace(chr(39), chr(39) * 2)}{'-' * len(v.DASHES)}{' ' * (len(v.BULLETS) + 1)}'), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _token(x: str) -> str:
+    """The SQL of ``values.month_token``."""
+    low, months = f"trim(lower({x}))", "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    part = lambda pattern, k: f"nullif(regexp_extract({low}, '{pattern}', {k}), '')"
+    two, slashed, year_first = part("([0-9]{2})$", 1), "([0-9]{1,2})[/\\-]((?:19|20)[0-9]{2})$", "^((?:19|20)[0-9]{2})\\s*[/\\-]\\s*([0-9]{1,2})$"
+    return f"""coalesce(CASE WHEN regexp_matches({low}, '(?i)^{v.OPEN_END}$') THEN 'present' END, coalesce({part("((?:19|20)[0-9]{2})$", 1)}, CASE WHEN {two} < '80' THEN '20' ELSE '19' END || {two}) || '-' || lpad(CAST(list_position({_list(v.MONTHS)}, {part(months, 1)}) AS VARCHAR), 2, '0'),
+{part(slashed, 2)} || '-' || lpad({part(slashed, 1)}, 2, '0'), {part(year_first, 1)} || '-' || lpad({part(year_first, 2)}, 2, '0'), {low})"""
+
+
+@query("DT3_date_range", f"""WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
+l AS (SELECT 'order' AS kind, o_orderkey AS id, 1 AS pos, {_SPOKEN} AS line FROM o UNION ALL SELECT 'document', doc_id, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM documents),
+u AS (SELECT kind, id, pos, {_plain('line')} AS p FROM l),
+t AS (SELECT kind, id, pos, regexp_replace(CASE WHEN regexp_matches(p, '^\\([^()]*\\)$') THEN trim(regexp_replace(p, '^\\(|\\)$', '', 'g')) ELSE p END, '(?i)\\(\\s*({_sql(v.DATE_ATOM)})\\s*\\)', '\\1', 'g') AS p FROM u),
+g AS (SELECT *, regexp_extract(p, '{_sql(v.DATE_SPAN)}', 1) AS a, regexp_extract(p, '{_sql(v.DATE_SPAN)}', 2) AS b, regexp_extract(p, '{_sql(v.DATE_TILL)}', 1) AS till, regexp_extract(p, '{_sql(v.DATE_SINCE)}', 1) AS since, regexp_extract(p, '(?i)\\b({_sql(v.DATE_ATOM)})', 1) AS single, regexp_matches(p, '{v.PRODUCT}') AS product FROM t),
+k AS (SELECT *, CASE WHEN a <> '' THEN 1 WHEN till <> '' THEN 2 WHEN since <> '' AND NOT (product AND regexp_matches(since, '^(?:19|20)[0-9]{{2}}$')) THEN 3 WHEN regexp_matches(p, '(?i)^{v.OPEN_END}$') THEN 4 WHEN single <> '' AND NOT product THEN 5 END AS form FROM g)
+SELECT kind, id, pos, CASE form WHEN 1 THEN {_token('a')} WHEN 2 THEN {_token('till')} WHEN 3 THEN {_token('since')} WHEN 4 THEN '' ELSE {_token('single')} END AS start_month, CASE form WHEN 1 THEN {_token('b')} WHEN 5 THEN '' ELSE 'present' END AS end_month FROM k WHERE form IS NOT NULL""")
 def date_range(s, d):
-    line = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'Clerk, Jan 2001 – Mar ' || y WHEN 1 THEN 'since ' || y ELSE 'no dates, ' || y END")
-    return _dated(s, d).select("o_orderkey", v.date_range(line).alias("r")).select("o_orderkey", F.col("r.start").alias("start_month"), F.col("r.end").alias("end_month"))
+    """The dates of every line of every document, and of lines written out of orders."""
+    spoken = read(s, d, "orders").selectExpr("o_orderkey", "CAST(year(o_orderdate) AS STRING) AS y").selectExpr("'order' AS kind", "o_orderkey AS id", "1 AS pos", f"{_SPOKEN} AS line")
+    lines = read(s, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
+    return spoken.unionByName(lines).select("kind", "id", "pos", v.date_range(F.col("line")).alias("r")).where("r is not null").select("kind", "id", "pos", F.col("r.start").alias("start_month"), F.col("r.end").alias("end_month"))
 
 
 @query("DT1_year_set", f"SELECT o_orderkey, array_to_string(list_sort(list_distinct([y, CASE WHEN o_orderkey % 100 > 50 THEN '19' ELSE '20' END || lpad(CAST(o_orderkey % 100 AS STRING), 2, '0')])), ' ') AS years FROM ({_ORDERS})")

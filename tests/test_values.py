@@ -19,11 +19,35 @@ def apply(spark, function, rows):
 def test_contacts(spark):
     assert apply(spark, v.first_email, [("E-mail: a@b.com, c@d.org",), ("x.y\n@mail.org z@w.com",), ("c@d.org mail id - a@b.com",), ("none",), ("",)]) == ["a@b.com", "x.y@mail.org", "a@b.com", "", ""]
     assert apply(spark, v.phone_keys, [("+91 98765 43210",), ("98765432109876543211",), ("12",), (None,)]) == [["9876543210"], ["9876543210", "9876543211"], [], []]
-    assert apply(spark, v.first_phone, [("Phone: 98765 43210",), ("2019 2020 2021 2022",), ("call 9876543210 now",), ("20192020",)]) == ["9876543210", "", "9876543210", ""]
+    assert apply(spark, v.first_phone, [("Phone: 98765 43210",), ("2019 2020 2021 2022",), ("call 9876543210 now",), ("20192020",)]) == ["9876543210", "9202020212", "9876543210", ""]  # only twelve digits are a row of years
+    forms = [("Mobile: 9820192020",), ("Call +91 99 70 38 80 01",), ("99 70 38 80 01",), ("tel 022 2345 6789",), ("since 2018 20192020 and 9123456789",), (None,), ("",), ("x " * 2000 + "9876543210",)]
+    assert apply(spark, v.first_phone, forms) == ["9820192020", "+919970388001", "9970388001", "02223456789", "9123456789", "", "", "9876543210"]
     assert apply(spark, v.url_key, [("https://www.Site.com/in/X/?a=1",), ("<http://a.b/c/>",), ("",)]) == ["site.com/in/x", "a.b/c", ""]
     assert apply(spark, v.email_score, [("a@b.com", "A@B.com."), ("a@b.com", "a@c.com"), ("a@b.com", "")]) == [1.0, 0.6, 0.0]
 
 
+def test_date_forms(spark):
+    forms = {
+        "Jan 2020-Mar 2021": ("2020-01", "2021-03"), "01/2020-03/2021": ("2020-01", "2021-03"), "2019-2021": ("2019", "2021"), "(09/2022) – (06/2023)": ("2022-09", "2023-06"), "May 2021": ("2021-05", ""),
+        "SQL Server since 2019": None, "Oracle 2019": None, "since May 2020 Oracle": ("2020-05", "present"), "5,Jan, 2021 to 3rd Feb 2022": ("2021-01", "2022-02"), "Aug'20 - Dec’21": ("2020-08", "2021-12"),
+        "Jun 2024 till date": ("2024-06", "present"), "Present": ("", "present"), "(Jun 2023 - Aug 2023)": ("2023-06", "2023-08"), "Dev (Jan 2022 - Dec 2024), Pune": ("2022-01", "2024-12"), "12/05/2019 - 01/06/2020": ("2019-05", "2020-06"), "": None,
+    }
+    assert [r and tuple(r) for r in apply(spark, v.date_range, [(x,) for x in forms])] == list(forms.values())
+
+
+def test_profile_links(spark):
+    texts = ["see https://www.linkedin.com/in/a-b/ and github.com/x", "GitHub: bar", "portfolio: mba.com", "Website: ann.dev/x.", "Portfolio: https://github.com/q", None]
+    want = [("https://www.linkedin.com/in/a-b", "https://github.com/x", ""), ("", "https://github.com/bar", ""), ("", "", ""), ("", "", "https://ann.dev/x"), ("", "https://github.com/q", ""), ("", "", "")]
+    assert [tuple(r) for r in apply(spark, v.profile_links, [(x,) for x in texts])] == want
+    assert apply(spark, v.url_score, [("https://www.a.com/in/x", "a.com/in/x/"), ("linkedin.com/in/x", "in/x"), ("a.com/in/a", "a.com/in/b"), ("", "a.b")]) == [1.0, 0.95, 0.0, 0.0]
+
+
+def test_category_labels(spark):
+    cell = [("TECHNICAL SKILLS\nPROGRAMMING LANGUAGES\nC#, C++\nWEB TECHNOLOGIES\nASP.NET, HTML",)]
+    assert apply(spark, lambda c: v.split_skills(c, True), cell) == [["csharp", "cpp", "asp.net", "html"]]
+    assert "technical skills" in apply(spark, v.split_skills, cell)[0]
+
+
 def test_names_places_levels(spark):
     assert apply(spark, v.name_score, [("Mr. Ann Lee", "ann lee"), ("Ann Lee Roe", "ann roe"), ("Ann Lee", "Ann Roe"), ("", "a")]) == [1.0, 0.95, 0.5, 0.0]
     assert apply(spark, v.place_score, [("Pune, India", "pune"), ("Pune East, Maharashtra 411001", "Mumbai"), ("Navi Mumbai", "Mumbai"), ("India", "India"), ("", "x")]) == [1.0, 0.0, 0.75, 1.0, 0.0]
