@@ -194,19 +194,6 @@ def violations(s, d):
     return rows.select("o_orderkey", F.array_join(broken, ",").alias("violations"))
 
 
-@query("DM9_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-f AS (SELECT *, length(trim(line)) BETWEEN 1 AND 40 AND NOT regexp_matches(trim(line), '[.,;:!?]$') AS heading FROM l),
-n AS (SELECT *, count(*) FILTER (heading) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM f)
-SELECT doc_id, section, coalesce(min(trim(line)) FILTER (heading), 'Preamble') AS title, count(*) FILTER (NOT heading) AS lines FROM n GROUP BY doc_id, section""")
-def sections(s, d):
-    """Short lines without an end sign are headings; each line belongs to the last heading above it, or the preamble."""
-    lines = read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    marked = lines.withColumn("heading", F.length(F.trim("line")).between(1, 40) & ~F.trim("line").rlike("[.,;:!?]$"))
-    placed = marked.withColumn("section", F.count_if("heading").over(Window.partitionBy("doc_id").orderBy("pos")))
-    title = F.coalesce(F.min(F.when(F.col("heading"), F.trim("line"))), F.lit("Preamble"))
-    return placed.groupBy("doc_id", "section").agg(title.alias("title"), F.count_if(~F.col("heading")).alias("lines"))
-
-
 @query("DM12_coverage", r"""WITH e AS (SELECT doc_id, regexp_matches(text, '@') AS email, regexp_matches(text, '[0-9]{3}') AS number, regexp_matches(lower(text), '\blicense\b') AS license, doc_id % 3 AS filled FROM documents)
 SELECT field, status, count(*) AS n FROM (SELECT field, CASE WHEN filled = 1 AND evidence THEN 'filled' WHEN filled = 2 AND evidence THEN 'recovered' WHEN evidence THEN 'missing_with_evidence' ELSE 'missing_no_evidence' END AS status FROM (
 SELECT 'email' AS field, email AS evidence, filled FROM e UNION ALL SELECT 'number', number, filled FROM e UNION ALL SELECT 'license', license, filled FROM e)) GROUP BY ALL""")
