@@ -376,23 +376,28 @@ def date_text(line: Column) -> Column:
 
 
 def date_range(line: Column) -> Column:
+    """``plain_range`` of any line."""
+    return let(date_text(line), plain_range)
+
+
+def plain_range(plain: Column) -> Column:
     """(start, end) months of 'a to b', 'a - b', 'a till date', 'since a', an open end or a single date alone; null without one.
 
     Years after the name of a product, such as SQL Server 2019, are no dates unless they are part of a range.
     """
 
-    def found(plain: Column) -> Column:
-        part = lambda pattern, k: F.regexp_extract(plain, pattern, k)
-        span, till, since, single = part(DATE_SPAN, 1), part(DATE_TILL, 1), part(DATE_SINCE, 1), part(f"(?i)\\b({DATE_ATOM})", 1)
-        product = plain.rlike(PRODUCT)
-        pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    part = lambda pattern, k: F.regexp_extract(plain, pattern, k)
+    atoms = F.struct(part(DATE_SPAN, 1).alias("a"), part(DATE_SPAN, 2).alias("b"), part(DATE_TILL, 1).alias("till"), part(DATE_SINCE, 1).alias("since"), part(f"(?i)\\b({DATE_ATOM})", 1).alias("single"), plain.rlike(PRODUCT).alias("product"), plain.rlike(f"(?i)^{OPEN_END}$").alias("open"))
+    pair = lambda a, b: F.struct(month_token(a).alias("start"), month_token(b).alias("end"))
+
+    def found(x: Column) -> Column:
+        now, none = F.lit("present"), F.lit("")
         return (
-            F.when(span != "", pair(month_token(span), month_token(part(DATE_SPAN, 2)))).when(till != "", pair(month_token(till), F.lit("present")))
-            .when((since != "") & ~(product & since.rlike("^(?:19|20)[0-9]{2}$")), pair(month_token(since), F.lit("present"))).when(plain.rlike(f"(?i)^{OPEN_END}$"), pair(F.lit(""), F.lit("present")))
-            .when((single != "") & ~product, pair(month_token(single), F.lit("")))
+            F.when(x["a"] != "", pair(x["a"], x["b"])).when(x["till"] != "", pair(x["till"], now)).when((x["since"] != "") & ~(x["product"] & x["since"].rlike("^(?:19|20)[0-9]{2}$")), pair(x["since"], now))
+            .when(x["open"], pair(none, now)).when((x["single"] != "") & ~x["product"], pair(x["single"], none))
         )
 
-    return let(date_text(line), found)
+    return F.when(plain.rlike("[0-9]{2}") | plain.rlike(f"(?i)^{OPEN_END}$"), let(atoms, found))  # a date has two digits at least
 
 
 def text_quality(text: Column) -> Column:
@@ -420,12 +425,16 @@ def verdict(score: Column) -> Column:
 
 
 def field_score(metric: Column, gold: Column, found: Column) -> Column:
-    """The score of a gold value and a found one by the field's metric; text is scored by the share of gold tokens found or their overlap."""
+    """The score of a gold value and a found one by the field's metric; text is scored by the share of gold tokens found or their overlap.
+
+    Skills and sections are lists: see ``operators.matching``. Any other metric is an error.
+    """
     text = let(F.struct(t.tokens(unified(gold)).alias("g"), t.tokens(unified(found)).alias("f")), lambda p: F.greatest(t.containment(p["g"], p["f"]), t.token_f1(p["g"], p["f"])))
     phone = F.when(F.arrays_overlap(phone_keys(gold), phone_keys(found)), 1.0).otherwise(0.0)
     return (
         F.when(metric == "email", email_score(gold, found)).when(metric == "phone", phone).when(metric == "name", name_score(gold, found)).when(metric == "location", place_score(gold, found))
-        .when(metric == "enum", level_score(gold, found)).when(metric == "text", F.when(F.trim(found) == "", 0.0).otherwise(text))
+        .when(metric == "enum", level_score(gold, found)).when(metric == "url", url_score(gold, found)).when(metric == "text", F.when(F.trim(found) == "", 0.0).otherwise(text))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown metric: "), metric)).cast("double"))
     )
 
 

@@ -111,14 +111,15 @@ def headed(lines: DataFrame, headings: DataFrame) -> DataFrame:
     """Add ``label``, the section that a line is the heading of, and ``rest``, what follows it on its line (``Skills: a, b``)."""
     left = F.split_part("line", F.lit(":"), F.lit(1))
     rest = F.trim(F.substring("line", F.length(left) + 2, F.length("line")))
-    inline = F.col("line").contains(":") & (rest != "")
-    bare = _bare(F.when(inline, left).otherwise(F.col("line")))
-    words = F.size(F.filter(F.split(bare, "\\s+"), lambda w: w != ""))
+    parted = lines.withColumn("rest", F.when(F.col("line").contains(":"), rest).otherwise(""))
+    # in steps, so that each is computed once
+    bared = parted.withColumn("bare", _bare(F.when(F.col("rest") != "", left).otherwise(F.col("line")))).withColumn("key", heading_key(F.col("bare")))
+    bare, inline, words = F.col("bare"), F.col("rest") != "", F.size(F.filter(F.split("bare", "\\s+"), lambda w: w != ""))
     plausible = (
-        ~F.col("line").rlike(TICK) & (F.length(bare).between(1, 80)) & (words <= 8) & ~(F.trim("line").endswith(".") & (words > 3)) & ~bare.rlike(DUTY) & ~bare.rlike("@|[0-9]{6}")
-        & ~heading_key(bare).isin(*TITLES) & (~inline | heading_key(bare).isin(*INLINE))
+        ~F.col("line").rlike(TICK) & F.length(bare).between(1, 80) & (words <= 8) & ~(F.trim("line").endswith(".") & (words > 3)) & ~bare.rlike(DUTY) & ~bare.rlike("@|[0-9]{6}")
+        & ~F.col("key").isin(*TITLES) & (~inline | F.col("key").isin(*INLINE))
     )
-    keyed = lines.withColumns({"key": F.when(plausible, heading_key(bare)), "rest": F.when(inline, rest).otherwise("")})
+    keyed = bared.withColumn("key", F.when(plausible, F.col("key"))).drop("bare")
     found = keyed.join(F.broadcast(headings), "key", "left")  # some 150 rows
     return found.withColumn("rest", F.when(F.col("label").isNotNull(), F.col("rest")).otherwise("")).drop("key")
 
@@ -171,37 +172,42 @@ def classified(lines: DataFrame) -> DataFrame:
 
     A date line holds a range, or nothing but a date. A head is a short line that ends like no sentence and begins like no duty.
     """
-    line = F.trim("line")
-    bullet = line.rlike(BULLET)
-    months = v.date_range(line)
-    ranged = (months["end"] != "") | (F.length(F.regexp_replace(F.regexp_replace(v.date_text(line), f"(?i){v.DATE_ATOM}", ""), "[^A-Za-z]", "")) == 0)
-    dated = ~bullet & F.coalesce(ranged & months.isNotNull(), F.lit(False))
-    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(v.date_text(line), v.DATE_SPAN, ""), v.DATE_TILL, ""), f"(?i)\\b(?:since\\s+)?{v.DATE_ATOM}", "")
+    line, plain = F.trim("line"), F.col("plain_")
+    # in steps, so that each is computed once
+    told = lines.withColumn("plain_", v.date_text(line)).withColumn("months_", v.plain_range(plain))
+    months, bullet = F.col("months_"), line.rlike(BULLET)
+    alone = F.length(F.regexp_replace(F.regexp_replace(plain, f"(?i){v.DATE_ATOM}", ""), "[^A-Za-z]", "")) == 0
+    told = told.withColumn("dated_", ~bullet & months.isNotNull() & F.coalesce((months["end"] != "") | alone, F.lit(False)))
+    dated = F.col("dated_")
+    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, v.DATE_SPAN, ""), v.DATE_TILL, ""), f"(?i)\\b(?:since\\s+)?{v.DATE_ATOM}", "")
     bare = F.when(dated, F.regexp_replace(F.regexp_replace(without, "\\(\\s*\\)", ""), "^[\\s|,;:()\\-]+|[\\s|,;:()\\-]+$", "")).otherwise(F.regexp_replace(line, BULLET, ""))
     short = (F.length(line) <= 80) & ~line.rlike("[.;!?]$") & ~line.rlike(DUTY)
     kind = F.when(line == "", "blank").when(bullet, "bullet").when(dated, "date").when(short, "head").otherwise("prose")
-    return lines.withColumns({"kind": kind, "start": F.when(dated, months["start"]), "end": F.when(dated, months["end"]), "bare": bare})
+    return told.withColumns({"kind": kind, "start": F.when(dated, months["start"]), "end": F.when(dated, months["end"]), "bare": bare}).drop("plain_", "months_", "dated_")
 
 
 def _experience(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-    """(entry, heads, dated, body, gap): a date opens an entry unless the present one waits for one; so does a head after items or a gap, and one
-    that a date follows, at once or after further heads, save for a place."""
-    entry, heads, dated, body, gap = state
-    kind, following, beyond, text, place = row
+    """(entry, heads, titled, dated, body, gap): a date opens an entry unless the present one waits for one; so does a head after items or a gap, and one
+    that begins the next entry: a date follows it, at once or after further heads, or a second title does; places don't."""
+    entry, heads, titled, dated, body, gap = state
+    kind, following, beyond, text, place, role, next_role = row
     if kind == "blank":
-        return (entry, heads, dated, body, True), (entry,)
+        return (entry, heads, titled, dated, body, True), (entry,)
+    opens = False
     if kind == "date":
-        if entry == 0 or dated or body:
-            entry, heads, body = entry + 1, 0, False
-        heads, dated = heads + (text != ""), True
+        opens = entry == 0 or dated or body
     elif kind == "head":
-        complete = dated and heads > 0
-        if entry == 0 or body or (complete and (gap or following == "date" or (beyond == "date" and not place) or heads >= 3)) or (not dated and heads >= 3):
-            entry, heads, dated, body = entry + 1, 0, False, False
-        heads += 1
+        anew = gap or following == "date" or heads >= 3 or (beyond in ("date", "titled") and not place) or (titled and (role or (next_role and not place)))
+        opens = entry == 0 or body or (dated and heads > 0 and anew) or (not dated and heads >= 3)
+    if opens:
+        entry, heads, titled, dated, body = entry + 1, 0, False, False, False
+    if kind == "date":
+        heads, titled, dated = heads + (text != ""), titled or role, True
+    elif kind == "head":
+        heads, titled = heads + 1, titled or role
     else:
         body = entry > 0
-    return (entry, heads, dated, body, False), (entry,)
+    return (entry, heads, titled, dated, body, False), (entry,)
 
 
 def _education(state: tuple, row: tuple) -> tuple[tuple, tuple]:
@@ -223,9 +229,12 @@ def experience_lines(rows: DataFrame, id: str) -> DataFrame:
     """Every line of the Experience sections with its entry (0: before the first)."""
     lines = _inner(rows, "Experience", id)
     spoken = Window.partitionBy(id, "section").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    kind, place = F.col("kind"), F.col("bare").rlike(PLACE) & ~F.col("bare").rlike(ROLE)
-    ahead = {"following": F.first(F.when(kind != "blank", kind), ignorenulls=True).over(spoken), "beyond": F.first(F.when(~kind.isin("blank", "head"), kind), ignorenulls=True).over(spoken), "place": place}
-    return ordered_fold(lines.withColumns(ahead), [id, "section"], ["pos"], "entry int", lambda: (0, 0, False, False, False), _experience, ["kind", "following", "beyond", "bare", "place"]).drop(*ahead)
+    bare = F.col("bare")
+    kind, role = F.when((F.col("kind") == "date") & (bare != ""), "titled").otherwise(F.col("kind")), F.col("kind").isin("head", "date") & bare.rlike(ROLE)
+    next_ = lambda x, skipped: F.first(F.when(~kind.isin(*skipped), x), ignorenulls=True).over(spoken)
+    ahead = {"following": next_(kind, ["blank"]), "beyond": next_(kind, ["blank", "head"]), "place": bare.rlike(PLACE) & ~bare.rlike(ROLE), "role": role, "next_role": F.coalesce(next_(role, ["blank"]), F.lit(False))}
+    start = lambda: (0, 0, False, False, False, False)
+    return ordered_fold(lines.withColumns(ahead), [id, "section"], ["pos"], "entry int", start, _experience, ["kind", "following", "beyond", "bare", "place", "role", "next_role"]).drop(*ahead)
 
 
 def _pieces(head: Column) -> Column:

@@ -90,13 +90,15 @@ kinds AS (SELECT id, section, pos, CASE WHEN line = '' THEN 'blank' WHEN regexp_
   CASE WHEN NOT regexp_matches(line, '{op.BULLET}') AND form IS NOT NULL THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_sql(v.DATE_SPAN)}', '', 'g'), '{_sql(v.DATE_TILL)}', '', 'g'), '(?i)\\b(?:since\\s+)?{_sql(v.DATE_ATOM)}', '', 'g'), '\\(\\s*\\)', '', 'g'), '^[\\s|,;:()\\-]+|[\\s|,;:()\\-]+$', '', 'g') ELSE regexp_replace(line, '{op.BULLET}', '') END AS bare FROM forms)"""
 
 
-_ENTRIES = f"""ahead AS (SELECT *, row_number() OVER w AS k, first_value(CASE WHEN kind <> 'blank' THEN kind END IGNORE NULLS) OVER r AS following, first_value(CASE WHEN kind NOT IN ('blank', 'head') THEN kind END IGNORE NULLS) OVER r AS beyond,
-  regexp_matches(bare, '{op.PLACE}') AND NOT regexp_matches(bare, '{op.ROLE}') AS place FROM kinds WINDOW w AS (PARTITION BY id, section ORDER BY pos), r AS (PARTITION BY id, section ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-walk AS (SELECT id, section, 0::BIGINT AS k, 0 AS entry, 0 AS heads, false AS dated, false AS body, false AS gap FROM ahead WHERE k = 1 UNION ALL
-SELECT w.id, w.section, l.k, n.entry, CASE l.kind WHEN 'date' THEN (CASE WHEN n.opens THEN 0 ELSE w.heads END) + CASE WHEN l.bare <> '' THEN 1 ELSE 0 END WHEN 'head' THEN (CASE WHEN n.opens THEN 0 ELSE w.heads END) + 1 ELSE w.heads END,
-  CASE l.kind WHEN 'date' THEN true WHEN 'head' THEN w.dated AND NOT n.opens ELSE w.dated END, CASE WHEN l.kind IN ('bullet', 'prose') THEN w.entry > 0 ELSE w.body AND NOT n.opens END, l.kind = 'blank'
-FROM walk w JOIN ahead l ON l.id = w.id AND l.section = w.section AND l.k = w.k + 1, LATERAL (SELECT o.opens AS opens, w.entry + CASE WHEN o.opens THEN 1 ELSE 0 END AS entry FROM (SELECT CASE l.kind WHEN 'date' THEN w.entry = 0 OR w.dated OR w.body
-  WHEN 'head' THEN w.entry = 0 OR w.body OR (w.dated AND w.heads > 0 AND (w.gap OR coalesce(l.following = 'date', false) OR (coalesce(l.beyond = 'date', false) AND NOT l.place) OR w.heads >= 3)) OR (NOT w.dated AND w.heads >= 3) ELSE false END AS opens) o) n)"""
+_ENTRIES = f"""roles AS (SELECT *, CASE WHEN kind = 'date' AND bare <> '' THEN 'titled' ELSE kind END AS form, regexp_matches(bare, '{op.PLACE}') AND NOT regexp_matches(bare, '{op.ROLE}') AS place, kind IN ('head', 'date') AND regexp_matches(bare, '{op.ROLE}') AS role FROM kinds),
+ahead AS (SELECT *, row_number() OVER w AS k, first_value(CASE WHEN kind <> 'blank' THEN form END IGNORE NULLS) OVER r AS following, first_value(CASE WHEN kind NOT IN ('blank', 'head') THEN form END IGNORE NULLS) OVER r AS beyond,
+  coalesce(first_value(CASE WHEN kind <> 'blank' THEN role END IGNORE NULLS) OVER r, false) AS next_role FROM roles WINDOW w AS (PARTITION BY id, section ORDER BY pos), r AS (PARTITION BY id, section ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+walk AS (SELECT id, section, 0::BIGINT AS k, 0 AS entry, 0 AS heads, false AS titled, false AS dated, false AS body, false AS gap FROM ahead WHERE k = 1 UNION ALL
+SELECT w.id, w.section, l.k, w.entry + CASE WHEN o.opens THEN 1 ELSE 0 END, CASE WHEN o.opens THEN 0 ELSE w.heads END + CASE WHEN l.kind = 'head' OR (l.kind = 'date' AND l.bare <> '') THEN 1 ELSE 0 END,
+  (w.titled AND NOT o.opens) OR (l.kind IN ('head', 'date') AND l.role), CASE l.kind WHEN 'date' THEN true ELSE w.dated AND NOT o.opens END, CASE WHEN l.kind IN ('bullet', 'prose') THEN w.entry > 0 ELSE w.body AND NOT o.opens END, l.kind = 'blank'
+FROM walk w JOIN ahead l ON l.id = w.id AND l.section = w.section AND l.k = w.k + 1, LATERAL (SELECT CASE l.kind WHEN 'date' THEN w.entry = 0 OR w.dated OR w.body
+  WHEN 'head' THEN w.entry = 0 OR w.body OR (w.dated AND w.heads > 0 AND (w.gap OR coalesce(l.following = 'date', false) OR w.heads >= 3 OR (coalesce(l.beyond IN ('date', 'titled'), false) AND NOT l.place) OR (w.titled AND (l.role OR (l.next_role AND NOT l.place)))))
+    OR (NOT w.dated AND w.heads >= 3) ELSE false END AS opens) o)"""
 
 
 @query("DM10_entries", f"WITH RECURSIVE {_RESUMES}, texts AS (SELECT 'resume' AS kind, id, text FROM resumes), {_sectioned('texts', op.RESUME_HEADINGS)}, {_classified('Experience')}, {_ENTRIES} SELECT l.id, l.section, l.pos, l.kind, w.entry FROM ahead l JOIN walk w ON w.id = l.id AND w.section = l.section AND w.k = l.k")

@@ -30,6 +30,7 @@ _VALUES = {
     "phone": (f"'+91 ' || {_NUMBER}", f"CASE c_custkey % 3 WHEN 0 THEN 'call (0)' || {_NUMBER} || '1' WHEN 1 THEN '91-' || {_NUMBER} ELSE '12345' END"),
     "location": ("CASE c_custkey % 4 WHEN 0 THEN 'Pune, Maharashtra 411001' WHEN 1 THEN 'Navi Mumbai East' WHEN 2 THEN 'India' ELSE 'Road 5, Delhi / NCR' END", "CASE c_custkey % 3 WHEN 0 THEN 'Mumbai, India' WHEN 1 THEN 'near pune' ELSE 'delhi' END"),
     "enum": ("CASE c_custkey % 4 WHEN 0 THEN 'Fresh graduate' WHEN 1 THEN 'Intern' WHEN 2 THEN 'Senior' ELSE 'other' END", "CASE c_custkey % 3 WHEN 0 THEN 'Experienced professional' WHEN 1 THEN 'entry level' ELSE '' END"),
+    "url": ("CASE c_custkey % 3 WHEN 0 THEN 'https://www.linkedin.com/in/' || lower(c_name) WHEN 1 THEN 'HTTPS://GitHub.com/' || c_mktsegment || '/?tab=1' ELSE 'site' || c_custkey || '.example.org/' END", "CASE c_custkey % 4 WHEN 0 THEN 'linkedin.com/in/' || c_name || '/' WHEN 1 THEN 'in/' || c_name WHEN 2 THEN 'www.site' || c_custkey || '.example.org' ELSE '' END"),
     "text": ("'account ' || lower(c_mktsegment) || ' of ' || CAST(c_nationkey AS STRING)", "CASE c_custkey % 3 WHEN 0 THEN 'the ' || c_mktsegment || ' account' WHEN 1 THEN 'of of account' ELSE '' END"),
 }
 
@@ -137,17 +138,6 @@ FROM (SELECT c_custkey, found, {_tokens('gold')} AS g, {_tokens('found')} AS f F
 _PHONE = f"SELECT c_custkey, CASE WHEN list_has_any({_PHONES.replace('{0}', 'gold')}, {_PHONES.replace('{0}', 'found')}) THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM v"
 
 
-@query("DM16_field_scores", "WITH " + ", ".join(f"{m} AS (WITH {_pairs(m)} SELECT '{m}' AS metric, gold, found, score FROM ({body}) JOIN v USING (c_custkey))" for m, body in (("name", _NAME), ("email", _EMAIL), ("phone", _PHONE), ("enum", _ENUM), ("text", _TEXT)))
-       + " SELECT metric, CASE WHEN trim(gold) = '' AND trim(found) = '' THEN 'blank_ok' WHEN trim(gold) = '' THEN 'false_positive' WHEN score >= 0.85 THEN 'match' WHEN score >= 0.6 THEN 'partial' ELSE 'miss' END AS verdict, count(*) AS n, round(sum(score), 6) AS total FROM (" + " UNION ALL ".join(f"SELECT * FROM {m}" for m in ("name", "email", "phone", "enum", "text")) + ") GROUP BY ALL")
-def field_scores(s, d):
-    """Every field's score by its metric and its verdict, counted."""
-    parts = [pairs(s, d, m).select(F.lit(m).alias("metric"), "gold", "found", v.field_score(F.lit(m), F.col("gold"), F.col("found")).alias("score")) for m in ("name", "email", "phone", "enum", "text")]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.groupBy("metric", v.field_verdict(F.col("gold"), F.col("found"), F.col("score")).alias("verdict")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
-
-
 _CONTACT = f"CASE c_custkey % 5 WHEN 0 THEN 'x@y.org E-Mail: ' || {_LOCAL} || '@mail.org' WHEN 1 THEN {_LOCAL} || chr(10) || '@mail.org, other@b.net' WHEN 2 THEN 'mail id - ' || {_LOCAL} || '@c.net' WHEN 3 THEN 'only ' || {_LOCAL} || '@d.net here' ELSE 'no address' END"
 
 
@@ -220,16 +210,6 @@ def company_key(s, d):
     return read(s, d, "supplier").selectExpr("s_suppkey", f"{_COMPANY} AS x").select("s_suppkey", v.company_key(F.col("x")).alias("company"))
 
 
-@query("JN17_related_companies", f"""WITH k AS (SELECT s_suppkey, {_COMPANY_KEY} AS company FROM (SELECT s_suppkey, trim(lower({_COMPANY})) AS s FROM supplier)), o AS (SELECT n_nationkey AS org_id, 'supplier#00000000' || CAST(n_nationkey AS STRING) AS name FROM nation)
-SELECT org_id, s_suppkey FROM k JOIN o ON company = name OR contains(company, name) OR contains(name, company)""")
-def related_companies(s, d):
-    """Companies and tenants one of whose names holds the other. There are as few tenants as nations: that side is broadcast."""
-    found = read(s, d, "supplier").selectExpr("s_suppkey", f"{_COMPANY} AS x").select("s_suppkey", v.company_key(F.col("x")).alias("company"))
-    tenants = read(s, d, "nation").selectExpr("n_nationkey AS org_id", "'Supplier#00000000' || CAST(n_nationkey AS STRING) || ' Ltd.' AS x").select("org_id", v.company_key(F.col("x")).alias("name"))
-    related = (F.col("company") != "") & (F.col("name") != "") & (F.col("company").contains(F.col("name")) | F.col("name").contains(F.col("company")))
-    return found.join(F.broadcast(tenants), related).select("org_id", "s_suppkey")
-
-
 _LOG = "CASE event_id % 9 WHEN 0 THEN 'got Bearer abc.def' WHEN 1 THEN 'BASIC Zm9v x' WHEN 2 THEN 'Authorization: Digest a b c' WHEN 3 THEN 'Cookie: a=b; c=d' WHEN 4 THEN 'session=' || event_type || '; ok' WHEN 5 THEN 'postgresql+psycopg://u:pw@h/db' WHEN 6 THEN 'rediss://u:pw@h' WHEN 7 THEN 'redis://pw@h' ELSE 'POST https://h.org/api/webhook/' || event_type || '?x=1' END"
 _REDACTED = _LOG
 for _pattern, _by in v.CREDENTIALS:
