@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.functions import gold as g
+from harrow.functions import toon
 from harrow.functions import values as v
 from harrow.plans.registry import query
 from harrow.plans.resumes import _FIRM, _ROLES
@@ -56,3 +58,33 @@ def audit(s, d):
     """How many rows of gold cells look wrong, by issue."""
     rows = read(s, d, "customer").selectExpr(f"{_MAIL_CELL} AS mail", f"{_CALL_CELL} AS phone", f"{_PLACE_CELL} AS place", f"{_LINK_CELL} AS link")
     return rows.select(F.explode(g.audit(F.col("mail"), F.col("phone"), F.col("place"), F.col("link"), F.col("link"))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+#: A nested record of an order.
+_ORDER = "id long, status string, at struct<priority: string, customer: long>, words array<string>, lines array<struct<line: int, part: long, flag: string, note: string>>"
+_WORDS = "regexp_split_to_array(o_orderpriority, '[- ]')"
+_NOTE = "CASE l_partkey % 4 WHEN 0 THEN 'small, red' WHEN 1 THEN '2012' WHEN 2 THEN 'say \"x\"' ELSE '' END"
+
+
+def _records(s, d) -> DataFrame:
+    line = F.struct(F.col("l_linenumber").cast("int").alias("line"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"), F.expr(_NOTE).alias("note"))
+    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return read(s, d, "orders").join(lines, "o_orderkey").select(F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderstatus")).alias("status"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")).alias("at"), F.split("o_orderpriority", "[- ]").alias("words"), "lines").alias("r"))
+
+
+_LINES = f"""SELECT l_orderkey, count(*) AS n, string_agg('  ' || l_linenumber || ',' || l_partkey || ',' || l_returnflag || ',' || CASE WHEN note = '' THEN '' WHEN regexp_matches(note, '[,"]|^[0-9]+$') THEN '"' || replace(note, '"', '\\"') || '"' ELSE note END, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag, note) AS block FROM (SELECT *, {_NOTE} AS note FROM lineitem) GROUP BY l_orderkey"""
+
+
+@query("AR6_toon", f"""SELECT o_orderkey AS id, '#toon/v2' || chr(10) || 'id: ' || o_orderkey || chr(10) || CASE WHEN o_orderkey % 10 > 0 THEN 'status: ' || o_orderstatus || chr(10) ELSE '' END || 'at.priority: ' || o_orderpriority || chr(10) || 'at.customer: ' || o_custkey || chr(10) || 'words[' || len({_WORDS}) || ']: '
+|| array_to_string(list_transform({_WORDS}, lambda w: CASE WHEN regexp_matches(w, '^[0-9]*$') THEN '"' || w || '"' ELSE w END), '|') || chr(10) || 'lines[' || n || ']' || '{{line,part,flag,note}}:' || chr(10) || block AS text FROM orders JOIN ({_LINES}) ON l_orderkey = o_orderkey""".replace("{{", "{").replace("}}", "}"))
+def toon_texts(s, d):
+    """Each order with its lines as one text."""
+    return _records(s, d).select("r.id", toon.encode(F.col("r"), T.StructType.fromDDL(_ORDER)).alias("text"))
+
+
+@query("AR6_round_trip", f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 > 0 THEN o_orderstatus END AS status, o_custkey AS customer, len({_WORDS}) AS words, CAST(l_linenumber AS INTEGER) AS line, l_partkey AS part, l_returnflag AS flag, {_NOTE} AS note FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def toon_round_trip(s, d):
+    """The lines read back from those texts; the SQL reads the tables themselves."""
+    kind = T.StructType.fromDDL(_ORDER)
+    back = toon_texts(s, d).select(toon.decode(F.col("text"), kind).alias("r"))
+    return back.select("r.id", "r.status", F.col("r.at.customer").alias("customer"), F.size("r.words").alias("words"), F.explode("r.lines").alias("l")).select("id", "status", "customer", "words", "l.*")
