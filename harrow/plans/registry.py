@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("relational", "analytics", "dataset", "text", "scoring", "evaluation", "state", "streams", "values", "records", "resumes", "matching", "gold")
+MODULES = ("relational", "analytics", "dataset", "text", "scoring", "evaluation", "state", "streams", "values", "records", "resumes", "matching", "gold", "validation")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
