@@ -26,13 +26,28 @@ def scores(s, d) -> DataFrame:
     return rows.withColumn("verdict", F.when(x >= 85, "match").when(x >= 60, "partial").when(x == 0, "missing").otherwise("wrong"))
 
 
-@query("AG25_field_rollup", f"{_SCORES} SELECT field, count(*) AS n, (2 * sum(score) FILTER (verdict <> 'missing') + count(*) FILTER (verdict <> 'missing'))::BIGINT // (2 * count(*) FILTER (verdict <> 'missing')) AS mean, count(*) FILTER (verdict = 'match') AS matched, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'missing') AS missing, (10000 * count(*) FILTER (verdict = 'wrong' AND weight = 1)) // count(*) AS false_positive_rate FROM scores GROUP BY field")
+_SIDES = """WITH g AS (SELECT l_orderkey AS case_id, 'k' || l_linenumber AS field, max(l_quantity)::BIGINT AS gold FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL), p AS (SELECT l_orderkey AS case_id, 'k' || l_linenumber AS field, min(l_quantity)::BIGINT AS predicted FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
+asked AS (SELECT DISTINCT l_orderkey AS case_id, 'k' || l_linenumber AS field FROM lineitem), told AS (SELECT *, CASE WHEN gold IS NULL THEN NULL WHEN predicted IS NULL THEN 0 ELSE greatest(0, 100 - 4 * abs(gold - predicted)) END AS score FROM asked LEFT JOIN g USING (case_id, field) LEFT JOIN p USING (case_id, field)),
+judged AS (SELECT *, CASE WHEN gold IS NULL AND predicted IS NULL THEN 'blank_ok' WHEN gold IS NULL THEN 'false_positive' WHEN score >= 85 THEN 'match' WHEN score >= 60 THEN 'partial' ELSE 'miss' END AS verdict FROM told)"""
+
+
+def judged(s, d) -> DataFrame:
+    """(case_id, field, score, verdict) of a gold and a predicted value of each field asked for; either may lack. Without gold nothing is scored."""
+    line = read(s, d, "lineitem").withColumn("field", F.concat(F.lit("k"), "l_linenumber")).withColumnRenamed("l_orderkey", "case_id")
+    # one pass: each side is an aggregate over its own rows
+    sides = line.groupBy("case_id", "field").agg(F.max(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))).cast("long").alias("gold"), F.min(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).cast("long").alias("predicted"))
+    g, p, x = F.col("gold"), F.col("predicted"), F.col("score")
+    rows = sides.withColumn("score", F.when(g.isNull(), None).when(p.isNull(), 0).otherwise(F.greatest(F.lit(0).cast("long"), 100 - 4 * F.abs(g - p))))
+    return rows.withColumn("verdict", F.when(g.isNull() & p.isNull(), "blank_ok").when(g.isNull(), "false_positive").when(x >= 85, "match").when(x >= 60, "partial").otherwise("miss"))
+
+
+@query("AG25_field_rollup", f"{_SIDES} SELECT field, count(score) AS scored, round(avg(score), 4) AS mean, count(*) FILTER (verdict = 'match') AS matched, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'miss') AS missed, count(*) FILTER (score IS NULL) AS blank_gold, count(*) FILTER (verdict = 'false_positive') AS false_positive, CASE WHEN count(*) FILTER (score IS NULL) = 0 THEN 0.0::DOUBLE ELSE round(count(*) FILTER (verdict = 'false_positive')::DOUBLE / count(*) FILTER (score IS NULL), 4) END AS false_positive_rate FROM judged GROUP BY field")
 def field_rollup(s, d):
-    v = F.col("verdict")
-    return scores(s, d).groupBy("field").agg(
-        F.count("*").alias("n"), F.expr("(2 * sum(score) FILTER (WHERE verdict <> 'missing') + count_if(verdict <> 'missing')) div (2 * count_if(verdict <> 'missing'))").alias("mean"),
-        F.count_if(v == "match").alias("matched"), F.count_if(v == "partial").alias("partial"), F.count_if(v == "wrong").alias("wrong"), F.count_if(v == "missing").alias("missing"),
-        F.expr("(10000 * count_if(verdict = 'wrong' AND weight = 1)) div count(*)").alias("false_positive_rate"),
+    """Each field's mean score and verdicts; the false-positive rate is that of the rows without a gold value."""
+    v, blank = F.col("verdict"), F.count_if(F.col("score").isNull())
+    return judged(s, d).groupBy("field").agg(
+        F.count("score").alias("scored"), F.round(F.avg("score"), 4).alias("mean"), *[F.count_if(v == x).alias(name) for x, name in (("match", "matched"), ("partial", "partial"), ("miss", "missed"))], blank.alias("blank_gold"), F.count_if(v == "false_positive").alias("false_positive"),
+        F.when(blank == 0, 0.0).otherwise(F.round(F.count_if(v == "false_positive") / F.greatest(blank, F.lit(1)), 4)).alias("false_positive_rate"),
     )
 
 
@@ -121,13 +136,21 @@ def gold_join(s, d):
     return gold.join(made, ["case_id", "field"], "full").withColumn("outcome", F.when(g.isNull(), "false_positive").when(p.isNull(), "missing").when(g == p, "match").otherwise("wrong"))
 
 
-@query("AG31_backlog", f"{_SCORES}, k AS (SELECT field, verdict || '/' || weight AS reason, count(*) AS n FROM scores WHERE verdict <> 'match' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, reason) AS i FROM k) SELECT field, sum(n)::BIGINT AS impact, string_agg(CASE WHEN i <= 5 THEN reason || ':' || n END, ',' ORDER BY i) AS reasons FROM r GROUP BY field")
+_TRACED = f"{_SIDES}, traced AS (SELECT field, CASE WHEN verdict = 'miss' AND predicted IS NULL THEN 'weak_missing' WHEN verdict = 'false_positive' THEN 'weak_ungrounded' WHEN verdict = 'miss' THEN 'class_b' END AS class, CASE WHEN predicted IS NULL THEN 'no value' WHEN gold IS NULL THEN 'no gold' WHEN abs(gold - predicted) > 20 THEN 'far' WHEN predicted < gold THEN 'low' ELSE 'high' END AS reason FROM judged)"
+
+
+@query("AG31_backlog", f"{_TRACED}, k AS (SELECT field, class || '/' || reason AS reason, count(*) AS n FROM traced WHERE class IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, reason) AS i FROM k), c AS (SELECT field, count(*) FILTER (class = 'class_b') AS class_b, count(*) FILTER (class = 'weak_missing') AS weak_missing, count(*) FILTER (class = 'weak_ungrounded') AS weak_ungrounded FROM traced WHERE class IS NOT NULL GROUP BY field) SELECT field, class_b, weak_missing, weak_ungrounded, class_b + weak_missing + weak_ungrounded AS impact, string_agg(CASE WHEN i <= 5 THEN reason || ':' || n END, ',' ORDER BY i) AS reasons FROM r JOIN c USING (field) GROUP BY ALL")
 def backlog(s, d):
-    """Fields by impact, with their five most frequent reasons."""
-    counted = scores(s, d).where("verdict <> 'match'").groupBy("field", F.concat_ws("/", "verdict", "weight").alias("reason")).agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("i", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "reason")))
+    """Fields by impact: wrong values (class B), values not found and values without ground, with the five most frequent reasons."""
+    verdict, g, p = F.col("verdict"), F.col("gold"), F.col("predicted")
+    kind = F.when((verdict == "miss") & p.isNull(), "weak_missing").when(verdict == "false_positive", "weak_ungrounded").when(verdict == "miss", "class_b")
+    reason = F.when(p.isNull(), "no value").when(g.isNull(), "no gold").when(F.abs(g - p) > 20, "far").when(p < g, "low").otherwise("high")
+    counted = judged(s, d).select("field", kind.alias("class"), reason.alias("reason")).where("class is not null").groupBy("field", "class", "reason").agg(F.count("*").alias("n"))
+    named = counted.withColumn("reason", F.concat_ws("/", "class", "reason"))
+    ranked = named.withColumn("i", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "reason")))
     top = F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= 5, F.struct("i", F.concat_ws(":", "reason", "n").alias("r"))))), lambda x: x["r"])
-    return ranked.groupBy("field").agg(F.sum("n").alias("impact"), F.array_join(top, ",").alias("reasons"))
+    part = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(c)
+    return ranked.groupBy("field").agg(part("class_b"), part("weak_missing"), part("weak_ungrounded"), F.sum("n").alias("impact"), F.array_join(top, ",").alias("reasons"))
 
 
 @query("DM20_diverse_sample", f"{_SCORES}, {_CASES}, l AS (SELECT case_id, accuracy // 10 AS layout FROM cases), r AS (SELECT *, row_number() OVER (PARTITION BY layout ORDER BY case_id) AS k FROM l), a AS (SELECT case_id, layout FROM r WHERE k <= 3), o AS (SELECT case_id, layout, row_number() OVER (PARTITION BY layout ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY layout) AS n FROM l WHERE case_id NOT IN (SELECT case_id FROM a)) SELECT case_id, layout FROM a UNION ALL SELECT case_id, layout FROM o WHERE i % greatest(1, n // 4) = 0 AND i // greatest(1, n // 4) < 4")

@@ -43,3 +43,14 @@ def test_latest_and_duplicates(spark):
     assert sorted((r.k or "", r.id) for r in got) == [("", 5), ("a", 2), ("b", 3)]
     marked = {r.id: r.duplicate_of for r in op.mark_duplicates(rows, "k", "id").collect()}
     assert marked == {1: None, 2: 1, 3: None, 4: None, 5: None}
+
+
+def test_visible_text(spark):
+    from harrow.sources import html
+
+    pages = {
+        "<head>x</head><p>a &amp; b&#8364;&#x41;</p><table><tr><td>1</td><td>2</td></tr><tr><th>3</th></tr></table>": "a & b€A\n\n1 | 2\n\n3", "<p>caf&eacute; &nosuch; &amp;lt; &copy 1&nbsp;2</p>": "café &nosuch; &lt; © 1 2",
+        "one\ntwo<br>three<script>x</script><!-- y --><b>!</b>": "one two\nthree!", "": "", "&#0; &#55555555; &#xD800;": "&#0; &#55555555; &#xD800;",
+    }
+    got = spark.createDataFrame([(x,) for x in pages], "a string").select(html.visible(F.col("a")).alias("x")).collect()
+    assert [r.x for r in got] == list(pages.values())
