@@ -169,19 +169,6 @@ def requirements(s, d):
     return rows.groupBy("job", "candidate").agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("checklist"), (100 * F.count_if("matched") >= GATE * F.count("*")).alias("passed"))
 
 
-_EMAIL_CELL = "CASE c_custkey % 4 WHEN 0 THEN c_name || '@x.org' WHEN 1 THEN 'cust' || c_custkey || '@x.org' WHEN 2 THEN '' ELSE 'a@b' END"
-_PHONE_CELL = "CASE c_custkey % 5 WHEN 0 THEN '123' WHEN 1 THEN '2019202020212022' WHEN 2 THEN '+91 98765-43210' WHEN 3 THEN '' ELSE '20182019' END"
-
-
-@query("DM13_validators", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'email_invalid' WHEN 1 THEN 'ok' WHEN 2 THEN 'email_empty' ELSE 'email_invalid' END AS email, CASE c_custkey % 5 WHEN 0 THEN 'phone_digit_count' WHEN 1 THEN 'phone_digit_count' WHEN 2 THEN 'ok' WHEN 3 THEN 'phone_empty' ELSE 'phone_year_soup' END AS phone FROM customer""")
-def validators(s, d):
-    rows = read(s, d, "customer").selectExpr("c_custkey", f"{_EMAIL_CELL} AS email", f"{_PHONE_CELL} AS phone")
-    n, years = F.length(v.digits(F.col("phone"))), F.array_join(F.regexp_extract_all(v.digits(F.col("phone")), F.lit("(?:19|20)[0-9]{2}"), F.lit(0)), "")
-    email = F.when(F.trim("email") == "", "email_empty").when(~F.col("email").rlike(f"^{v.EMAIL}$"), "email_invalid").otherwise("ok")
-    phone = F.when(F.trim("phone") == "", "phone_empty").when(~n.between(7, 15), "phone_digit_count").when((F.length(years) >= 8) & v.digits(F.col("phone")).contains(years), "phone_year_soup").otherwise("ok")
-    return rows.select("c_custkey", email.alias("email"), phone.alias("phone"))
-
-
 #: Rules of one output record: name, and the condition under which it is broken.
 RULES = (("status:required", "status IS NULL OR status = ''"), ("status:enum", "status NOT IN ('F', 'O')"), ("priority:regex", "NOT priority RLIKE '^[1-3]-'"), ("clerk:length", "length(priority) > 8"), ("total:range", "total < 1000 OR total > 300000"), ("date:order", "year < 1993"))
 _RULES = [(n, c.replace("NOT priority RLIKE '^[1-3]-'", "NOT regexp_matches(priority, '^[1-3]-')")) for n, c in RULES]
