@@ -108,12 +108,17 @@ def slot_grid(days: DataFrame, day: str, first_hour: int = 10, last_hour: int =
     return hours.select(*[c for c in hours.columns if c != "_hour"], start.alias("start"), (start + F.make_dt_interval(F.lit(0), F.lit(1))).alias("end"))
 
 
-def next_ids(existing: DataFrame, new: DataFrame, prefix: str, column: str, order: Sequence[Column], width: int = 3) -> DataFrame:
-    """Ids after the largest numeric suffix of the prefix, in the order given; suffixes that aren't numbers are ignored."""
+def next_ids(existing: DataFrame, new: DataFrame, prefix: str, column: str, order: Sequence[Column], bucket: Column, width: int = 3) -> DataFrame:
+    """Ids after the largest numeric suffix of the prefix, in the order given; suffixes that aren't numbers are ignored.
+
+    ``bucket`` never falls along the order: rows are numbered within their buckets, after the rows of the buckets before. Only buckets are summed in one task.
+    """
     top = existing.where(F.col(column).startswith(prefix)).agg(F.coalesce(F.max(F.expr(f"try_cast(substr({column}, {len(prefix) + 1}) as bigint)")), F.lit(0)).alias("_top"))
-    # new ids are dense, so their batch is numbered as one ordered sequence
-    number = F.row_number().over(Window.orderBy(*order))
-    return new.withColumn("_n", number).crossJoin(F.broadcast(top)).withColumn(column, F.concat(F.lit(prefix), F.lpad((F.col("_n") + F.col("_top")).cast("string"), width, "0"))).drop("_n", "_top")
+    dealt = new.withColumn("_bucket", bucket)
+    before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy("_bucket").count().select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_offset"))
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b"))).crossJoin(F.broadcast(top))  # one row
+    return numbered.withColumn(column, F.concat(F.lit(prefix), F.lpad((F.col("_n") + F.col("_offset") + F.col("_top")).cast("string"), width, "0"))).drop("_n", "_top", "_bucket", "_b", "_offset")
 
 
 def half_up_percent(part: Column, whole: Column) -> Column:

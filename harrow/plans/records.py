@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import values as v
+from harrow.operators.folds import ordered_fold
 from harrow.plans.registry import query
 from harrow.plans.tables import read
 from harrow.sources import html
@@ -270,12 +271,16 @@ def visible_text(s, d):
 w AS (SELECT user_id, event_type, k, event_id, ts AS opened, true AS runs FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_type, e.k, e.event_id, CASE WHEN e.ts > w.opened + INTERVAL 1 DAY THEN e.ts ELSE w.opened END, e.ts > w.opened + INTERVAL 1 DAY FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.k = w.k + 1)
 SELECT event_id FROM w WHERE runs""")
 def single_flight(s, d):
-    """The calls that run: others of their key within a day of one that ran join it. Which ones run depends on those before: a key's
-    calls are folded in order, and must fit a task."""
-    rows = read(s, d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("e"))
-    calls = rows.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("e")).alias("calls"))
-    ran = F.aggregate("calls", F.slice("calls", 1, 1), lambda kept, e: F.when(e["ts"] > F.element_at(kept, -1)["ts"] + F.expr("interval 1 day"), F.concat(kept, F.array(e))).otherwise(kept))
-    return calls.select(F.explode(ran).alias("e")).select("e.event_id")
+    """The calls that run: others of their key within a day of one that ran join it. Which ones run depends on those before: a key's calls are
+    folded in order, with the last one that ran as state."""
+    day = 86_400_000_000
+
+    def step(opened: tuple[int | None], row: tuple[int]) -> tuple[tuple[int | None], tuple[bool]]:
+        runs = opened[0] is None or row[0] > opened[0] + day
+        return (row if runs else opened), (runs,)
+
+    calls = read(s, d, "events").select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return ordered_fold(calls, ["user_id", "event_type"], ["us", "event_id"], "runs boolean", lambda: (None,), step, ["us"]).where("runs").select("event_id")
 
 
 @query("DM19_generated_gold", "SELECT i, ['ann', 'ben', 'eve'][i % 3 + 1] || ' ' || ['rao', 'khan'][i // 3 % 2 + 1] AS name, ['sql', 'go', 'java', 'rust'][i % 4 + 1] || ',' || ['etl', 'ml'][i % 2 + 1] AS skills, 2000 + i % 20 AS year FROM range((SELECT count(*) FROM nation) * 40) t(i)")

@@ -285,7 +285,7 @@ def last_activity(s, d):
 
 @query("WN6_next_ids", "WITH top AS (SELECT coalesce(max(CAST(substr(c_name, 10) AS BIGINT)), 0) AS n FROM customer WHERE c_name LIKE 'Customer#%') SELECT s_suppkey, 'Customer#' || lpad(CAST(n + row_number() OVER (ORDER BY s_suppkey) AS VARCHAR), 9, '0') AS c_name FROM supplier, top")
 def next_ids(s, d):
-    return op.next_ids(read(s, d, "customer"), read(s, d, "supplier").select("s_suppkey"), "Customer#", "c_name", [F.asc("s_suppkey")], 9)
+    return op.next_ids(read(s, d, "customer"), read(s, d, "supplier").select("s_suppkey"), "Customer#", "c_name", [F.asc("s_suppkey")], F.expr("s_suppkey div 1000"), 9)
 
 
 @query("WN8_keep_first", "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS value, generate_subscripts(string_split(text, ' '), 1) - 1 AS position FROM conversations) SELECT conv_id, turn, position, value FROM w WHERE lower(trim(value)) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lower(trim(value)) ORDER BY position) = 1")
