@@ -12,20 +12,32 @@ from harrow.plans.tables import applications, jobs, read, sql
 
 #: Application status aliases -> funnel stage, in funnel order.
 STAGES = ("applied", "screening", "shortlisted", "interview", "offer", "hired", "rejected", "withdrawn")
-_STAGE_SQL = "CASE WHEN shortlisted AND stage = 'F' AND score % 4 = 0 THEN 'shortlisted' WHEN outcome = 'R' THEN 'rejected' WHEN score % 14 = 0 THEN 'interview' WHEN score % 10 = 0 THEN 'offer' WHEN score % 22 = 0 THEN 'hired' WHEN stage = 'O' THEN 'screening' ELSE 'applied' END"
-
-
-def funnel_stage() -> Column:
-    c, score = F.col, F.col("score")
-    return (
-        F.when(c("shortlisted") & (c("stage") == "F") & (score % 4 == 0), "shortlisted").when(c("outcome") == "R", "rejected").when(score % 14 == 0, "interview").when(score % 10 == 0, "offer")
-        .when(score % 22 == 0, "hired").when(c("stage") == "O", "screening").otherwise("applied")
-    )
-
-
-@query("AG9_funnel", sql(f"SELECT org_id, stage, count(*) AS n FROM (SELECT org_id, {_STAGE_SQL} AS stage FROM applications JOIN jobs USING (job_id)) GROUP BY ALL"))
+#: What statuses are called, and the stage that each is; stages that a shortlisting doesn't change.
+STAGES = {
+    "pending": "applied", "applied": "applied", "profile_viewed": "screening", "reviewed": "screening", "screening": "screening", "matched": "screening", "shortlisted": "shortlisted",
+    "interview": "interview", "rejected": "rejected", "not_shortlisted": "rejected", "offer": "offer", "hired": "hired", "withdrawn": "withdrawn", "ats_failed": "applied",
+}
+FINAL = ("shortlisted", "interview", "offer", "hired", "rejected", "withdrawn")
+#: An application's status as it was typed in, by its score.
+_TYPED = "CASE score % 20 WHEN 0 THEN 'Pending' WHEN 2 THEN ' APPLIED ' WHEN 4 THEN 'Profile Viewed' WHEN 6 THEN 'reviewed' WHEN 8 THEN 'Not  Shortlisted' WHEN 10 THEN 'interview' WHEN 12 THEN 'OFFER' WHEN 14 THEN 'ats failed' WHEN 16 THEN outcome ELSE CASE stage WHEN 'O' THEN 'withdrawn' ELSE NULL END END"
+_STAGE_MAP = "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in STAGES.items()) + "}"
+
+
+def funnel_stage(status: Column, shortlisted: Column) -> Column:
+    """The stage of a status by its name, with underscores for blanks, else applied; a shortlisted one is at least shortlisted, unless it has ended."""
+    names = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])
+    raw = F.trim(F.lower(F.coalesce(status, F.lit("applied"))))
+    mapped = F.coalesce(F.try_element_at(names, raw), F.try_element_at(names, F.regexp_replace(raw, "\\s+", "_")), F.lit("applied"))
+    return F.when(shortlisted & ~mapped.isin(*FINAL), "shortlisted").otherwise(mapped)
+
+
+@query("AG9_funnel", sql(f""", typed AS (SELECT org_id, shortlisted, trim(lower(coalesce({_TYPED}, 'applied'))) AS raw FROM applications JOIN jobs USING (job_id)), named AS (SELECT org_id, shortlisted, coalesce({_STAGE_MAP}[raw], {_STAGE_MAP}[regexp_replace(raw, '\\s+', '_', 'g')], 'applied') AS stage FROM typed)
+SELECT org_id, CASE WHEN shortlisted AND stage NOT IN ({', '.join(f"'{x}'" for x in FINAL)}) THEN 'shortlisted' ELSE stage END AS stage, count(*) AS n FROM named GROUP BY ALL"""))
 def funnel(s, d):
-    return applications(s, d).join(jobs(s, d).select("job_id", "org_id"), "job_id").select("org_id", funnel_stage().alias("stage")).groupBy("org_id", "stage").agg(F.count("*").alias("n"))
+    """Applications of each organisation by stage."""
+    rows = applications(s, d).selectExpr("job_id", "shortlisted", f"{_TYPED} AS status")
+    staged = rows.select("job_id", funnel_stage(F.col("status"), F.col("shortlisted")).alias("stage"))
+    return staged.join(jobs(s, d).select("job_id", "org_id"), "job_id").groupBy("org_id", "stage").agg(F.count("*").alias("n"))
 
 
 @query("AG10_outcomes", sql("SELECT job_id, count(*) FILTER (outcome = 'A') AS shortlisted, count(*) FILTER (outcome = 'N' AND stage = 'F') AS not_shortlisted, count(*) FILTER (outcome = 'R') AS rejected, count(*) FILTER (outcome = 'N' AND stage <> 'F') AS withdrawn FROM applications GROUP BY job_id"))

@@ -233,13 +233,28 @@ def field_suite(s, d):
     return cases.groupBy("kind").agg(F.count("*").alias("cases"), F.count_if(F.col("passed") == F.col("total")).alias("cases_passed"), F.sum("passed").alias("field_pass"), F.sum("total").alias("field_total"), F.max("latency").alias("slowest"))
 
 
-@query("WN12_checkpoint", "SELECT case_id, status, line FROM (SELECT 'c' || (user_id % 50) AS case_id, event_type AS status, event_id AS line FROM events WHERE event_id % 7 > 0 QUALIFY row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) = 1) WHERE status <> 'error'")
+#: Categories and signs of failures of the surroundings, which are run again.
+OUTAGES, OUTAGE_SIGNS = ("Frontend", "Timeout"), ("err_connection_refused", "err_network_changed", "err_connection_reset", "err_empty_response", "err_aborted", "net::err_", "timeout", "process_error:", "frontend:page.goto", "frontend:page.wait")
+#: A checkpoint's line of an event: cut short, of another shape, passed, or failed by a fault or an outage.
+_SIGNED = "CASE event_id % 5 WHEN 0 THEN 'net::ERR_FAILED' WHEN 1 THEN 'recall:name' WHEN 2 THEN 'api_timeout' ELSE 'apply:phone' END"
+_CATEGORY = "CASE event_id % 6 WHEN 0 THEN 'Frontend' WHEN 1 THEN 'Parser' WHEN 2 THEN 'Timeout' ELSE 'Validation' END"
+
+
+@query("WN12_checkpoint", f"""WITH l AS (SELECT 'c' || (user_id % 50) AS case_id, event_id AS line, event_type = 'purchase' AS passed, event_type = 'signup' AS unsupported, {_CATEGORY} AS category, {_SIGNED} AS signature FROM events WHERE event_id % 7 > 0 AND event_id % 11 > 0),
+o AS (SELECT *, NOT passed AND NOT unsupported AND (category IN ('Frontend', 'Timeout') OR {' OR '.join(f"contains(lower(signature), '{x}')" for x in OUTAGE_SIGNS)}) AS outage FROM l)
+SELECT case_id, CASE WHEN count(*) FILTER (NOT outage) > 0 THEN 'done' ELSE 'again' END AS state, arg_max(category, line) FILTER (NOT outage) AS category, max(line) FILTER (NOT outage) AS line, count(*) FILTER (outage) AS dropped FROM o GROUP BY case_id""")
 def checkpoint(s, d):
-    """The last whole line of each case; lines that aren't JSON are skipped, and cases whose last run failed are run again."""
-    lines = read(s, d, "events").select(F.col("event_id").alias("line"), F.when(F.col("event_id") % 7 == 0, F.lit('{"case_id": "c')).otherwise(F.to_json(F.struct(F.concat(F.lit("c"), F.col("user_id") % 50).alias("case_id"), F.col("event_type").alias("status")))).alias("text"))
-    rows = lines.select("line", F.from_json("text", "case_id string, status string").alias("r")).select("line", "r.*").where("case_id is not null")
-    last = rows.groupBy("case_id").agg(F.max_by("status", "line").alias("status"), F.max("line").alias("line"))
-    return last.where("status <> 'error'").select("case_id", "status", "line")
+    """Each case's last whole line that no outage spoilt, and how many did; a case that has none is run again. Lines that aren't JSON or name no case are skipped."""
+    record = F.to_json(F.struct(F.expr("CASE WHEN event_id % 11 > 0 THEN 'c' || (user_id % 50) END AS case_id"), F.expr("event_type = 'purchase' AS passed"), F.expr("event_type = 'signup' AS unsupported"), F.expr(f"{_CATEGORY} AS category"), F.expr(f"{_SIGNED} AS signature")))
+    lines = read(s, d, "events").select(F.col("event_id").alias("line"), F.when(F.col("event_id") % 7 == 0, F.lit('{"case_id": "c')).otherwise(record).alias("text"))
+    rows = lines.select("line", F.from_json("text", "case_id string, passed boolean, unsupported boolean, category string, signature string").alias("r")).select("line", "r.*").where("case_id is not null")
+    signed = F.lit(False)
+    for sign in OUTAGE_SIGNS:
+        signed = signed | F.lower("signature").contains(sign)
+    outage = ~F.coalesce("passed", F.lit(False)) & ~F.coalesce("unsupported", F.lit(False)) & (F.trim("category").isin(*OUTAGES) | signed)
+    told = rows.withColumn("outage", F.coalesce(outage, F.lit(False)))
+    whole = F.when(~F.col("outage"), F.col("line"))
+    return told.groupBy("case_id").agg(F.when(F.count(whole) > 0, "done").otherwise("again").alias("state"), F.max_by("category", whole).alias("category"), F.max(whole).alias("line"), F.count_if("outage").alias("dropped"))
 
 
 @query("SNK7_reports", "SELECT 'statistics' AS report, '{\"files\":' || count(*) || ',\"chars\":' || sum(n_chars)::BIGINT || '}' AS body FROM documents UNION ALL SELECT 'sources', '{\"sources\":' || count(DISTINCT source) || ',\"langs\":' || count(DISTINCT lang) || '}' FROM documents")
@@ -292,16 +307,50 @@ def generated_gold(s, d):
     return s.range(n).select(i.alias("i"), F.concat_ws(" ", pick(("ann", "ben", "eve"), i % 3), pick(("rao", "khan"), F.expr("id div 3") % 2)).alias("name"), F.concat_ws(",", pick(("sql", "go", "java", "rust"), i % 4), pick(("etl", "ml"), i % 2)).alias("skills"), (2000 + i % 20).alias("year"))
 
 
-#: Failure categories in the order in which they are tried, with the words that tell them.
-FAILURES = (("Timeout", "timeout|timed out"), ("Unsupported", "unsupported"), ("OCR", "ocr|scan"), ("Parser", "parse"), ("Mapping", "map"), ("Validation", "valid|schema"))
+#: Words of unsupported files and of lost texts, fields whose groundless values are the parser's; characters of a text that is one.
+UNSUPPORTED, LOST, IDENTITY, LEAST_TEXT = ("unsupported", "invalid file type", "legacy .doc"), ("extract", "ocr", "empty text", "no text", "pymupdf", "pdf"), ("fullName", "email", "phone"), 40
+
+
+def failure(r: Column) -> Column:
+    """(category, signature) of a failed case: the first rule that fits. ``r`` has timed_out, frontend_error, status, parse_error, api_error, answered, api_ok, chars, form, parity, mapped, recall, ungrounded, invalid array, shown."""
+    text = lambda c: F.coalesce(r[c], F.lit(""))
+    both = F.lower(F.concat_ws(" ", text("parse_error"), text("api_error")))
+    holds = lambda x, words: F.coalesce(*[F.when(x.contains(w), True) for w in words], F.lit(False))
+    told = lambda category, *sign: F.struct(F.lit(category).alias("category"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in sign]).alias("signature"))
+    failed = (r["status"] == "error") | (r["answered"] & ~r["api_ok"])
+    identity = r["ungrounded"].isin(*IDENTITY) | r["ungrounded"].startswith("education")
+    return (
+        F.when(r["timed_out"], told("Timeout", "timeout")).when(text("frontend_error") != "", told("Frontend", "frontend:", F.substring(r["frontend_error"], 1, 80))).when(holds(F.lower(text("parse_error")), UNSUPPORTED), told("Unsupported document", "unsupported"))
+        .when(failed & holds(both, LOST), told("OCR/Text extraction", "extract:", F.substring(both, 1, 100))).when(failed & holds(both, ("timeout", "timed out")), told("Timeout", "api_timeout")).when(failed, told("Parser", "parse_error:", F.substring(both, 1, 100)))
+        .when(r["chars"] < LEAST_TEXT, told("OCR/Text extraction", "short_text:", r["chars"].cast("string"))).when(~r["answered"] | ~r["form"], told("Mapping", "missing_form_dto")).when(r["parity"].isNotNull(), told("Autofill", "parity:", r["parity"])).when(~r["mapped"], told("Mapping", "canonical_not_mapped"))
+        .when(r["recall"].isNotNull(), told("Parser", "recall:", r["recall"])).when(identity, told("Parser", "ungrounded:", r["ungrounded"])).when(r["ungrounded"].isNotNull(), told("Canonical model", "ungrounded:", r["ungrounded"]))
+        .when(F.size(r["invalid"]) > 0, told("Validation", "apply:", F.array_join(F.array_sort(r["invalid"]), ","))).when(~r["shown"], told("Frontend", "screenshot_failed")).otherwise(told("Other", "unspecified"))
+    )
 
 
-@query("DM18_failure_class", "SELECT category, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(m, '{w}') THEN '{c}'" for c, w in FAILURES) + " ELSE 'Other' END AS category FROM (SELECT CASE event_id % 7 WHEN 0 THEN 'request timed out in parse' WHEN 1 THEN 'unsupported scan' WHEN 2 THEN 'ocr failed' WHEN 3 THEN 'parse error in map' WHEN 4 THEN 'mapping' WHEN 5 THEN 'schema' ELSE 'unknown' END AS m FROM events)) GROUP BY ALL")
+#: A case's outcome, written out of an event: each part fails for some of them.
+_OUTCOME = {
+    "timed_out": "event_id % 29 = 0", "frontend_error": "CASE WHEN event_id % 23 = 0 THEN 'page.goto ' || event_type END", "status": "CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'ok' END",
+    "parse_error": "CASE event_id % 17 WHEN 0 THEN 'Unsupported kind' WHEN 7 THEN 'OCR gave nothing' WHEN 14 THEN 'Timed out' WHEN 3 THEN 'odd ' || event_type END", "api_error": "CASE WHEN event_id % 4 = 0 THEN 'No text' ELSE '' END", "answered": "event_id % 13 > 0", "api_ok": "event_id % 5 > 0",
+    "chars": "CAST(user_id AS INT)", "form": "event_id % 11 > 0", "parity": "CASE WHEN event_id % 19 = 1 THEN event_type END", "mapped": "event_id % 9 > 0", "recall": "CASE WHEN event_id % 8 = 3 THEN 'name' END",
+    "ungrounded": "CASE event_id % 12 WHEN 5 THEN 'email' WHEN 6 THEN 'education.0' WHEN 7 THEN 'skills' END", "shown": "event_id % 6 > 0",
+}
+_BOTH = "lower(coalesce(parse_error, '') || ' ' || coalesce(api_error, ''))"
+_ANY = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+_LOST_SQL, _FAILED = _ANY(_BOTH, LOST), "(status = 'error' OR (answered AND NOT api_ok))"
+
+
+@query("DM18_failure_class", f"""WITH r AS (SELECT {', '.join(f'{x} AS {k}' for k, x in _OUTCOME.items())}, CASE WHEN event_id % 10 < 3 THEN ['phone', 'email'] ELSE [] END AS invalid FROM events),
+t AS (SELECT CASE WHEN timed_out THEN ['Timeout', 'timeout'] WHEN frontend_error IS NOT NULL THEN ['Frontend', 'frontend:' || substr(frontend_error, 1, 80)] WHEN {_ANY("lower(coalesce(parse_error, ''))", UNSUPPORTED)} THEN ['Unsupported document', 'unsupported']
+WHEN {_FAILED} AND {_LOST_SQL} THEN ['OCR/Text extraction', 'extract:' || substr({_BOTH}, 1, 100)] WHEN {_FAILED} AND {_ANY(_BOTH, ('timeout', 'timed out'))} THEN ['Timeout', 'api_timeout'] WHEN {_FAILED} THEN ['Parser', 'parse_error:' || substr({_BOTH}, 1, 100)]
+WHEN chars < {LEAST_TEXT} THEN ['OCR/Text extraction', 'short_text:' || chars] WHEN NOT answered OR NOT form THEN ['Mapping', 'missing_form_dto'] WHEN parity IS NOT NULL THEN ['Autofill', 'parity:' || parity] WHEN NOT mapped THEN ['Mapping', 'canonical_not_mapped']
+WHEN recall IS NOT NULL THEN ['Parser', 'recall:' || recall] WHEN ungrounded IN ('fullName', 'email', 'phone') OR starts_with(ungrounded, 'education') THEN ['Parser', 'ungrounded:' || ungrounded] WHEN ungrounded IS NOT NULL THEN ['Canonical model', 'ungrounded:' || ungrounded]
+WHEN len(invalid) > 0 THEN ['Validation', 'apply:' || array_to_string(list_sort(invalid), ',')] WHEN NOT shown THEN ['Frontend', 'screenshot_failed'] ELSE ['Other', 'unspecified'] END AS c FROM r) SELECT c[1] AS category, c[2] AS signature, count(*) AS n FROM t GROUP BY ALL""")
 def failure_class(s, d):
-    """The first category whose words a failure's message holds."""
-    m = F.expr("CASE event_id % 7 WHEN 0 THEN 'request timed out in parse' WHEN 1 THEN 'unsupported scan' WHEN 2 THEN 'ocr failed' WHEN 3 THEN 'parse error in map' WHEN 4 THEN 'mapping' WHEN 5 THEN 'schema' ELSE 'unknown' END")
-    found = F.coalesce(*[F.when(m.rlike(words), F.lit(name)) for name, words in FAILURES], F.lit("Other"))
-    return read(s, d, "events").groupBy(found.alias("category")).agg(F.count("*").alias("n"))
+    """Failures by category and signature."""
+    invalid = "CASE WHEN event_id % 10 < 3 THEN array('phone', 'email') ELSE cast(array() AS array<string>) END AS invalid"
+    rows = read(s, d, "events").selectExpr(*[f"{x} AS {k}" for k, x in _OUTCOME.items()], invalid).select(F.struct("*").alias("r"))
+    return rows.select(failure(F.col("r")).alias("f")).groupBy("f.category", "f.signature").agg(F.count("*").alias("n"))
 
 
 @query("DM14_merge_records", "WITH r AS (SELECT l_orderkey AS id, l_suppkey AS company, l_linenumber AS n, CASE WHEN l_quantity > 25 THEN l_returnflag END AS title, CASE WHEN l_discount > 0.05 THEN l_linestatus END AS place, l_quantity AS confidence, l_partkey FROM lineitem) SELECT id, company, count(*) AS merged, max_by(title, (confidence, n, l_partkey)) FILTER (title IS NOT NULL) AS title, max_by(place, (confidence, n, l_partkey)) FILTER (place IS NOT NULL) AS place FROM r GROUP BY id, company")
