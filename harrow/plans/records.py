@@ -183,25 +183,6 @@ def violations(s, d):
     return rows.select("o_orderkey", F.array_join(broken, ",").alias("violations"))
 
 
-@query("DM12_coverage", r"""WITH e AS (SELECT doc_id, regexp_matches(text, '@') AS email, regexp_matches(text, '[0-9]{3}') AS number, regexp_matches(lower(text), '\blicense\b') AS license, doc_id % 3 AS filled FROM documents)
-SELECT field, status, count(*) AS n FROM (SELECT field, CASE WHEN filled = 1 AND evidence THEN 'filled' WHEN filled = 2 AND evidence THEN 'recovered' WHEN evidence THEN 'missing_with_evidence' ELSE 'missing_no_evidence' END AS status FROM (
-SELECT 'email' AS field, email AS evidence, filled FROM e UNION ALL SELECT 'number', number, filled FROM e UNION ALL SELECT 'license', license, filled FROM e)) GROUP BY ALL""")
-def coverage(s, d):
-    """For each field: filled, recovered, or missing with or without evidence in the text."""
-    rows = read(s, d, "documents").select((F.col("doc_id") % 3).alias("filled"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), e.alias("evidence")) for n, e in (("email", F.col("text").rlike("@")), ("number", F.col("text").rlike("[0-9]{3}")), ("license", F.lower("text").rlike("\\blicense\\b")))])).alias("f")).select("filled", "f.*")
-    e, k = F.col("evidence"), F.col("filled")
-    status = F.when((k == 1) & e, "filled").when((k == 2) & e, "recovered").when(e, "missing_with_evidence").otherwise("missing_no_evidence")
-    return rows.groupBy("field", status.alias("status")).agg(F.count("*").alias("n"))
-
-
-@query("AG41_field_trace", "WITH r AS (SELECT doc_id, lower(text) AS text, lang, source, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(text, 1, 10) END AS head FROM documents), f AS (SELECT text, 'lang' AS field, lang AS value FROM r UNION ALL SELECT text, 'source', source FROM r UNION ALL SELECT text, 'head', head FROM r) SELECT field, CASE WHEN value = '' AND length(text) > 100 THEN 'weak_missing' WHEN value = '' THEN 'absent' WHEN contains(text, lower(value)) THEN 'ok' ELSE 'weak_ungrounded' END AS verdict, count(*) AS n FROM f GROUP BY ALL")
-def field_trace(s, d):
-    """Rows of (field, value) with a verdict: empty ones by the evidence, others by whether the text holds them."""
-    rows = read(s, d, "documents").select(F.lower("text").alias("text"), F.expr("stack(3, 'lang', lang, 'source', source, 'head', CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(text, 1, 10) END) AS (field, value)"))
-    verdict = F.when((F.col("value") == "") & (F.length("text") > 100), "weak_missing").when(F.col("value") == "", "absent").when(F.col("text").contains(F.lower("value")), "ok").otherwise("weak_ungrounded")
-    return rows.groupBy("field", verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
 _RUNS = "SELECT user_id % 4 AS run_id, event_type <> 'error' AS success, value AS latency, CAST(user_id % 3 AS INTEGER) AS retries, 'p' || (user_id % 2) AS provider FROM events"
 
 

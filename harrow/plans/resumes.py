@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import values as v
 from harrow.operators import sections as op
 from harrow.plans.registry import query
 from harrow.plans.tables import read
-from harrow.plans.values import _list, _plain, _sql, _token
+from harrow.plans.values import _IS_PHONE, _SHAPED, _list, _plain, _sql, _token
 
 _ROLES = "CASE o_orderkey % 4 WHEN 0 THEN 'Data Analyst' WHEN 1 THEN 'Software Engineer' WHEN 2 THEN 'Cloud Intern' ELSE 'Test Lead' END"
 _FIRM = "CASE o_orderkey % 3 WHEN 0 THEN 'Acme ' || o_orderstatus || ' Labs' WHEN 1 THEN 'River ' || CAST(o_orderkey % 50 AS STRING) ELSE 'Grey Ltd' END"
@@ -147,3 +147,72 @@ def job_items(s, d):
     """The duties, skills and other items of every supplier's job description."""
     texts = read(s, d, "supplier").selectExpr("s_suppkey AS id", f"{_ADVERT} AS text")
     return op.job_items(op.sectioned(op.text_lines(texts, "text"), op.heading_table(s, op.JOB_HEADINGS), "id"), "id")
+
+
+#: A form filled from a customer's résumé: some fields right, some empty, some from elsewhere.
+_FORM = {
+    "name": "CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN 'Someone Else' ELSE 'Customer#' || lpad(CAST(id AS STRING), 9, '0') END", "email": "CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'other@mail.example' ELSE regexp_extract(text, '[a-z]+@mail[.]example', 0) END",
+    "phone": "CASE id % 5 WHEN 0 THEN '9876543210' ELSE '' END", "location": "CASE id % 4 WHEN 0 THEN 'Pune' WHEN 1 THEN 'DB Migration' ELSE '' END", "skills": "CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Cobol' ELSE 'SQL' END",
+    "education": "CASE id % 2 WHEN 0 THEN 'given' ELSE '' END", "experience": "CASE id % 8 WHEN 0 THEN '' ELSE 'given' END", "preferred": "CASE id % 9 WHEN 0 THEN 'Pune' ELSE '' END",
+}
+#: What tells in a text that a field could be filled.
+EVIDENCE = {
+    "email": v.EMAIL, "phone": "(?:\\+91[\\s\\-]*)?\\b[6-9][0-9]{4}[\\s\\-]?[0-9]{5}\\b", "location": "(?im)^\\s*(?:current\\s+location|location|address|city)\\s*[:\\-]|\\bPune, India\\b", "education": "(?im)^\\W*(?:education|academic|qualification)|" + op.DEGREE[4:],
+    "experience": "(?im)^\\W*(?:work\\s+|professional\\s+)?(?:experience|employment)\\b", "skills": "(?im)^\\W*(?:key\\s+|technical\\s+)?skills\\b", "name": "\\A[A-Z][A-Za-z#0-9]+",
+}
+SUSPECT_PLACE = "(?i)\\b(?:migration|installation|support|developer|engineer|sql|oracle|database)\\b"
+_COVERED = ("name", "email", "phone", "location", "education", "experience")
+_TRACED = ("name", "email", "phone", "location", "skills")
+
+
+def _forms(s, d) -> DataFrame:
+    return resumes(s, d).selectExpr("id", "text", *[f"{x} AS {k}" for k, x in _FORM.items()])
+
+
+def covered(field: str) -> Column:
+    """filled, recovered (an e-mail or number that the text gives), missing with or without evidence in the text."""
+    value, text, evidence = F.col(field), F.col("text"), F.col("text").rlike(EVIDENCE[field])
+    filled = (F.trim(value) != "") & (~value.rlike(SUSPECT_PLACE) if field == "location" else F.lit(True))
+    found = {"email": v.first_email(text) != "", "phone": v.first_phone(text) != ""}.get(field, F.lit(False))
+    return F.when(filled, "filled").when(found, "recovered").when(evidence, "missing_with_evidence").otherwise("missing_no_evidence")
+
+
+def traced(field: str) -> Column:
+    """fallback, ok, weak_missing (empty, with evidence), weak_ungrounded (not in the text, or no place), absent. A preferred place may repeat the present one."""
+    if field == "preferred":
+        return F.when((F.col(field) != "") & (F.col(field) == F.col("location")), "fallback").when(F.col(field) == "", "absent").when(F.lower("text").contains(F.lower(field)), "ok").otherwise("weak_ungrounded")
+    value = F.col(field)
+    implausible = value.rlike(SUSPECT_PLACE) if field == "location" else F.lit(False)
+    return F.when((value == "") & F.col("text").rlike(EVIDENCE[field]), "weak_missing").when(value == "", "absent").when(implausible | ~F.lower("text").contains(F.lower(value)), "weak_ungrounded").otherwise("ok")
+
+
+def _has(field: str) -> str:
+    return f"regexp_matches(text, '{EVIDENCE[field]}')"
+
+
+_FORMS = f"{_RESUMES}, forms AS (SELECT id, text, {', '.join(f'{x} AS {k}' for k, x in _FORM.items())} FROM resumes)"
+_FOUND = {"email": f"regexp_matches(text, '{v.EMAIL}')", "phone": f"len(list_filter({_SHAPED.format('text')}, lambda c: {_IS_PHONE})) > 0"}
+
+
+def _covered_sql(f: str) -> str:
+    filled = f"trim({f}) <> ''" + (f" AND NOT regexp_matches({f}, '{SUSPECT_PLACE}')" if f == "location" else "")
+    return f"SELECT '{f}' AS field, CASE WHEN {filled} THEN 'filled' WHEN {_FOUND.get(f, 'false')} THEN 'recovered' WHEN {_has(f)} THEN 'missing_with_evidence' ELSE 'missing_no_evidence' END AS status FROM forms"
+
+
+@query("DM12_coverage", f"WITH {_FORMS} SELECT field, status, count(*) AS n FROM ({' UNION ALL '.join(_covered_sql(f) for f in _COVERED)}) GROUP BY ALL")
+def coverage(s, d):
+    """The fields of all forms by what is known of them."""
+    rows = _forms(s, d).select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), covered(f).alias("status")) for f in _COVERED])).alias("c"))
+    return rows.groupBy("c.field", "c.status").agg(F.count("*").alias("n"))
+
+
+def _traced_sql(f: str) -> str:
+    implausible = f"regexp_matches({f}, '{SUSPECT_PLACE}') OR " if f == "location" else ""
+    return f"SELECT id, '{f}' AS field, {f} AS value, CASE WHEN {f} = '' AND {_has(f)} THEN 'weak_missing' WHEN {f} = '' THEN 'absent' WHEN {implausible}NOT contains(lower(text), lower({f})) THEN 'weak_ungrounded' ELSE 'ok' END AS verdict FROM forms"
+
+
+@query("AG41_field_trace", f"WITH {_FORMS} {' UNION ALL '.join(_traced_sql(f) for f in _TRACED)} UNION ALL SELECT id, 'preferred', preferred, CASE WHEN preferred <> '' AND preferred = location THEN 'fallback' WHEN preferred = '' THEN 'absent' WHEN contains(lower(text), lower(preferred)) THEN 'ok' ELSE 'weak_ungrounded' END FROM forms")
+def field_trace(s, d):
+    """A row for each field of each form, with its verdict by the résumé's text."""
+    rows = _forms(s, d).select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), traced(f).alias("verdict")) for f in (*_TRACED, "preferred")])).alias("t"))
+    return rows.select("id", "t.*")
