@@ -60,7 +60,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-#: What is hidden in log lines, in order.
+#: This engine's own list of what is hidden in texts, in order; ``values.CREDENTIALS`` is the log lines'.
 SECRETS = (
     ("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]"),
     ("(?i)bearer +[A-Za-z0-9._-]+", "Bearer [REDACTED]"),

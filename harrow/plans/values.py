@@ -310,16 +310,19 @@ def slots(s, d):
     return first.select("org_id", F.explode("at").alias("local_at")).select("org_id", "local_at", (F.col("local_at") - F.expr("interval 330 minutes")).alias("utc_at"))
 
 
-_QUALITY = r"""WITH s AS (SELECT doc_id, regexp_replace(text, '\A\s+|\s+\z', '', 'g') AS s FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN '(cid:1)(cid:2)(cid:3) ' || substr(text, 1, 9) WHEN 2 THEN ' ' WHEN 3 THEN repeat('#-', 30) ELSE text END AS text FROM documents)),
-f AS (SELECT doc_id, length(s) AS n, length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g')) AS letters, len(regexp_split_to_array(s, '\s+')) AS words, (length(lower(s)) - length(replace(lower(s), 'cid:', ''))) // 4 >= 3 AS broken,
+_QUALITY = r"""WITH s AS (SELECT kind, doc_id, regexp_replace(text, '\A\s+|\s+\z', '', 'g') AS s FROM (SELECT 'whole' AS kind, doc_id, text FROM documents UNION ALL SELECT 'made up', doc_id, CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN '(cid:1)(cid:2)(cid:3) ' || substr(text, 1, 9) WHEN 2 THEN ' ' WHEN 3 THEN repeat('#-', 30) ELSE upper(text) END FROM documents)),
+f AS (SELECT kind, doc_id, length(s) AS n, length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g')) AS letters, len(regexp_split_to_array(s, '\s+')) AS words, (length(lower(s)) - length(replace(lower(s), 'cid:', ''))) // 4 >= 3 AS broken,
   regexp_matches(s, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}') OR regexp_matches(s, '\b[6-9][0-9]{9}\b|\+[0-9][0-9\s\-()]{8,}[0-9]') OR regexp_matches(s, '(?i)\b(?:experience|education|skills|summary|engineer|developer|bachelor|master|university|college|resume|curriculum)\b') AS telling FROM s)
-SELECT doc_id, CASE WHEN n = 0 THEN 'EMPTY' WHEN broken AND NOT telling THEN 'GARBAGE' WHEN n BETWEEN 30 AND 400 AND letters < 0.35 * n AND NOT telling THEN 'GARBAGE' WHEN telling AND letters >= 0.35 * n THEN 'GOOD' WHEN n < 80 AND NOT telling THEN 'WEAK' WHEN letters >= 0.35 * n OR words >= 8 THEN 'GOOD' ELSE 'WEAK' END AS quality FROM f"""
+SELECT kind, doc_id, CASE WHEN n = 0 THEN 'EMPTY' WHEN broken AND NOT telling THEN 'GARBAGE' WHEN n BETWEEN 30 AND 400 AND letters < 0.35 * n AND NOT telling THEN 'GARBAGE' WHEN telling AND letters >= 0.35 * n THEN 'GOOD' WHEN n < 80 AND NOT telling THEN 'WEAK' WHEN letters >= 0.35 * n OR words >= 8 THEN 'GOOD' ELSE 'WEAK' END AS quality FROM f"""
 
 
 @query("ST14_text_quality", _QUALITY)
 def text_quality(s, d):
-    rows = read(s, d, "documents").selectExpr("doc_id", "CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN '(cid:1)(cid:2)(cid:3) ' || substr(text, 1, 9) WHEN 2 THEN ' ' WHEN 3 THEN repeat('#-', 30) ELSE text END AS text")
-    return rows.select("doc_id", v.text_quality(F.col("text")).alias("quality"))
+    """Every whole text, and one made up from it that is short, broken, blank or bare of letters."""
+    docs = read(s, d, "documents")
+    made = docs.selectExpr("'made up' AS kind", "doc_id", "CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN '(cid:1)(cid:2)(cid:3) ' || substr(text, 1, 9) WHEN 2 THEN ' ' WHEN 3 THEN repeat('#-', 30) ELSE upper(text) END AS text")
+    rows = docs.selectExpr("'whole' AS kind", "doc_id", "text").unionByName(made)
+    return rows.select("kind", "doc_id", v.text_quality(F.col("text")).alias("quality"))
 
 
 @F.pandas_udf(StringType())
