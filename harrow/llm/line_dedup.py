@@ -21,8 +21,6 @@ from .common import components, discard, fresh, settle
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 7, 10, 4
 #: Leaders of a bucket grow by this factor from round to round.
 MORE = 8
-#: Pairs of lines that one task verifies, on average.
-TOGETHER = 1024
 #: Columns of a line's sketch, 64 bits each.
 SKETCH = tuple(f"w{k}" for k in range(16))
 #: Shingles of a line that one row takes in when they are reduced to minima.
@@ -90,18 +88,25 @@ def sketches(texts: DataFrame) -> DataFrame:
     return words.groupBy("n").agg(F.sum("size").alias("size"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(w) for k, w in enumerate(SKETCH)])
 
 
+def distinct_shingles(line: Column) -> Column:
+    """The hashes of a line's distinct shingles."""
+
+    def hashes(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE)))))
+
+    return F.get(F.transform(F.array(wide(line)), hashes), F.lit(0))
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b, ...), distinct by a and b, whose lines' exact Jaccard similarity reaches the threshold; texts: (n, line)."""
-    pairs = settle(pairs, "pairs")
-    # so many pairs a task that their shingles stay in memory
-    parts = max(1, -(-pairs.count() // TOGETHER))
-    met = pairs.select("a", "b").join(texts.select(F.col("n").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("n").alias("b"), F.col("line").alias("y")), "b")
-    dealt = met.repartition(parts, "a", "b")
-    sides = F.array(F.struct(F.lit(1).alias("side"), wide(F.col("x")).alias("w")), F.struct(F.lit(2).alias("side"), wide(F.col("y")).alias("w")))
-    rows = exploded(dealt.select("a", "b", F.explode(sides).alias("t")).select("a", "b", "t.*"), "a", "b", "side")
-    held = rows.groupBy("a", "b", "s").agg(F.bit_or("side").alias("sides"))
-    counted = held.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("all"))
-    return pairs.join(counted.where(F.col("both") >= SIMILARITY * F.col("all")).select("a", "b"), ["a", "b"], "left_semi")
+    """The rows of pairs (a, b, ...), distinct by a and b, whose lines' exact Jaccard similarity reaches the threshold; texts: (n, line).
+
+    A pair is compared where its two lines meet: a task holds two lines' shingles at a time, however many pairs it gets.
+    """
+    met = pairs.join(texts.select(F.col("n").alias("a"), F.col("line").alias("x_")), "a").join(texts.select(F.col("n").alias("b"), F.col("line").alias("y_")), "b")
+    sides = met.select(*pairs.columns, distinct_shingles(F.col("x_")).alias("x_"), distinct_shingles(F.col("y_")).alias("y_"))
+    shared = sides.select(*pairs.columns, F.size(F.array_intersect("x_", "y_")).alias("both_"), (F.size("x_") + F.size("y_")).alias("sum_"))
+    return shared.where(F.col("both_") >= SIMILARITY * (F.col("sum_") - F.col("both_"))).select(*pairs.columns)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
