@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.relational import spread
 from harrow.plans.registry import query
 from harrow.plans.tables import read
 
@@ -67,7 +68,8 @@ def candidates(s, d) -> DataFrame:
 
 
 def pairs(s, d) -> DataFrame:
-    return read(s, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("candidate_id")).distinct()
+    # dealt by job, which the join with the jobs needs next
+    return spread(read(s, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("candidate_id")), "job_id").distinct()
 
 
 def skill_rows(s, d) -> DataFrame:
@@ -113,13 +115,15 @@ def location_score() -> Column:
 
 
 def parts(s, d) -> DataFrame:
-    matched = F.coalesce("matched", F.lit(False))
-    kind = F.col("kind")
-    counted = skill_rows(s, d).groupBy("job_id", "candidate_id").agg(F.count_if(kind == "m").alias("m"), F.count_if((kind == "m") & matched).alias("mm"), F.count_if(kind == "p").alias("p"), F.count_if((kind == "p") & matched).alias("pm"))
+    """Every pair with its scores. A pair meets its job's and its candidate's row once, and what they share is counted in that row; neither side is broadcast."""
+    listed = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
+    asked = jobs_asked(s, d).withColumns({"mandatory": listed("mandatory"), "preferred": listed("preferred")})
+    offered = candidates(s, d).withColumn("offered", F.split("skills", " ")).drop("skills")
+    met = pairs(s, d).join(asked.hint("merge"), "job_id").join(offered.hint("merge"), "candidate_id")
+    n, hits = lambda c: F.size(c).cast("long"), lambda c: F.size(F.filter(c, lambda x: F.array_contains("offered", x))).cast("long")
+    counted = met.withColumns({"m": n("mandatory"), "mm": hits("mandatory"), "p": n("preferred"), "pm": hits("preferred")})
     m, mm, p, pm = (F.col(c) for c in ("m", "mm", "p", "pm"))
-    rows = counted.select("job_id", "candidate_id", "m", "mm", "pm", F.when(m > 0, share(mm, m)).otherwise(1000).alias("mandatory_share"), skills_score(m, mm, p, pm).cast("long").alias("skills"))
-    asked, offered = jobs_asked(s, d).drop("mandatory", "preferred"), candidates(s, d).drop("skills")
-    whole = rows.join(asked, "job_id").join(offered, "candidate_id")
+    whole = counted.withColumns({"mandatory_share": F.when(m > 0, share(mm, m)).otherwise(1000), "skills": skills_score(m, mm, p, pm).cast("long")})
     return whole.select("job_id", "candidate_id", "m", "mm", "pm", "mandatory_share", "skills", experience_score().cast("long").alias("experience"), education_score().cast("long").alias("education"), location_score().cast("long").alias("location"))
 
 
