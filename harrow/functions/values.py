@@ -156,10 +156,10 @@ def first_phone(text: Column) -> Column:
     joined = lambda x: F.trim(F.regexp_replace(x, "(?<=[0-9])\\s+(?=[0-9])", ""))
     head = F.substring(text, 1, PHONE_HEAD)
     first = lambda x: F.coalesce(*[F.get(F.filter(F.transform(F.regexp_extract_all(x, F.lit(shape), F.lit(0)), lambda y: F.trim(y)), phone_ok), F.lit(0)) for shape in PHONE_SHAPES])
-    checked = lambda x: F.when(phone_ok(x), x)
+    checked = lambda x: let(x, lambda y: F.when(phone_ok(y), y))
     found = (
         checked(joined(F.regexp_extract(text, PHONE_LABEL, 1))), checked(joined(F.regexp_extract(head, PHONE_PLUS, 1))),
-        first(head), first(joined(head)), first(text), first(joined(text)), checked(digits(F.regexp_extract(text, PHONE_SPACED, 1))), F.lit(""),
+        first(head), let(joined(head), first), first(text), let(joined(text), first), checked(digits(F.regexp_extract(text, PHONE_SPACED, 1))), F.lit(""),
     )
     return F.coalesce(*found)
 

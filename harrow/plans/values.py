@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from harrow.functions import text as t
 from harrow.functions import values as v
+from harrow.operators.relational import spread
 from harrow.plans.registry import query
 from harrow.plans.tables import read
 
@@ -168,7 +169,7 @@ SELECT kind, id, coalesce(list_filter(found, lambda c: {_IS_PHONE})[1], '') AS p
 def first_phone(s, d):
     """The number of every customer's sentence and of every document's whole text."""
     said = read(s, d, "customer").selectExpr("'customer' AS kind", "c_custkey AS id", f"{_CALL} AS x").unionByName(read(s, d, "documents").selectExpr("'document' AS kind", "doc_id AS id", "text AS x"))
-    return said.select("kind", "id", v.first_phone(F.col("x")).alias("phone"))
+    return spread(said, "id").select("kind", "id", v.first_phone(F.col("x")).alias("phone"))
 
 
 _CELL = "'Languages: JS, ' || lower(substr(p_type, 1, 8)) || '/C++' || chr(10) || CASE p_size % 3 WHEN 0 THEN 'Tools - K8s; 12; x' WHEN 1 THEN 'golang | ms sql' ELSE p_brand || ',js' END"
@@ -189,7 +190,7 @@ firsts AS (SELECT p_partkey, k, min((i, j)) AS place, min((i, j)) FILTER (NOT he
 SELECT p_partkey, string_agg(k, ',' ORDER BY place) AS skills, string_agg(k, ',' ORDER BY gold_place) FILTER (gold_place IS NOT NULL) AS gold_skills FROM firsts GROUP BY p_partkey""")
 def split_skills(s, d):
     """The skills of a cell as found, and as gold, where category labels don't count."""
-    rows = read(s, d, "part").selectExpr("p_partkey", f"{_HEADED} AS x")
+    rows = spread(read(s, d, "part").select("p_partkey", "p_type", "p_size", "p_brand"), "p_partkey").selectExpr("p_partkey", f"{_HEADED} AS x")
     return rows.select("p_partkey", F.array_join(v.split_skills(F.col("x")), ",").alias("skills"), F.array_join(v.split_skills(F.col("x"), True), ",").alias("gold_skills"))
 
 

@@ -13,3 +13,8 @@ def plan(spark, tiny, name):
 def test_pairs_are_not_broadcast(spark, tiny, name):
     told = plan(spark, tiny, name)
     assert "BroadcastExchange" not in told and "Generate" not in told
+
+
+@pytest.mark.parametrize("name", ["ST17_split_skills", "ST22_first_phone"])
+def test_small_files_are_dealt(spark, tiny, name):
+    assert "REPARTITION_BY_NUM" in plan(spark, tiny, name)
