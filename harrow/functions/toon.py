@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.functions.values import let
+
 #: The first line, and what is quoted lest it be read as something else.
 BANNER = "#toon/v2"
 RESERVED = "^(?:true|false|null|[+-]?[0-9]+(?:_[0-9]+)*|[+-]?(?:[0-9_]+\\.[0-9_]*|\\.[0-9_]+)(?:[eE][+-]?[0-9]+)?)$"
@@ -62,7 +64,11 @@ def encode(record: Column, schema: T.StructType) -> Column:
 
 
 def _value(raw: Column, kind: T.DataType) -> Column:
-    """A value of the schema's type; null if it isn't one."""
+    """A value of the schema's type; null if it isn't one. The value is looked for once, however often it is asked about."""
+    return let(raw, lambda x: _typed(x, kind))
+
+
+def _typed(raw: Column, kind: T.DataType) -> Column:
     whole = raw.rlike('(?s)^".*"\\z') & (F.length(raw) >= 2)
     inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
     for part, by in (("\\\\", "\u0000"), ("\\n", "\n"), ('\\"', '"'), ("\u0000", "\\")):
@@ -88,11 +94,15 @@ def _read(told: Column, path: Column, kind: T.DataType) -> Column:
     none = F.exists(told["entries"], lambda e: e["path"] == F.concat(path, F.lit("[0]")))
     if _flat(item):
         table = last(F.filter(told["tables"], lambda t: t["key"] == path))
-        names = F.transform(F.split(table["columns"], ","), lambda c: F.trim(c))
-        rows = F.filter(F.transform(F.filter(F.split(table["block"], "\n"), lambda r: F.trim(r) != ""), lambda r: _cells(F.trim(r), ",")), lambda c: F.size(c) == F.size(names))
-        cell = lambda c, name: F.trim(F.get(c, F.array_position(names, F.lit(name)).cast("int") - 1))
-        made = F.transform(rows, lambda c: F.struct(*[_value(cell(c, f.name), f.dataType).alias(f.name) for f in item.fields]))
-        return F.when(none, empty).when(table.isNotNull(), made)
+        cell = lambda c, at: F.trim(F.get(c, at))
+        place = lambda names: F.struct(F.size(names).alias("n"), *[(F.array_position(names, F.lit(f.name)).cast("int") - 1).alias(f"at{k}") for k, f in enumerate(item.fields)])
+
+        def made(table: Column) -> Column:
+            lines = F.filter(F.split(table["block"], "\n"), lambda r: F.trim(r) != "")
+            read = lambda at: F.transform(F.filter(F.transform(lines, lambda r: _cells(F.trim(r), ",")), lambda c: F.size(c) == at["n"]), lambda c: F.struct(*[_value(cell(c, at[f"at{k}"]), f.dataType).alias(f.name) for k, f in enumerate(item.fields)]))
+            return F.when(table.isNotNull(), let(let(F.transform(F.split(table["columns"], ","), lambda c: F.trim(c)), place), read))
+
+        return F.when(none, empty).otherwise(let(table, made))
     if isinstance(item, (T.StructType, T.ArrayType)):
         below = F.concat(path, F.lit("."))
         paths = F.concat(F.transform(told["entries"], lambda e: e["path"]), F.transform(told["tables"], lambda t: t["key"]))
@@ -100,8 +110,8 @@ def _read(told: Column, path: Column, kind: T.DataType) -> Column:
         most = F.array_max(numbers)
         return F.when(none, empty).when(most.isNotNull(), F.transform(F.sequence(F.lit(0), most), lambda i: _read(told, F.concat(below, i.cast("string")), item)))
     counted = last(F.filter(told["entries"], lambda e: F.regexp_extract(e["path"], "^(.*)\\[[0-9]+\\]$", 1) == path))
-    made = F.transform(_cells(counted["value"], "|"), lambda c: _value(F.trim(c), item))
-    return F.when(none, empty).when(counted.isNotNull(), made)
+    made = lambda e: F.when(e.isNotNull(), F.transform(_cells(e["value"], "|"), lambda c: _value(F.trim(c), item)))
+    return F.when(none, empty).otherwise(let(counted, made))
 
 
 def decode(text: Column, schema: T.StructType) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from harrow.functions import gold as g
 from harrow.functions import toon
 from harrow.functions import values as v
+from harrow.operators.relational import spread
 from harrow.plans.registry import query
 from harrow.plans.resumes import _FIRM, _ROLES
 from harrow.plans.tables import read
@@ -24,9 +25,9 @@ _LINK_CELL = "CASE c_custkey % 3 WHEN 0 THEN 'https://example.com/me' WHEN 1 THE
 
 def cells(s, d) -> DataFrame:
     """(id, section, cell): education and certification cells of each customer, and an experience cell of its orders."""
-    people = read(s, d, "customer").selectExpr("c_custkey AS id", f"stack(2, 'education', {_STUDIES}, 'certifications', {_PAPERS}) AS (section, cell)")
+    people = spread(read(s, d, "customer"), "c_custkey").selectExpr("c_custkey AS id", f"stack(2, 'education', {_STUDIES}, 'certifications', {_PAPERS}) AS (section, cell)")
     jobs = read(s, d, "orders").selectExpr("o_custkey AS id", "o_orderkey", "o_orderstatus", "CAST(year(o_orderdate) AS STRING) AS y").selectExpr("id", "o_orderkey AS k", f"{_FIRM} || CASE o_orderkey % 3 WHEN 0 THEN ', ' ELSE chr(10) || 'Role: ' END || {_ROLES} || CASE o_orderkey % 2 WHEN 0 THEN ', Mar''' || y || '- Till date' ELSE chr(10) || 'Jun ' || y || ' - Present' || chr(10) || 'Responsibilities: all' END AS job")
-    listed = jobs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "job"))).alias("jobs"))
+    listed = spread(jobs, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "job"))).alias("jobs"))
     cell = F.array_join(F.transform("jobs", lambda j, i: F.concat(F.lit("Experience "), (i + 1).cast("string"), F.lit(": "), j["job"])), "     ")
     return people.unionByName(listed.select("id", F.lit("experiences").alias("section"), cell.alias("cell")))
 
@@ -68,8 +69,8 @@ _NOTE = "CASE l_partkey % 4 WHEN 0 THEN 'small, red' WHEN 1 THEN '2012' WHEN 2 T
 
 def _records(s, d) -> DataFrame:
     line = F.struct(F.col("l_linenumber").cast("int").alias("line"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"), F.expr(_NOTE).alias("note"))
-    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return read(s, d, "orders").join(lines, "o_orderkey").select(F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderstatus")).alias("status"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")).alias("at"), F.split("o_orderpriority", "[- ]").alias("words"), "lines").alias("r"))
+    lines = spread(read(s, d, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return spread(read(s, d, "orders"), "o_orderkey").join(lines.hint("merge"), "o_orderkey").select(F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderstatus")).alias("status"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")).alias("at"), F.split("o_orderpriority", "[- ]").alias("words"), "lines").alias("r"))
 
 
 _LINES = f"""SELECT l_orderkey, count(*) AS n, string_agg('  ' || l_linenumber || ',' || l_partkey || ',' || l_returnflag || ',' || CASE WHEN note = '' THEN '' WHEN regexp_matches(note, '[,"]|^[0-9]+$') THEN '"' || replace(note, '"', '\\"') || '"' ELSE note END, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag, note) AS block FROM (SELECT *, {_NOTE} AS note FROM lineitem) GROUP BY l_orderkey"""
@@ -87,4 +88,4 @@ def toon_round_trip(s, d):
     """The lines read back from those texts; the SQL reads the tables themselves."""
     kind = T.StructType.fromDDL(_ORDER)
     back = toon_texts(s, d).select(toon.decode(F.col("text"), kind).alias("r"))
-    return back.select("r.id", "r.status", F.col("r.at.customer").alias("customer"), F.size("r.words").alias("words"), F.explode("r.lines").alias("l")).select("id", "status", "customer", "words", "l.*")
+    return back.select("r.id", "r.status", F.col("r.at.customer").alias("customer"), F.size("r.words").alias("words"), F.explode_outer("r.lines").alias("l")).where("l IS NOT NULL").select("id", "status", "customer", "words", "l.*")
