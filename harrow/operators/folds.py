@@ -7,7 +7,8 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from harrow.operators.relational import spread
 
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], result: str, start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], reads: list[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], result: str
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)]], [*names, *added])
 
     kinds = [_arrow(part.split()[1]) for part in result.split(", ")]
-    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{schema}, {result}")
+    return spread(rows, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{schema}, {result}")
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -126,7 +126,7 @@ def half_up_percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0).cast("long")).otherwise(F.expr("0L") + F.floor((part * 200 + whole) / (whole * 2)))
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """The rows dealt over all cores by a key, before much is computed from each: short rows compress to few megabytes, which are one task's to read."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over all cores by their keys, before much is computed from each: short rows compress to few megabytes, which are one task's to read."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)

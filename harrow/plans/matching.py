@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import values as v
 from harrow.operators import matching as op
+from harrow.operators.relational import spread
 from harrow.plans import registry, resumes, values
 from harrow.plans.registry import query
 from harrow.plans.tables import read
@@ -36,7 +37,7 @@ skills AS (SELECT p_partkey, precision, recall, CASE WHEN len(g) = 0 THEN 1.0::D
 
 
 def _skill_scores(s, d) -> DataFrame:
-    return op.skill_scores(read(s, d, "part").selectExpr("p_partkey", f"{values._HEADED} AS gold", f"{_FOUND} AS found"), "p_partkey", "gold", "found")
+    return op.skill_scores(spread(read(s, d, "part"), "p_partkey").selectExpr("p_partkey", f"{values._HEADED} AS gold", f"{_FOUND} AS found"), "p_partkey", "gold", "found")
 
 
 @query("DM16_skills", f"WITH {_SKILLS} SELECT p_partkey, round(precision, 9) AS precision, round(recall, 9) AS recall, round(score, 9) AS score, missed, extra FROM skills")
@@ -50,13 +51,13 @@ def skills(s, d):
 def likeness(s, d):
     """The same with misspelt skills, which only likeness finds; the tests compare it with a loop."""
     slip = lambda c: F.when(F.length(c) > 5, F.concat(F.substring(c, 1, 4), F.substring(c, 4, 99))).otherwise(c)
-    rows = read(s, d, "part").select("p_partkey", F.concat_ws(", ", F.lower("p_type"), "p_name").alias("gold"), F.concat_ws("; ", slip(F.lower(F.col("p_type"))), slip(F.col("p_name"))).alias("found"))
+    rows = spread(read(s, d, "part"), "p_partkey").select("p_partkey", F.concat_ws(", ", F.lower("p_type"), "p_name").alias("gold"), F.concat_ws("; ", slip(F.lower(F.col("p_type"))), slip(F.col("p_name"))).alias("found"))
     return op.skill_scores(rows, "p_partkey", "gold", "found").select("p_partkey", "score", F.array_join("missed", ",").alias("missed"), F.array_join("extra", ",").alias("extra"))
 
 
 def _gold_jobs(s, d) -> DataFrame:
     """(id, entry, facts, years): the jobs that a customer's résumé was written from."""
-    jobs = read(s, d, "orders").selectExpr("o_custkey AS id", "o_orderkey", "o_orderstatus", "CAST(year(o_orderdate) AS STRING) AS y").selectExpr("id", "o_orderkey AS entry", f"{resumes._ROLES} AS role", f"{resumes._FIRM} AS firm", "y", "o_orderkey % 6 = 2 AS nameless")
+    jobs = spread(read(s, d, "orders").selectExpr("o_custkey AS id", "o_orderkey", "o_orderstatus", "CAST(year(o_orderdate) AS STRING) AS y"), "id").selectExpr("id", "o_orderkey AS entry", f"{resumes._ROLES} AS role", f"{resumes._FIRM} AS firm", "y", "o_orderkey % 6 = 2 AS nameless")
     return jobs.select("id", "entry", F.when(F.col("nameless"), F.array(v.norm(F.col("role")))).otherwise(F.array(v.norm(F.col("role")), v.norm(F.col("firm")))).alias("facts"), F.array("y").alias("years"))
 
 
@@ -115,7 +116,7 @@ def field_scores(s, d):
     """Every field's score by its metric (nine of them) and its verdict, counted."""
     parts = [pairs(s, d, m).select(F.lit(m).alias("metric"), "gold", "found", v.field_score(F.lit(m), F.col("gold"), F.col("found")).alias("score")) for m in (*_SIMPLE, "location")]
     cells = read(s, d, "part").selectExpr("p_partkey", f"{values._HEADED} AS gold", f"{_FOUND} AS found")
-    parts.append(_skill_scores(s, d).join(cells, "p_partkey").select(F.lit("skills").alias("metric"), "gold", "found", "score"))
+    parts.append(_skill_scores(s, d).join(cells.hint("merge"), "p_partkey").select(F.lit("skills").alias("metric"), "gold", "found", "score"))
     parts.append(_section_scores(s, d).select(F.lit("section").alias("metric"), F.lit("x").alias("gold"), F.lit("x").alias("found"), "score"))
     rows = parts[0]
     for part in parts[1:]:

@@ -70,3 +70,33 @@ def test_containment(spark):
     assert "NestedLoop" not in pairs._jdf.queryExecution().toString() and "Cartesian" not in pairs._jdf.queryExecution().toString()
     want = sorted((i, j) for i, a in enumerate(left) for j, b in enumerate(right) if a and b and (a in b or b in a))
     assert sorted((r.i, r.j) for r in pairs.collect()) == want
+
+
+def test_matches_are_not_broadcast(spark, tiny):
+    """Short rows compress to little, and what comes out of them doesn't fit a driver."""
+    import re
+
+    from harrow.plans import registry
+
+    for name in ("DM16_skills", "DM16_likeness", "DM16_sections", "DM16_field_scores"):
+        plan = registry.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"BroadcastHashJoin \[[^\]]*\]", plan)
+        assert all("key#" in join for join in joins), (name, joins)  # only the table of heading names
+
+
+def test_facts(spark):
+    """Facts told word for word, within others, by tokens and by likeness, against a loop; cases apart."""
+    rng = random.Random(11)
+    names = ["data analyst", "test lead", "acme labs", "acme lab", "river 12", "grey ltd", "hill college", "hill colege", "analyst, data", "x", "acme o labs pune", ""]
+    rows = [[(i, rng.choice(names)) for i in range(30) for _ in range(6)] for _ in range(2)]
+    got = op.fact_hits(spark.createDataFrame(rows[0], "id long, a string"), spark.createDataFrame(rows[1], "id long, b string"), "id").collect()
+
+    def tokens(x):
+        return {w for w in x.replace(",", " ").split() if len(w) > 1}
+
+    def states(a, b):
+        x, y = tokens(a), tokens(b)
+        f1 = 1.0 if not x and not y else 2 * len(x & y) / (len(x) + len(y))
+        return a == b or (len(a) >= 6 and (a in b or b in a)) or f1 >= 0.85 or like(a, b) >= 0.85
+
+    assert sorted(map(tuple, got)) == sorted({(i, a) for i, a in rows[0] for j, b in rows[1] if i == j and a and b and states(a, b)})
