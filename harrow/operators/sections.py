@@ -94,7 +94,8 @@ def heading_table(spark: SparkSession, names: dict[str, tuple[str, ...]]) -> Dat
 
 def text_lines(rows: DataFrame, text: str) -> DataFrame:
     """A row for each line, numbered from 0, with the other columns; a null text has none."""
-    return rows.select(*[c for c in rows.columns if c != text], F.posexplode(F.split(text, "\r\n|\r|\n")).alias("pos", "line"))
+    # outer: no filter on the split text is drawn before the dealing of the rows
+    return rows.select(*[c for c in rows.columns if c != text], F.posexplode_outer(F.split(text, "\r\n|\r|\n")).alias("pos", "line")).where("pos IS NOT NULL")
 
 
 def _bare(line: Column) -> Column:
@@ -228,10 +229,11 @@ def _inner(rows: DataFrame, label: str, id: str) -> DataFrame:
 def experience_lines(rows: DataFrame, id: str) -> DataFrame:
     """Every line of the Experience sections with its entry (0: before the first)."""
     lines = _inner(rows, "Experience", id)
-    spoken = Window.partitionBy(id, "section").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    # what follows, as what came before in the other direction: a frame that grows row by row
+    spoken = Window.partitionBy(id, "section").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     bare = F.col("bare")
     kind, role = F.when((F.col("kind") == "date") & (bare != ""), "titled").otherwise(F.col("kind")), F.col("kind").isin("head", "date") & bare.rlike(ROLE)
-    next_ = lambda x, skipped: F.first(F.when(~kind.isin(*skipped), x), ignorenulls=True).over(spoken)
+    next_ = lambda x, skipped: F.last(F.when(~kind.isin(*skipped), x), ignorenulls=True).over(spoken)
     ahead = {"following": next_(kind, ["blank"]), "beyond": next_(kind, ["blank", "head"]), "place": bare.rlike(PLACE) & ~bare.rlike(ROLE), "role": role, "next_role": F.coalesce(next_(role, ["blank"]), F.lit(False))}
     start = lambda: (0, 0, False, False, False, False)
     return ordered_fold(lines.withColumns(ahead), [id, "section"], ["pos"], "entry int", start, _experience, ["kind", "following", "beyond", "bare", "place", "role", "next_role"]).drop(*ahead)

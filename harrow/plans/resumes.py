@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import values as v
 from harrow.operators import sections as op
+from harrow.operators.relational import spread
 from harrow.plans.registry import query
 from harrow.plans.tables import read
 from harrow.plans.values import _IS_PHONE, _SHAPED, _list, _plain, _sql, _token
@@ -25,10 +26,10 @@ WHEN 2 THEN 'Sea University' || chr(10) || 'Bachelor of Arts, CGPA: 8.1' || chr(
 
 def resumes(s, d) -> DataFrame:
     """(id, text): a résumé of each customer that has orders, a job for each order, newest first."""
-    jobs = read(s, d, "orders").selectExpr("o_custkey AS id", "o_orderkey", "o_orderstatus", "CAST(year(o_orderdate) AS STRING) AS y").selectExpr("id", "o_orderkey", f"{_JOB} AS job")
+    jobs = spread(read(s, d, "orders").selectExpr("o_custkey AS id", "o_orderkey", "o_orderstatus", "CAST(year(o_orderdate) AS STRING) AS y"), "id").selectExpr("id", "o_orderkey", f"{_JOB} AS job")
     listed = jobs.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("o_orderkey")).alias("k"), "job"))), lambda j: j["job"]), "\n").alias("jobs"))
-    people = read(s, d, "customer").selectExpr("c_custkey AS id", f"{_HEAD} AS head", f"{_FOOT} AS foot")
-    return people.join(listed, "id").select("id", F.concat_ws("\n", "head", "jobs", "foot").alias("text"))
+    people = spread(read(s, d, "customer").withColumnRenamed("c_custkey", "id"), "id").selectExpr("id", f"{_HEAD.replace('c_custkey', 'id')} AS head", f"{_FOOT.replace('c_custkey', 'id')} AS foot")
+    return people.join(listed.hint("merge"), "id").select("id", F.concat_ws("\n", "head", "jobs", "foot").alias("text"))
 
 
 _RESUMES = f"""resumes AS (SELECT c_custkey AS id, ({_HEAD}) || chr(10) || jobs || chr(10) || ({_FOOT}) AS text FROM customer JOIN
@@ -70,7 +71,7 @@ first, CASE WHEN body = '' THEN 0 ELSE len(string_split(body, chr(10))) END AS l
 def sections(s, d):
     """The sections of every résumé and of every document's whole text."""
     headings = op.heading_table(s, op.RESUME_HEADINGS)
-    found = [op.sections(op.sectioned(op.text_lines(texts, "text"), headings, "id"), "id").select(F.lit(kind).alias("kind"), "*") for kind, texts in (("resume", resumes(s, d)), ("document", read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")))]
+    found = [op.sections(op.sectioned(op.text_lines(texts, "text"), headings, "id"), "id").select(F.lit(kind).alias("kind"), "*") for kind, texts in (("resume", resumes(s, d)), ("document", spread(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")))]
     return found[0].unionByName(found[1])
 
 

@@ -18,3 +18,9 @@ def test_pairs_are_not_broadcast(spark, tiny, name):
 @pytest.mark.parametrize("name", ["ST17_split_skills", "ST22_first_phone", "AR6_round_trip"])
 def test_small_files_are_dealt(spark, tiny, name):
     assert "REPARTITION_BY_NUM" in plan(spark, tiny, name)
+
+
+@pytest.mark.parametrize("name", ["DM10_entries", "DM10_experience", "DM9_sections"])
+def test_frames_grow_row_by_row(spark, tiny, name):
+    told = plan(spark, tiny, name)
+    assert "unboundedfollowing" not in told and "REPARTITION_BY_NUM" in told
