@@ -97,22 +97,29 @@ def dates(block: Column) -> Column:
 
 def _told(primary: Column, secondary: Column, preferred: Column, all_: Column) -> Column:
     first = F.get(all_, F.lit(0))
-    named = F.when(F.size(preferred) > 0, preferred).otherwise(F.slice(all_, 1, 2))
+    named = v.let(preferred, lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice(all_, 1, 2)))
     return F.struct(F.coalesce(primary, first).alias("primary"), F.coalesce(secondary, F.lit("")).alias("secondary"), facts(named).alias("facts"))
 
 
 def education(all_: Column) -> Column:
     """(primary, secondary, facts) of an entry's lines: the degree, the school."""
-    degrees, schools = F.filter(all_, lambda x: x.rlike(DEGREE)), F.filter(all_, lambda x: x.rlike(SCHOOL))
-    return _told(F.get(degrees, F.lit(0)), F.get(F.filter(schools, lambda x: ~F.array_contains(F.slice(degrees, 1, 1), x)), F.lit(0)), F.concat(degrees, F.filter(schools, lambda x: ~F.array_contains(degrees, x))), all_)
+    def told(p: Column) -> Column:
+        degrees, schools = p["degrees"], p["schools"]
+        return _told(F.get(degrees, F.lit(0)), F.get(F.filter(schools, lambda x: ~F.array_contains(F.slice(degrees, 1, 1), x)), F.lit(0)), F.concat(degrees, F.filter(schools, lambda x: ~F.array_contains(degrees, x))), all_)
+
+    return v.let(F.struct(F.filter(all_, lambda x: x.rlike(DEGREE)).alias("degrees"), F.filter(all_, lambda x: x.rlike(SCHOOL)).alias("schools")), told)
 
 
 def experience(all_: Column) -> Column:
     """(primary, secondary, facts) of an entry's lines: the role, the company. A first line may hold both."""
     head = F.filter(F.split(F.get(all_, F.lit(0)), "\\s*[,|]\\s*"), lambda x: F.trim(x) != "")
-    all_told = F.concat(head, F.slice(all_, 1, 3))
-    roles, companies = F.filter(all_told, lambda x: x.rlike(ROLE) & (_words(x) <= 10)), F.filter(all_told, lambda x: x.rlike(COMPANY))
-    return _told(F.get(roles, F.lit(0)), F.get(F.filter(companies, lambda x: ~F.array_contains(F.slice(roles, 1, 1), x)), F.lit(0)), F.concat(companies, F.filter(roles, lambda x: ~F.array_contains(companies, x))), all_)
+    named = lambda x: F.struct(F.filter(x, lambda y: y.rlike(ROLE) & (_words(y) <= 10)).alias("roles"), F.filter(x, lambda y: y.rlike(COMPANY)).alias("companies"))
+
+    def told(p: Column) -> Column:
+        roles, companies = p["roles"], p["companies"]
+        return _told(F.get(roles, F.lit(0)), F.get(F.filter(companies, lambda x: ~F.array_contains(F.slice(roles, 1, 1), x)), F.lit(0)), F.concat(companies, F.filter(roles, lambda x: ~F.array_contains(companies, x))), all_)
+
+    return v.let(v.let(F.concat(head, F.slice(all_, 1, 3)), named), told)
 
 
 def certification(block: Column) -> Column:

@@ -15,7 +15,7 @@ def test_pairs_are_not_broadcast(spark, tiny, name):
     assert "BroadcastExchange" not in told and "Generate" not in told
 
 
-@pytest.mark.parametrize("name", ["ST17_split_skills", "ST22_first_phone", "AR6_round_trip"])
+@pytest.mark.parametrize("name", ["ST17_split_skills", "ST22_first_phone", "AR6_round_trip", "DM17_gold_cells"])
 def test_small_files_are_dealt(spark, tiny, name):
     assert "REPARTITION_BY_NUM" in plan(spark, tiny, name)
 
