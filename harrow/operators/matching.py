@@ -131,23 +131,18 @@ def section_scores(gold: DataFrame, found: DataFrame, id: str) -> DataFrame:
 def phrase_hits(texts: DataFrame, phrases: DataFrame, id: str, longest: int) -> DataFrame:
     """(id, phrase): the phrases of ``phrases(phrase)`` that stand in ``texts(id, text)`` as whole tokens.
 
-    Texts and phrases become tokens (letters, digits, + and #, in lower case); a text's runs of up to ``longest`` tokens are joined with the phrases
+    Texts and phrases become tokens (letters, digits, + and #, in lower case); a text's runs of up to ``longest`` tokens that begin like a phrase are joined with the phrases
     by equality, so java is not found in javascript, and phrases of several words are. No text is compared with a phrase that it doesn't hold.
     A text's equal runs count once.
     """
     token = lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9+#]+"), lambda w: w != "")
-    wanted = phrases.select("phrase", token(F.col("phrase")).alias("w")).where(F.size("w").between(1, longest)).select("phrase", F.array_join("w", " ").alias("run")).distinct()
-    words = texts.select(id, token(F.col("text")).alias("w"))
-
-    def runs_of(n: int) -> DataFrame:
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
-        return words.where(F.size("w") >= n).select(id, F.explode(F.array_distinct(runs)).alias("run"))
-
-    runs = [runs_of(n) for n in range(1, longest + 1)]
-    told = runs[0]
-    for more in runs[1:]:
-        told = told.unionByName(more)
-    return told.join(wanted, "run").select(id, "phrase").distinct()
+    wanted = phrases.select("phrase", token(F.col("phrase")).alias("w")).where(F.size("w").between(1, longest)).select("phrase", F.array_join("w", " ").alias("run"), F.get("w", F.lit(0)).alias("first"), F.size("w").alias("n")).distinct()
+    words, w = texts.select(id, token(F.col("text")).alias("w")), F.col("w")
+    # outer: no filter on the tokens is drawn that takes them apart again; token by token, as a slice would copy the whole text's tokens each time
+    ahead = words.select(id, F.explode_outer(F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array(*[F.get(w, i + k) for k in range(longest)])))).alias("s"))
+    begun = ahead.withColumn("first", F.get("s", F.lit(0))).join(wanted.select("first", "n").distinct(), "first").where(F.get("s", F.col("n") - 1).isNotNull())
+    runs = begun.select(id, F.array_join(F.slice("s", F.lit(1), F.col("n")), " ").alias("run"))
+    return runs.join(wanted.select("run", "phrase"), "run").select(id, "phrase").distinct()
 
 
 def contained(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:

@@ -135,7 +135,7 @@ def phrases(s, d):
     """How many documents hold each phrase as whole words: an equality join of runs of words."""
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9+#]+"), lambda w: w != "")
     spoken = read(s, d, "benchmark").select(F.array_join(F.slice(words, F.lit(1), (F.col("item_id") % 4 + 1).cast("int")), " ").alias("phrase")).where("phrase <> ''").distinct()
-    hits = op.phrase_hits(read(s, d, "documents").select("doc_id", "text"), spoken, "doc_id", 4)
+    hits = op.phrase_hits(spread(read(s, d, "documents").select("doc_id", "text"), "doc_id"), spoken, "doc_id", 4)
     return hits.groupBy("phrase").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
 
 

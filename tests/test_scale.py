@@ -24,3 +24,7 @@ def test_small_files_are_dealt(spark, tiny, name):
 def test_frames_grow_row_by_row(spark, tiny, name):
     told = plan(spark, tiny, name)
     assert "unboundedfollowing" not in told and "REPARTITION_BY_NUM" in told
+
+
+def test_texts_are_taken_apart_once(spark, tiny):
+    assert plan(spark, tiny, "JN14_phrases").count("documents.parquet") == 1
