@@ -3,9 +3,9 @@
 A line's shingles are the SHINGLE characters from every character that has as many left; a shorter line is its own shingle. MinHash:
 each of BANDS x ROWS permutations of the shingle hashes, by rotation and XOR, gives the line its least one; ROWS of them make a
 band key. Lines that share a band key meet in a bucket, where leaders are
-verified against the others by exact Jaccard similarity; distributed union-find joins the verified links, until no two lines of a
-bucket are in different components unverified. A sketch of each line's shingles, as bits, rules most pairs out
-beforehand, and no true one. Each component keeps its first line.
+verified against the others by exact Jaccard similarity (in a small bucket, all lines against each other); distributed union-find joins
+the verified links, until no two lines of a bucket are in different components unverified. A sketch of each line's distinct shingles, their
+parities by bits, leaves hardly any pair to verify that isn't similar, and rules no true one out. Each component keeps its first line.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from .common import components, discard, fresh, settle
 
 #: Jaccard similarity of similar lines; bands and rows find a pair at the threshold with 99.5 %.
 SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 7, 10, 4
-#: Leaders of a bucket grow by this factor from round to round.
+#: A bucket of so many lines at most is small.
+SMALL = 8
+#: Leaders of a larger bucket grow by this factor from round to round.
 MORE = 8
 #: Columns of a line's sketch, 64 bits each.
 SKETCH = tuple(f"w{k}" for k in range(16))
@@ -39,9 +41,8 @@ def wide(line: Column) -> Column:
 
 
 def exploded(lines: DataFrame, *names: str) -> DataFrame:
-    """The named columns and the hash s of every shingle, repeats included, of every line ``w`` (wide and not empty)."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length("w") - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
-    return lines.select(*names, "w", F.explode(starts).alias("i")).select(*names, F.xxhash64(F.substring("w", F.col("i"), 4 * SHINGLE)).alias("s"))
+    """The named columns and the hash s of every distinct shingle of every line ``w`` (wide and not empty)."""
+    return lines.select(*names, F.explode(distinct_shingles(F.col("w"))).alias("s"))
 
 
 def strips(lines: DataFrame, *names: str) -> DataFrame:
@@ -82,20 +83,29 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(n, size, w0, w1, ...) of each line (n, line): the number of its shingles, repeats included, and the sketch's bits that they set."""
-    bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.pmod(F.shiftrightunsigned("s", 6), F.lit(len(SKETCH))).cast("int").alias("word")
-    words = exploded(texts.select("n", wide(F.col("line")).alias("w")), "n").groupBy("n", word).agg(F.count("*").alias("size"), F.bit_or(bit).alias("bits"))
-    return words.groupBy("n").agg(F.sum("size").alias("size"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(w) for k, w in enumerate(SKETCH)])
+    """(n, size, w0, w1, ...) of each line (n, line): the number of its distinct shingles and, by bits, the parities of how many of them fall on each."""
+    bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.pmod(F.shiftrightunsigned("s", 6), F.lit(len(SKETCH)))
+    parities = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(w) for k, w in enumerate(SKETCH)]
+    return exploded(texts.select("n", wide(F.col("line")).alias("w")), "n").groupBy("n").agg(F.count("*").alias("size"), *parities)
 
 
-def distinct_shingles(line: Column) -> Column:
-    """The hashes of a line's distinct shingles."""
+def close(size: Column, words: list[Column], other: Column, others: list[Column]) -> Column:
+    """Whether two sketches leave it open that their lines are similar.
+
+    |A xor B| is at least the number of differing parities, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t; the sizes' ratio is at least t.
+    """
+    differing = sum((F.bit_count(w.bitwiseXOR(x)) for w, x in zip(words, others, strict=True)), F.lit(0))
+    return (F.least(size, other) >= SIMILARITY * F.greatest(size, other) - 1e-6) & (differing * (1 + SIMILARITY) <= (size + other) * (1 - SIMILARITY) + 1e-6)
+
+
+def distinct_shingles(w: Column) -> Column:
+    """The hashes of the distinct shingles of a wide line."""
 
     def hashes(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(w) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
         return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE)))))
 
-    return F.get(F.transform(F.array(wide(line)), hashes), F.lit(0))
+    return F.get(F.transform(F.array(w), hashes), F.lit(0))
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -104,13 +114,13 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A pair is compared where its two lines meet: a task holds two lines' shingles at a time, however many pairs it gets.
     """
     met = pairs.join(texts.select(F.col("n").alias("a"), F.col("line").alias("x_")), "a").join(texts.select(F.col("n").alias("b"), F.col("line").alias("y_")), "b")
-    sides = met.select(*pairs.columns, distinct_shingles(F.col("x_")).alias("x_"), distinct_shingles(F.col("y_")).alias("y_"))
+    sides = met.select(*pairs.columns, distinct_shingles(wide(F.col("x_"))).alias("x_"), distinct_shingles(wide(F.col("y_"))).alias("y_"))
     shared = sides.select(*pairs.columns, F.size(F.array_intersect("x_", "y_")).alias("both_"), (F.size("x_") + F.size("y_")).alias("sum_"))
     return shared.where(F.col("both_") >= SIMILARITY * (F.col("sum_") - F.col("both_"))).select(*pairs.columns)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(band, part, parts, n, leader) for each line of a band that several lines have; leader: the smallest n among them.
+    """(band, part, parts, n, leader, small) for each line of a band that several lines have; leader: the smallest n among them.
 
     A hot band's rows are dealt in parts; at most SHARE bands are hot, whatever the corpus.
     """
@@ -121,36 +131,47 @@ def buckets(signed: DataFrame) -> DataFrame:
     parts = crowded.withColumn("parts", F.ceil(F.col("count") / fair).cast("long"))
     hot = parts.where("parts > 1").select("band", "parts")
     dealt = rows.join(F.broadcast(hot), "band", "left").select("n", "band", F.pmod(F.xxhash64("n"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
-    owned = parts.select("band", "parts", "leader", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
-    out = settle(dealt.join(owned, ["band", "part"]).select("band", "part", "parts", "n", "leader"), "buckets")
+    owned = parts.select("band", "parts", "leader", (F.col("count") <= min(SMALL, fair)).alias("small"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    out = settle(dealt.join(owned, ["band", "part"]).select("band", "part", "parts", "n", "leader", "small"), "buckets")
     discard(crowded)
     collected(signed)
     return out
 
 
-def similar_groups(lines: DataFrame, signed: DataFrame) -> list[DataFrame]:
-    """Tables (node, component) that, applied one after another, take each distinct line n to its group of similar lines.
+def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(n, line) of the lines at the places ``wanted`` (n, id, mark, pos): a document that holds some is split once."""
+    places = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
+    held = documents.where("text is not null").select(*document_key(documents), "text").join(places, ["id", "mark"])
+    lines = held.select("places", F.split("text", "\n").alias("lines"))
+    found = lines.select(F.explode(F.transform("places", lambda p: F.struct(p["n"].alias("n"), F.get("lines", p["pos"]).alias("line")))).alias("l")).select("l.*")
+    # rows that repeat a document give its lines again
+    return found.groupBy("n").agg(F.first("line").alias("line"))
+
+
+def similar_groups(documents: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, component) of the lines n that have others in a bucket: the groups of similar lines.
 
-    Each round, every bucket names leaders (one at first, then up to MORE times as many in each round), and its lines of other
+    First, all lines of a small bucket are verified against each other, and those of a larger one against its leader. In each round on, larger
+    buckets name more leaders (up to MORE times as many in each round), and their lines of other
     components are verified against them; a leader then leaves the bucket. Leaders are lines outside the largest component of what
     the bucket still holds: a bucket is done when it holds one component, as all pairs across components are verified then.
     Union-find runs over the round's links between the components that there were, never over earlier ones again.
     """
     bucket = buckets(signed)
-    wanted = bucket.select("n").distinct().join(signed.select("n", *IDENTITY), "n")
-    found = lines.select(*IDENTITY, "line").join(wanted, list(IDENTITY)).groupBy("n").agg(F.first("line").alias("line"))
-    texts = settle(found, "texts")
+    wanted = bucket.select("n").distinct().join(signed.select("n", *PLACE), "n")
+    texts = settle(texts_of(documents, wanted), "texts")
     sketched = settle(sketches(texts), "sketches")
-    del wanted, found
+    del wanted
     collected(signed)
-    # |A xor B| is at least the number of differing bits, and at most (1 - t) / (1 + t) (|A| + |B|) at similarity t; repeats only widen that
-    differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in SKETCH), F.lit(0))
-    close = differing * (1 + SIMILARITY) <= (F.col("size") + F.col("lsize")) * (1 - SIMILARITY) + 1e-6
+    here, there = [F.col(w) for w in SKETCH], [F.col(f"l{w}") for w in SKETCH]
+    near = close(F.col("size"), here, F.col("lsize"), there)
     other = [F.col(x).alias(f"l{x}") for x in ("size", *SKETCH)]
-    first = bucket.where("n <> leader").select("leader", "n").distinct()
-    met = first.join(sketched.select(F.col("n").alias("leader"), *other), "leader").join(sketched, "n").where(close)
+    small, large = bucket.where("small"), bucket.where("not small")
+    each = small.select("band", F.col("n").alias("leader")).join(small.select("band", "n"), "band").where("leader < n")
+    first = each.select("leader", "n").unionByName(large.where("n <> leader").select("leader", "n")).distinct()
+    met = first.join(sketched.select(F.col("n").alias("leader"), *other), "leader").join(sketched, "n").where(near)
     pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), F.col("leader").alias("ca"), F.col("n").alias("cb"))
-    held = bucket.where("n <> leader").drop("leader").join(sketched, "n").withColumn("c", F.col("n"))
+    held = large.where("n <> leader").select("band", "part", "parts", "n").join(sketched, "n").withColumn("c", F.col("n"))
     steps, most, leaders = [], 1, None
     while True:
         links = settle(similar(pairs, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
@@ -176,28 +197,27 @@ def similar_groups(lines: DataFrame, signed: DataFrame) -> list[DataFrame]:
         leaders = settle(named.select("band", F.col("l.n").alias("leader"), F.col("l.c").alias("of"), F.col("l.parts").alias("parts"), *[F.col(f"l.{x}").alias(f"l{x}") for x in ("size", *SKETCH)]), "leaders")
         every = leaders.select("*", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")).drop("parts")
         held = held.drop("top")
-        met = held.join(every, ["band", "part"]).where("c <> of").where(close)
+        met = held.join(every, ["band", "part"]).where("c <> of").where(near)
         pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), F.col("of").alias("ca"), F.col("c").alias("cb")).distinct()
-    discard(held), discard(texts), discard(sketched), discard(bucket)
-    if leaders is not None:
-        discard(leaders)
-    return steps
+    label = texts.select(F.col("n").alias("node"), F.col("n").alias("c"))
+    for step in steps:
+        renamed = step.select(F.col("node").alias("c"), "component")
+        label = label.join(renamed, "c", "left").select("node", F.coalesce("component", "c").alias("c"))
+    label = settle(label.select("node", F.col("c").alias("component")), "groups")
+    for done in (held, texts, sketched, bucket, leaders, *steps):
+        discard(done)
+    return label
 
 
 def kept_lines(documents: DataFrame) -> DataFrame:
     """(id, mark, pos): the one line that stays of every group of similar lines."""
-    lines = lines_of(documents)
-    signed = settle(signatures(lines).withColumn("n", F.monotonically_increasing_id()), "signatures")
+    signed = settle(signatures(lines_of(documents)).withColumn("n", F.monotonically_increasing_id()), "signatures")
     collected(documents)
-    steps = similar_groups(lines, signed)
-    group = signed.select(F.struct(*PLACE).alias("first"), F.col("n").alias("c"))
-    for step in steps:
-        renamed = step.select(F.col("node").alias("c"), "component")
-        group = group.join(renamed, "c", "left").select("first", F.coalesce("component", "c").alias("c"))
-    # a line without similar ones is its component
+    label = similar_groups(documents, signed)
+    # a line that met no other is its component
+    group = signed.select(F.struct(*PLACE).alias("first"), F.col("n").alias("node")).join(label, "node", "left").select("first", F.coalesce("component", "node").alias("c"))
     kept = settle(group.groupBy("c").agg(F.min("first").alias("first")).select("first.*"), "kept")
-    for done in (signed, *steps):
-        discard(done)
+    discard(signed), discard(label)
     collected(documents)
     return kept
 

@@ -141,6 +141,32 @@ def test_hot_bands_are_dealt_in_parts(spark, monkeypatch):
     assert sum(got[k] != want[k] for k in want) <= 2
 
 
+def test_pairs_that_are_not_similar_are_ruled_out_by_their_sketches(spark, monkeypatch):
+    """Long lines of one bucket at a similarity of some 0.6, and few that are similar: next to no other pair is left to verify."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(100)]
+    texts = [" ".join(word() if rng.random() < 0.08 else w for w in base) for _ in range(40)]
+    rows = list(enumerate([*texts, *(f"{x} end" for x in texts[:5])]))
+    met, real = [], line_dedup.similar
+
+    def counted(pairs, texts):
+        met.append(pairs.count())
+        return real(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "similar", counted)
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows)
+    assert 5 <= sum(met) <= 24, met
+
+
+def test_shingles_that_repeat_within_a_line(spark):
+    """Similarity goes by distinct shingles: lines of one phrase, repeated more or less often, are similar."""
+    rows = [(k, "all of it again and " * n) for k, n in enumerate((3, 4, 7, 10, 40))] + [(9, "none of it at all, ever, " * 5), (10, "none of it at all, ever, " * 12)]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows) and sum(map(bool, got.values())) == 2
+
+
 def test_odd_documents(odd_documents, no_documents):
     out = line_dedup.deduplicate_lines(odd_documents)
     assert out.columns == odd_documents.columns
