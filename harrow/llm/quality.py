@@ -20,6 +20,8 @@ BITS = 18
 #: At most so many labelled rows are learnt from, chosen by a hash of the id; passes over them.
 MAX_TRAIN, EPOCHS = 6000, 4
 ALPHA, BETA, L1, L2, SCALE = 0.15, 1.0, 0.3, 1.0, 10.0
+#: Bytes of text that a task takes in at a time (one text at least); each takes some 50 bytes of memory meanwhile.
+CUT = 1 << 20
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -70,7 +72,7 @@ def _featurise(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, CUT):
                 place, bounds = features(*text_buffer(part.column(2)))
                 idx, val = [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -136,7 +138,7 @@ def score(documents: DataFrame, weights: np.ndarray, column: str = "score") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, CUT):
                 place, bounds = features(*text_buffer(part.column(at)))
                 sums = np.r_[0.0, np.cumsum(w[place], dtype=np.float64)]
                 dot = w[-1] + SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(1, np.diff(bounds))

@@ -2,8 +2,11 @@
 
 import math
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from harrow.llm import quality
@@ -72,3 +75,21 @@ def test_columns_of_any_name_stay(spark, tiny):
     docs = spark.createDataFrame([(1, "good words here", 0.25, 0.5), (2, "bad bad bad", 0.25, 0.5), (3, "good words too", 0.25, 0.5), (1, "good words here", 0.25, 0.5)], "doc_id bigint, text string, _score double, score double")
     kept = quality.keep_good(docs, labels, 0.0)
     assert kept.columns == docs.columns and {(r._score, r.score) for r in kept.collect()} == {(0.25, 0.5)} and kept.count() == 4
+
+
+def test_a_task_takes_in_few_texts_at_a_time():
+    """What a task holds while it scores or prepares a large batch doesn't grow with the batch."""
+    texts = pa.array(["some words of a text, and more words of it " * 50] * 6000)
+    ones = pa.array(np.ones(len(texts), np.int64))
+    runs = []
+    table = SimpleNamespace(columns=["doc_id", "text"], schema=SimpleNamespace(simpleString=lambda: "struct<doc_id:bigint,text:string>"), mapInArrow=lambda run, _: runs.append(run))
+    table.drop, table.sparkSession = lambda _: table, SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda w: SimpleNamespace(value=w)))
+    quality.score(table, np.ones(1 + (1 << quality.BITS), np.float32))
+    quality._featurise(table)
+    for run, columns in zip(runs, ({"doc_id": ones, "text": texts}, {"order": ones, "label": ones, "text": texts}), strict=True):
+        batch = pa.RecordBatch.from_pydict(columns)
+        tracemalloc.start()
+        rows = sum(part.num_rows for part in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == len(texts) and peak < 100e6, peak
