@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Word separators of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Bytes of text that the pipeline's Python tasks take in at a time (one text at least); each takes 30 to 50 bytes of memory meanwhile.
+CUT = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A temporary one serves only where driver and executors are one process."""

@@ -14,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, span_hashes, text_buffer
+from .common import CUT, fresh, slices, span_hashes, text_buffer
 
 BITS = 18
 #: At most so many labelled rows are learnt from, chosen by a hash of the id; passes over them.
 MAX_TRAIN, EPOCHS = 6000, 4
 ALPHA, BETA, L1, L2, SCALE = 0.15, 1.0, 0.3, 1.0, 10.0
-#: Bytes of text that a task takes in at a time (one text at least); each takes some 50 bytes of memory meanwhile.
-CUT = 1 << 20
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1

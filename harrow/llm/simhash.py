@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, fresh, settle, slices, text_buffer
+from .common import CUT, components, discard, fresh, settle, slices, text_buffer
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Bits of the seven parts, and how many make a key; fingerprints of a bucket that one group holds at most (larger ones are dealt in pairs of blocks).
@@ -65,7 +65,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, CUT):
                 fp = fingerprints_of(*text_buffer(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

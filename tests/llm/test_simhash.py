@@ -2,8 +2,10 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -97,3 +99,20 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     linked = {x for e in edges for x in e if e[0] != e[1]}
     assert {x: root(x) for x in linked} == {x: got.get(x, x) for x in linked}
+
+
+def test_a_task_takes_in_few_texts_at_a_time(monkeypatch):
+    """However large a batch is, about 1 MB of its texts is fingerprinted at a time, in order."""
+    sizes, runs = [], []
+
+    def counted(buffer, offsets):
+        sizes.append(len(buffer))
+        return np.arange(len(offsets) - 1, dtype=np.uint64)
+
+    monkeypatch.setattr(simhash, "fingerprints_of", counted)
+    table = SimpleNamespace(schema={"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}, mapInArrow=lambda run, _: runs.append(run))
+    table.select = lambda *_: table
+    simhash.fingerprints(table)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(4000)), "text": pa.array(["some words of a text, " * 50] * 4000)})
+    got = [k for part in runs[0](iter([batch])) for k in part.column(0).to_pylist()]
+    assert got == list(range(4000)) and sum(sizes) == 4000 * 1100 and max(sizes) <= 1 << 20
