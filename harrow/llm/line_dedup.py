@@ -23,9 +23,9 @@ SIMILARITY, SHINGLE, BANDS, ROWS = 0.8, 7, 10, 4
 SMALL = 8
 #: Leaders of a larger bucket grow by this factor from round to round.
 MORE = 8
-#: Columns of a line's sketch, 64 bits each.
+#: Columns of a line's sketch, 64 bits each: a power of two of them.
 SKETCH = tuple(f"w{k}" for k in range(16))
-#: Shingles of a line that one row takes in when they are reduced to minima.
+#: Shingles of a line that one row takes in when they are reduced to minima: a power of two.
 WIDTH = 32
 #: A band that holds more than one in so many of all rows (and FEW rows) is hot: its rows are dealt in parts. There are ROWS-many times fewer of them.
 SHARE, FEW = 1000, 256
@@ -42,14 +42,16 @@ def wide(line: Column) -> Column:
 
 def exploded(lines: DataFrame, *names: str) -> DataFrame:
     """The named columns and the hash s of every distinct shingle of every line ``w`` (wide and not empty)."""
-    return lines.select(*names, F.explode(distinct_shingles(F.col("w"))).alias("s"))
+    # told apart in a projection of its own, where Spark compiles it; a generator's argument is interpreted
+    return lines.select(*names, F.array_distinct(shingles(F.col("w"))).alias("s")).select(*names, F.explode("s").alias("s"))
 
 
 def strips(lines: DataFrame, *names: str) -> DataFrame:
     """The named columns and the hashes s0, s1, ... of WIDTH shingles on from each WIDTH-th of every line ``w``; the last one fills up a line's last row."""
     last = F.greatest(F.length("w") - (4 * SHINGLE - 1), F.lit(1))
-    rows = lines.select(*names, "w", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * WIDTH))).alias("i"))
-    return rows.select(*names, *[F.expr(f"xxhash64(substring(w, least(i + {4 * j}, last), {4 * SHINGLE}))").alias(f"s{j}") for j in range(WIDTH)])
+    rows = lines.select(*names, "w", last.alias("last"), F.explode(F.sequence(F.lit(0), last - 1, F.lit(4 * WIDTH))).alias("i"))
+    # i is a multiple of 4 * WIDTH, a power of two: | adds without a check for overflow
+    return rows.select(*names, *[F.expr(f"xxhash64(substring(w, least(i | {4 * j + 1}, last), {4 * SHINGLE}))").alias(f"s{j}") for j in range(WIDTH)])
 
 
 def permuted(s: str, k: int) -> str:
@@ -84,7 +86,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 def sketches(texts: DataFrame) -> DataFrame:
     """(n, size, w0, w1, ...) of each line (n, line): the number of its distinct shingles and, by bits, the parities of how many of them fall on each."""
-    bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.pmod(F.shiftrightunsigned("s", 6), F.lit(len(SKETCH)))
+    bit, word = F.expr("shiftleft(1L, cast(s & 63 as int))"), F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(len(SKETCH) - 1))
     parities = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(w) for k, w in enumerate(SKETCH)]
     return exploded(texts.select("n", wide(F.col("line")).alias("w")), "n").groupBy("n").agg(F.count("*").alias("size"), *parities)
 
@@ -98,25 +100,26 @@ def close(size: Column, words: list[Column], other: Column, others: list[Column]
     return (F.least(size, other) >= SIMILARITY * F.greatest(size, other) - 1e-6) & (differing * (1 + SIMILARITY) <= (size + other) * (1 - SIMILARITY) + 1e-6)
 
 
-def distinct_shingles(w: Column) -> Column:
-    """The hashes of the distinct shingles of a wide line."""
+def shingles(w: Column) -> Column:
+    """The hashes of the shingles of a wide line, repeats included."""
 
     def hashes(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(w) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE)))))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE))))
 
     return F.get(F.transform(F.array(w), hashes), F.lit(0))
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b, ...), distinct by a and b, whose lines' exact Jaccard similarity reaches the threshold; texts: (n, line).
+    """The rows of pairs (a, b, sum, ...), distinct by a and b, whose lines' exact Jaccard similarity reaches the threshold; texts: (n, line).
 
-    A pair is compared where its two lines meet: a task holds two lines' shingles at a time, however many pairs it gets.
+    sum: the numbers of the two lines' distinct shingles, as their sketches have them. A pair is compared where its two lines meet:
+    a task holds two lines' shingles at a time, however many pairs it gets.
     """
     met = pairs.join(texts.select(F.col("n").alias("a"), F.col("line").alias("x_")), "a").join(texts.select(F.col("n").alias("b"), F.col("line").alias("y_")), "b")
-    sides = met.select(*pairs.columns, distinct_shingles(wide(F.col("x_"))).alias("x_"), distinct_shingles(wide(F.col("y_"))).alias("y_"))
-    shared = sides.select(*pairs.columns, F.size(F.array_intersect("x_", "y_")).alias("both_"), (F.size("x_") + F.size("y_")).alias("sum_"))
-    return shared.where(F.col("both_") >= SIMILARITY * (F.col("sum_") - F.col("both_"))).select(*pairs.columns)
+    # array_intersect gives each common shingle once
+    shared = met.select(*pairs.columns, F.size(F.array_intersect(shingles(wide(F.col("x_"))), shingles(wide(F.col("y_"))))).alias("both_"))
+    return shared.where(F.col("both_") >= SIMILARITY * (F.col("sum") - F.col("both_"))).select(*pairs.columns)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -170,7 +173,8 @@ def similar_groups(documents: DataFrame, signed: DataFrame) -> DataFrame:
     each = small.select("band", F.col("n").alias("leader")).join(small.select("band", "n"), "band").where("leader < n")
     first = each.select("leader", "n").unionByName(large.where("n <> leader").select("leader", "n")).distinct()
     met = first.join(sketched.select(F.col("n").alias("leader"), *other), "leader").join(sketched, "n").where(near)
-    pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), F.col("leader").alias("ca"), F.col("n").alias("cb"))
+    both = (F.col("size") + F.col("lsize")).alias("sum")
+    pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), both, F.col("leader").alias("ca"), F.col("n").alias("cb"))
     held = large.where("n <> leader").select("band", "part", "parts", "n").join(sketched, "n").withColumn("c", F.col("n"))
     steps, most, leaders = [], 1, None
     while True:
@@ -198,7 +202,7 @@ def similar_groups(documents: DataFrame, signed: DataFrame) -> DataFrame:
         every = leaders.select("*", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")).drop("parts")
         held = held.drop("top")
         met = held.join(every, ["band", "part"]).where("c <> of").where(near)
-        pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), F.col("of").alias("ca"), F.col("c").alias("cb")).distinct()
+        pairs = met.select(F.col("leader").alias("a"), F.col("n").alias("b"), both, F.col("of").alias("ca"), F.col("c").alias("cb")).distinct()
     label = texts.select(F.col("n").alias("node"), F.col("n").alias("c"))
     for step in steps:
         renamed = step.select(F.col("node").alias("c"), "component")
@@ -242,9 +246,9 @@ def deduplicate_lines(documents: DataFrame) -> DataFrame:
     ids, mark = document_key(documents)
     joined = documents.join(named, (ids == F.col(id_)) & (mark == F.col(mark_)), "left").withColumn(lines, F.split("text", "\n"))
     stays = F.coalesce(kept, F.array().cast("array<int>"))
-    # blank lines stay: their positions are looked for only where the text has one
+    # blank lines stay: each line is looked at up to its first other character, where a pattern over the whole text reads all of it
     blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda p: p.isNotNull())
-    stay = F.array_sort(F.when(F.col("text").rlike(r"(?:^|\n)[ \t\x0B\f\r]*+(?:\n|$)"), F.concat(stays, blank)).otherwise(stays))
+    stay = F.array_sort(F.concat(stays, blank))
     chosen = F.array_join(F.transform(stay, lambda p: F.get(F.col(lines), p)), "\n")
     whole = F.col("text").isNull() | (F.size(lines) == F.size(stays))
     return joined.select(*[F.when(whole, F.col("text")).otherwise(chosen).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
@@ -252,6 +256,7 @@ def deduplicate_lines(documents: DataFrame) -> DataFrame:
 
 def line_digests(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_kept, text_sha256) of every document after line de-duplication; a null or empty text has no lines."""
-    count = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    count = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(breaks + 1).cast("long")
     after = deduplicate_lines(documents.select("doc_id", "text", count.alias("n_lines")))
     return after.select("doc_id", "n_lines", count.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

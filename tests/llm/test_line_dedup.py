@@ -167,6 +167,27 @@ def test_shingles_that_repeat_within_a_line(spark):
     assert got == brute(rows) and sum(map(bool, got.values())) == 2
 
 
+def test_common_shingles_are_counted_once(spark):
+    """The exact comparison takes the numbers of distinct shingles from the pair: repeats within a line count for nothing."""
+    lines = ["all of it again and " * 3, "all of it again and " * 40, "all of it, again and again, " * 3, "short", "short one"]
+    sets = [shingle_set(x) for x in lines]
+    texts = spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+    pairs = [(a, b, len(sets[a]) + len(sets[b])) for b in range(len(lines)) for a in range(b)]
+    got = {(r.a, r.b) for r in line_dedup.similar(spark.createDataFrame(pairs, "a long, b long, sum long"), texts).collect()}
+    assert got == {(a, b) for a, b, _ in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} and (0, 1) in got
+    sizes = {r.n: r.size for r in line_dedup.sketches(texts).select("n", "size").collect()}
+    assert sizes == {n: len(x) for n, x in enumerate(sets)}
+
+
+def test_shingles_are_told_apart_in_compiled_code_and_no_pattern_reads_a_whole_text(spark, odd_documents):
+    wide = spark.createDataFrame([(1, "a line of some length")], "k int, line string").select("k", line_dedup.wide(F.col("line")).alias("w"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    generators = [x for x in plan(line_dedup.exploded(wide, "k")).split("\n") if "Generate" in x]
+    assert generators and not any("array_distinct" in x for x in generators)
+    assert " + " not in plan(line_dedup.strips(wide, "k"))
+    assert not re.search(r"text#\d+ RLIKE", plan(line_dedup.line_digests(odd_documents)))
+
+
 def test_odd_documents(odd_documents, no_documents):
     out = line_dedup.deduplicate_lines(odd_documents)
     assert out.columns == odd_documents.columns
