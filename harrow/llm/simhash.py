@@ -168,7 +168,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))), F.lit(number)))
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     counts = rows.groupBy("bucket").count().where("count > 1").select("bucket", F.expr(f"(count + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    placed = rows.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    # never broadcast: Spark sizes the rows as if each fingerprint still had one
+    placed = rows.join(counts.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     # the pairs of blocks that a fingerprint takes part in; with one block, that block alone
     dealt = placed.select("fp", "bucket", "own", F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), x -> x <> own))")).alias("other"))
     groups = dealt.select("fp", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
@@ -216,7 +217,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     hot = named.where("parts > 1").select("fp", "parts")
     dealt = prints.join(F.broadcast(hot), "fp", "left").select("fp", "doc_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
     owned = named.select("fp", "component_id", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
-    return dealt.join(owned, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return dealt.join(owned.hint("merge"), ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(documents: DataFrame) -> DataFrame:

@@ -69,6 +69,12 @@ def test_links_of_any_fingerprints(spark, monkeypatch):
     assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_buckets_are_not_broadcast(spark):
+    """35 rows come of each fingerprint, and Spark sizes them as one: few fingerprints pass for a small table."""
+    plan = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_odd_documents(odd_documents, no_documents):
     got = simhash.near_duplicates(odd_documents).collect()
     assert len(got) == odd_documents.count()
