@@ -13,7 +13,7 @@ from harrow.operators.relational import spread
 from harrow.plans import registry, resumes, values
 from harrow.plans.registry import query
 from harrow.plans.tables import read
-from harrow.plans.values import _norm, _pairs, _tokens, pairs
+from harrow.plans.values import _norm, _pairs, _tokens
 
 #: What was found of a part's skills: all, some under other names, category labels, nothing.
 _FOUND = f"CASE p_partkey % 6 WHEN 0 THEN {values._CELL} WHEN 1 THEN 'JavaScript developer, c++; kafka' WHEN 2 THEN '' WHEN 3 THEN 'TECHNICAL SKILLS, ' || lower(p_type) || ' | tools' WHEN 4 THEN 'kubernetes cluster / sql server admin' ELSE lower(p_brand) || ', js' END"
@@ -36,8 +36,8 @@ shares AS (SELECT *, CASE WHEN len(g) = 0 AND len(f) = 0 THEN 1.0::DOUBLE WHEN l
 skills AS (SELECT p_partkey, precision, recall, CASE WHEN len(g) = 0 THEN 1.0::DOUBLE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS score, array_to_string(missed, ',') AS missed, array_to_string(extra, ',') AS extra FROM shares)"""
 
 
-def _skill_scores(s, d) -> DataFrame:
-    return op.skill_scores(spread(read(s, d, "part"), "p_partkey").selectExpr("p_partkey", f"{values._HEADED} AS gold", f"{_FOUND} AS found"), "p_partkey", "gold", "found")
+def _skill_scores(s, d, *kept: str) -> DataFrame:
+    return op.skill_scores(spread(read(s, d, "part"), "p_partkey").selectExpr("p_partkey", f"{values._HEADED} AS gold", f"{_FOUND} AS found"), "p_partkey", "gold", "found", *kept)
 
 
 @query("DM16_skills", f"WITH {_SKILLS} SELECT p_partkey, round(precision, 9) AS precision, round(recall, 9) AS recall, round(score, 9) AS score, missed, extra FROM skills")
@@ -114,13 +114,12 @@ _FIELDS = (
        + " UNION ALL ".join(f"SELECT metric, gold, found, score FROM {m}" for m in [*_SIMPLE, "place", "skill", "section"]) + ") GROUP BY ALL")
 def field_scores(s, d):
     """Every field's score by its metric (nine of them) and its verdict, counted."""
-    parts = [pairs(s, d, m).select(F.lit(m).alias("metric"), "gold", "found", v.field_score(F.lit(m), F.col("gold"), F.col("found")).alias("score")) for m in (*_SIMPLE, "location")]
-    cells = read(s, d, "part").selectExpr("p_partkey", f"{values._HEADED} AS gold", f"{_FOUND} AS found")
-    parts.append(_skill_scores(s, d).join(cells.hint("merge"), "p_partkey").select(F.lit("skills").alias("metric"), "gold", "found", "score"))
-    parts.append(_section_scores(s, d).select(F.lit("section").alias("metric"), F.lit("x").alias("gold"), F.lit("x").alias("found"), "score"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    # the customers are read once, and dealt: a score takes far longer than its row (outer: no filter on the scores is drawn before the dealing)
+    scored = [F.struct(F.lit(m).alias("metric"), F.expr(gold).alias("gold"), F.expr(found).alias("found"), v.field_score(F.lit(m), F.expr(gold), F.expr(found)).alias("score")) for m, (gold, found) in values._VALUES.items() if m in (*_SIMPLE, "location")]
+    simple = spread(read(s, d, "customer"), "c_custkey").select(F.array(*scored).alias("x")).select(F.explode_outer("x").alias("x")).select("x.*")
+    skills = _skill_scores(s, d, "gold", "found").select(F.lit("skills").alias("metric"), "gold", "found", "score")
+    section = _section_scores(s, d).select(F.lit("section").alias("metric"), F.lit("x").alias("gold"), F.lit("x").alias("found"), "score")
+    rows = simple.unionByName(skills).unionByName(section)
     return rows.groupBy("metric", v.field_verdict(F.col("gold"), F.col("found"), F.col("score")).alias("verdict")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 

@@ -100,3 +100,13 @@ def test_facts(spark):
         return a == b or (len(a) >= 6 and (a in b or b in a)) or f1 >= 0.85 or like(a, b) >= 0.85
 
     assert sorted(map(tuple, got)) == sorted({(i, a) for i, a in rows[0] for j, b in rows[1] if i == j and a and b and states(a, b)})
+
+
+def test_each_side_is_read_once(spark, tiny):
+    """Résumés and gold jobs, customers' values and parts: five readings, however many fields are scored; no pair of texts is a row."""
+    from harrow.plans import registry
+
+    plan = registry.queries()["DM16_field_scores"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 5, plan
+    scores = registry.queries()["DM16_skills"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in scores and "Generate" not in scores
